@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, quality_rules, sharding
+from . import chat, embedding_dedup, html_extraction, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash
 
-MODULES = (chat, quality_rules, sharding)
+MODULES = (packing, chat, quality_rules, sentencepiece_codec, html_extraction, sharding, embedding_dedup, lm_scoring, quality_classifier, simhash)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
