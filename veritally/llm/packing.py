@@ -20,8 +20,8 @@ from .common import gapless_rank, stash, table
 
 SIZE = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers, at most; beyond that it starts afresh.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers in each of two generations; what is used again moves from the older one to the newer.
+REMEMBERED = 450_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _tokenizers: dict[str, tuple] = {}
 
@@ -44,17 +44,18 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer, self.ids, self.older = Tokenizer.from_file(path), {}, {}
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
             words = text.split()
             if new := {w for w in words if w not in self.ids}:
                 if len(self.ids) + len(new) > REMEMBERED:
-                    self.ids.clear()
-                    new = set(words)
-                new = list(new)
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    self.ids, self.older, new = {}, self.ids, set(words)
+                known = self.older
+                self.ids.update((w, known[w]) for w in new if w in known)
+                new = [w for w in new if w not in known]
+                for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                     self.ids[w] = np.array(e.ids, "<u4").tobytes()
             yield b"".join(map(self.ids.__getitem__, words))
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MODEL = "piece_bpe_32k.model"
-#: Words and pairs that a worker remembers, at most, and the longest such word.
-REMEMBERED, LONGEST_WORD = 250_000, 40
+#: Words that a worker remembers in each of two generations (what is used again moves to the newer), pairs that it remembers, and the longest such word.
+REMEMBERED, PAIRS, LONGEST_WORD = 450_000, 400_000, 40
 SPACE = "▁"
 _codecs: dict[str, Codec] = {}
 
@@ -58,6 +58,7 @@ class Codec:
         #: Parts that no piece goes across.
         self.parts = re.compile(rf"{stops}*[^{stops}{alone}]+|{stops}+|[{alone}]") if stops and alone else re.compile(r".+", re.S)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -74,20 +75,22 @@ class Codec:
     def stay(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
     def search(self, text: str) -> Iterator[str]:
         """Pieces of a text without cutting it into words: the streaming search. Characters of no piece stand alone."""
-        n, base, committed = len(text), 0, 0
+        n, base, committed, longest, pieces, known = len(text), 0, 0, self.longest, self.id, self.pairs
         back, last = [0], [""]  # of position base + k
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 t = text[j:i]
-                if (t in self.id or i - j == 1) and self.stay(last[j - base], t):
-                    break
+                if t in pieces or i - j == 1:
+                    pair = (last[j - base], t)
+                    if known[pair] if pair in known else self.stay(*pair):
+                        break
             else:  # pragma: no cover - every prefix has an encoding
                 raise ValueError("no path")
             back.append(j)
@@ -123,16 +126,19 @@ class Codec:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        known, get = self.words, self.words.get
+        known, older, get = self.words, self.older, self.words.get
         parts = self.parts.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
         found = []
         for p in parts:
             ids = get(p)
             if ids is None:
-                ids = self.ids(p)
+                ids = older.get(p)
+                if ids is None:
+                    ids = self.ids(p)
                 if len(p) <= LONGEST_WORD:
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        self.words, self.older = {}, known
+                        known, older, get = self.words, self.older, self.words.get
                     known[p] = ids
             found.append(ids)
         return b"".join(found)
