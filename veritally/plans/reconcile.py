@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,10 @@ class Result:
     def only_in_2(self) -> DataFrame:
         return self.right.join(self.pairs.select(F.col("row_2").alias(P.ROW)), P.ROW, "left_anti")
 
+    def release(self) -> None:
+        """Lets go of the pairs that were kept."""
+        self.pairs.unpersist()
+
     def summary(self) -> DataFrame:
         """One row of counters, by one aggregation over pairs and one count of each side."""
         p = self.pairs.agg(
@@ -152,7 +157,8 @@ def reconcile(
         "row_1", "row_2", "key_1", "key_2", F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"),
         F.col("_v.status").alias("status"), "differences", "extra_1", "extra_2",
     )
-    told = told.withColumn("outcome", C.outcome(F.col("confidence"), F.col("differences")))
+    # every report reads the pairs; kept once, their verdicts aren't computed again, nor repeated in the terms of filters pushed below them
+    told = told.withColumn("outcome", C.outcome(F.col("confidence"), F.col("differences"))).persist(StorageLevel.MEMORY_AND_DISK)
     _check(progress, cancelled, 75, "classifying")
     return Result("generic", kind, [key_1, key_2], (spec.name_1, spec.name_2), left, right, told, fields=[r.name() for r in rules])
 
@@ -185,7 +191,7 @@ def reconcile_tax(
         of[0]["NAME OF TRADER/FIRM/COMPANY"].alias("name_1"), of[1]["NAME OF TRADER/FIRM/COMPANY"].alias("name_2"),
         F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"), F.col("_v.status").alias("status"), "differences", "notes",
     )
-    told = told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes")))
+    told = told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes"))).persist(StorageLevel.MEMORY_AND_DISK)
     _check(progress, cancelled, 75, "classifying")
     return Result("tax", "invoice", ["INVOICE NO.", "INVOICE NO."], names, left, right, told, fields=["NAME", "DATE", *P.TAX_AMOUNTS])
 
