@@ -110,6 +110,11 @@ def _numbered(df: DataFrame, order: Sequence[str | Column] | None) -> DataFrame:
     return P.number_rows(df, list(order or df.columns))
 
 
+def _settled(pairs: DataFrame) -> DataFrame:
+    """The same rows; filters above stay above. Pushed below, they would repeat the verdicts' expressions in each of their terms."""
+    return pairs.withColumn("_pin", F.spark_partition_id()).where("_pin >= 0").drop("_pin")
+
+
 def reconcile(
     file_1: DataFrame, file_2: DataFrame, spec: Spec, order_1: Sequence[str] | None = None, order_2: Sequence[str] | None = None,
     progress: Progress | None = None, cancelled: Callable[[], bool] | None = None,
@@ -157,8 +162,7 @@ def reconcile(
         "row_1", "row_2", "key_1", "key_2", F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"),
         F.col("_v.status").alias("status"), "differences", "extra_1", "extra_2",
     )
-    # every report reads the pairs; kept once, their verdicts aren't computed again, nor repeated in the terms of filters pushed below them
-    told = told.withColumn("outcome", C.outcome(F.col("confidence"), F.col("differences"))).persist(StorageLevel.MEMORY_AND_DISK)
+    told = _settled(told.withColumn("outcome", C.outcome(F.col("confidence"), F.col("differences")))).persist(StorageLevel.MEMORY_AND_DISK)
     _check(progress, cancelled, 75, "classifying")
     return Result("generic", kind, [key_1, key_2], (spec.name_1, spec.name_2), left, right, told, fields=[r.name() for r in rules])
 
@@ -191,7 +195,7 @@ def reconcile_tax(
         of[0]["NAME OF TRADER/FIRM/COMPANY"].alias("name_1"), of[1]["NAME OF TRADER/FIRM/COMPANY"].alias("name_2"),
         F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"), F.col("_v.status").alias("status"), "differences", "notes",
     )
-    told = told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes"))).persist(StorageLevel.MEMORY_AND_DISK)
+    told = _settled(told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes")))).persist(StorageLevel.MEMORY_AND_DISK)
     _check(progress, cancelled, 75, "classifying")
     return Result("tax", "invoice", ["INVOICE NO.", "INVOICE NO."], names, left, right, told, fields=["NAME", "DATE", *P.TAX_AMOUNTS])
 
