@@ -109,7 +109,7 @@ def _greedy(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 def assign_identifiers(k1: DataFrame, k2: DataFrame) -> DataFrame:
     """PAIRS for identifier keys, block by block: a block is a group and a compact key (else a synonym key).
 
-    Blocks with one row a side, nearly all of them, come straight from the aggregation that counts them. Blocks of one text pair by rank.
+    Blocks with one row a side, nearly all of them, come straight from the aggregation that counts them. Blocks with one text on each side pair by rank.
     Only blocks that mix texts go through Python.
     """
     block = F.when(F.col("compact") != "", F.concat(F.lit("c"), F.col("compact"))).when(F.col("synonym_key") != "", F.concat(F.lit("s"), F.col("synonym_key")))
@@ -117,7 +117,7 @@ def assign_identifiers(k1: DataFrame, k2: DataFrame) -> DataFrame:
     shapes = [s.groupBy("grp", "block").agg(F.count(F.lit(1)).alias(f"n{i}"), F.min("id").alias(f"id{i}"), F.min("norm").alias(f"lo{i}"), F.max("norm").alias(f"hi{i}")) for i, s in enumerate(sides, 1)]
     met = shapes[0].join(shapes[1], ["grp", "block"])
     single = met.where("n1 = 1 AND n2 = 1").select("id1", "id2")
-    many = met.where("n1 > 1 OR n2 > 1").select("grp", "block", ((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))).alias("plain"))
+    many = met.where("n1 > 1 OR n2 > 1").select("grp", "block", ((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2"))).alias("plain"))
     own = [s.join(many, ["grp", "block"]) for s in sides]
     rank = F.row_number().over(Window.partitionBy("grp", "block").orderBy("id"))
     ranked = [o.where("plain").select("grp", "block", rank.alias("k"), F.col("id").alias(f"id{i}")) for i, o in enumerate(own, 1)]
