@@ -196,6 +196,21 @@ def test_html_keeps_the_article_only(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_without_parsed_article_goes_to_the_host(spark):
+    pages = {
+        "role='main'": ("<div>top</div><div role='main'><p>kept here</p></div>", "kept here"),
+        "role=main": ("<div>top</div><div ROLE=Main><p>kept here</p></div>", "kept here"),
+        "comment": ("<!-- <article> --><p>kept here</p>", "kept here"),
+        "script": ("<script>var a='<main>'</script><p>kept here</p>", "kept here"),
+        "replies": ('<div><p>the post</p></div><article class="comment"><p>a reply</p></article>', "the post"),
+        "empty main": ("<main></main><div>beside it</div>", "beside it"),
+        "nothing": ("<nav>only a menu</nav>", ""),
+    }
+    rows = [(i, f"http://{i}/", page) for i, (page, _) in enumerate(pages.values())]
+    out = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r["page_id"], r["text"]) for r in out.collect()) == [(i, text) for i, (_, text) in enumerate(pages.values())]
+
+
 def test_repeated_runs_are_those_of_brute_force():
     r = random.Random(3)
     for _ in range(30):

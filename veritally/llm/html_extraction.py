@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 #: Tokens of a boilerplate run at least; pages of a host that one suffix array spans, about.
 LEAST, BUNDLE = 8, 256
@@ -55,6 +55,11 @@ def _dropped(name: str, attrs: str) -> bool:
     return False
 
 
+def _main(attrs: str) -> bool:
+    """Whether the attributes give the role main, however it is written."""
+    return "role" in attrs.lower() and any(key.lower() == "role" and "main" in (a or b or c).lower().split() for key, a, b, c, _ in _ATTR.findall(attrs))
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(kind, text) of each block in page order; kind is article, main or open. What is dropped isn't returned."""
     out: list[tuple[str, str]] = []
@@ -113,7 +118,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         gone = dropped or _dropped(name, m["attrs"])
         if name == "header" and not gone:
             gone = kind == "open"
-        role = "article" if name == "article" else "main" if name == "main" or 'role="main"' in m["attrs"] else kind
+        role = "article" if name == "article" else "main" if name == "main" or _main(m["attrs"]) else kind
         stack.append((name, gone, kind if kind == "article" else role))
         _, dropped, kind = stack[-1]
     if not dropped and at < len(page):
@@ -122,13 +127,13 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def settled(page: str | None) -> str | None:
-    """The text of a page whose elements decide; None where all its blocks are open."""
+def settled(page: str | None) -> tuple[str | None, list[str]]:
+    """The text of a page whose elements decide; None and its blocks where all of them are open."""
     found = blocks(page or "")
     for kind in ("article", "main"):
         if texts := [t for k, t in found if k == kind]:
-            return "\n".join(texts)
-    return None if found else ""
+            return "\n".join(texts), []
+    return None if found else "", [t for _, t in found]
 
 
 def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -181,35 +186,36 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row; text is empty where a page has none.
 
     Null html counts as empty; a null url is a host of its own; repeated rows are returned each; an empty table gives no rows; other
-    columns are ignored. Pages with an article or main element never leave their partition. The others are dealt by host
-    into bundles of about BUNDLE pages, so that a host of any size is many small groups.
+    columns are ignored. Pages that their elements settle never leave their partition. All others, told by parsing and not by how
+    the html looks, are kept as blocks in the shared folder and dealt by host into bundles of about BUNDLE pages, so that a host of
+    any size is many small groups. Pages are parsed once for each of the two.
     """
+    kind = pages.schema["page_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [settled(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            texts = pa.array([settled(x)[0] for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["page_id", "url", "text"]).filter(texts.is_valid())
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [settled(x) for x in batch.column(2).to_pylist()]
+            own = pa.array([x for _, x in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["page_id", "url", "blocks"]).filter(pa.array([text is None for text, _ in found], pa.bool_()))
 
     def bundle(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")])
-        kept = []
-        found = [blocks(x or "") for x in rows["html"].to_pylist()]
-        done = [settled(x) for x in rows["html"].to_pylist()]
-        for own, text in zip(unique_runs([[t for _, t in page] for page in found]), done, strict=True):
-            kept.append("\n".join(own) if text is None else text)
+        rows = rows.sort_by([("page_id", "ascending"), ("url", "ascending")])
+        kept = ["\n".join(own) for own in unique_runs(rows["blocks"].to_pylist())]
         return pa.table({"page_id": rows["page_id"], "url": rows["url"], "text": pa.array(kept, pa.string())})
 
     rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    named = F.col("html").rlike(r"(?i)<(article|main)[\s>]|role=.?main")
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    plain = rows.where(named).mapInArrow(run, schema)
+    schema = f"page_id {kind}, url string, text string"
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rest = rows.where(~named).withColumn("host", host)
-    bundles = rest.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).alias("n")).withColumnRenamed("host", "of")
-    dealt = rest.join(bundles, rest["host"] == bundles["of"]).withColumn("bundle", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
-    fallback = F.coalesce(F.col("text"), F.lit(""))
-    shared = dealt.select("host", "bundle", "page_id", "url", "html").groupBy("host", "bundle").applyInArrow(bundle, schema)
-    return plain.unionByName(shared).select("page_id", "url", fallback.alias("text"))
+    opened = stash(rows.mapInArrow(rest, f"page_id {kind}, url string, blocks array<string>").withColumn("host", host))
+    bundles = opened.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).alias("n")).withColumnRenamed("host", "of")
+    dealt = opened.join(bundles, opened["host"] == bundles["of"]).withColumn("bundle", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
+    shared = dealt.select("host", "bundle", "page_id", "url", "blocks").groupBy("host", "bundle").applyInArrow(bundle, schema)
+    return rows.mapInArrow(plain, schema).unionByName(shared)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
