@@ -211,6 +211,20 @@ def test_html_without_parsed_article_goes_to_the_host(spark):
     assert sorted((r["page_id"], r["text"]) for r in out.collect()) == [(i, text) for i, (_, text) in enumerate(pages.values())]
 
 
+def test_html_copies_keep_their_text(spark):
+    own = "<div>Sign up for the weekly letter of this very fine site</div>"
+    quote = "a saying of eight words that two articles quote"
+    texts = [_text(30, 60), _text(30, 61) + " " + quote, _text(30, 62) + " " + quote]
+    pages = [f"{own}<p>{t}</p>" for t in texts]
+    rows = [(i, f"http://h/{i}", page) for i, page in enumerate(pages)]  # several pages
+    rows += [rows[1], rows[1], (3, "http://h/mirror", pages[1])]  # repeated rows and a mirror
+    rows += [(i, f"http://one/{i}", pages[0]) for i in range(4, 8)]  # a host of one page in copies
+    out = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = Counter((r["page_id"], r["text"]) for r in out.collect())
+    one = own.removeprefix("<div>").removesuffix("</div>") + "\n" + texts[0]
+    assert got == Counter([(0, texts[0]), (1, texts[1]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (3, texts[1]), *((i, one) for i in range(4, 8))])
+
+
 def test_repeated_runs_are_those_of_brute_force():
     r = random.Random(3)
     for _ in range(30):

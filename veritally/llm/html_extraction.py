@@ -3,8 +3,9 @@
 A page's elements decide first: text inside an article (or main) element is content, text inside menus, headers, footers,
 sidebars, notices, adverts, forms and comments is not. Where a page has no such element its blocks are open, and the
 host's suffix array decides: the token streams of the host's pages are concatenated, runs of at least LEAST tokens that
-stand on distinct pages are boilerplate, and unique runs are kept. (The suffix array alone would drop passages that
-articles share and keep adverts that stand on one page only; see README.)
+stand on SEVERAL distinct pages are boilerplate, and other runs are kept. Pages with the same blocks (repeated rows, mirrors)
+are one page here. (The suffix array alone would drop passages that articles share and keep adverts that stand on one page
+only; see README.)
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 
-#: Tokens of a boilerplate run at least; pages of a host that one suffix array spans, about.
-LEAST, BUNDLE = 8, 256
+#: Tokens of a boilerplate run at least; distinct pages of a host that it stands on at least (2 where the host has only 2);
+#: distinct pages of a host that one suffix array spans, about.
+LEAST, SEVERAL, BUNDLE = 8, 3, 256
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>", re.S
 )
@@ -147,8 +149,14 @@ def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def unique_runs(pages: list[list[str]], least: int = LEAST) -> list[list[str]]:
-    """Of each page's blocks, what isn't covered by a run of `least` tokens or more that stands on another page too."""
+def rank_pages(rank: np.ndarray, page_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each rank with each page that it stands on, once."""
+    pairs = np.unique((rank << 32) + page_of)
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def unique_runs(pages: list[list[str]], least: int = LEAST, several: int = 2) -> list[list[str]]:
+    """Of each page's blocks, what isn't covered by a run of `least` tokens or more that stands on `several` pages or more."""
     numbers: dict[str, int] = {}
     stream: list[int] = []
     of: list[int] = []
@@ -160,13 +168,9 @@ def unique_runs(pages: list[list[str]], least: int = LEAST) -> list[list[str]]:
         stream.append(-1 - k)  # no run goes past a page
         of.append(k)
     page_of, rank = np.array(of), suffix_ranks(np.array(stream), least)
-    order = np.argsort(rank, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0])
-    low, high = np.minimum.reduceat(page_of[order], first), np.maximum.reduceat(page_of[order], first)
-    shared = np.zeros(len(stream) + 1, np.int64)
-    starts = np.flatnonzero((low != high)[np.searchsorted(first, np.arange(len(order)), "right") - 1])
-    starts = order[starts]
-    starts = starts[starts + least <= len(stream)]
+    ranks, _ = rank_pages(rank, page_of)
+    starts = np.flatnonzero((np.bincount(ranks) >= several)[rank])
+    starts, shared = starts[starts + least <= len(stream)], np.zeros(len(stream) + 1, np.int64)
     np.add.at(shared, starts, 1)
     np.add.at(shared, np.minimum(starts + least, len(stream)), -1)
     covered, at, out = np.cumsum(shared) > 0, 0, []
@@ -185,10 +189,10 @@ def unique_runs(pages: list[list[str]], least: int = LEAST) -> list[list[str]]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row; text is empty where a page has none.
 
-    Null html counts as empty; a null url is a host of its own; repeated rows are returned each; an empty table gives no rows; other
-    columns are ignored. Pages that their elements settle never leave their partition. All others, told by parsing and not by how
-    the html looks, are kept as blocks in the shared folder and dealt by host into bundles of about BUNDLE pages, so that a host of
-    any size is many small groups. Pages are parsed once for each of the two.
+    Null html counts as empty; a null url is a host of its own; repeated rows are returned each, with the same text; an empty table
+    gives no rows; other columns are ignored. Pages that their elements settle never leave their partition. All others, told by
+    parsing and not by how the html looks, are kept as blocks in the shared folder; equal ones of a host count as one page. These
+    are dealt by host into bundles of about BUNDLE pages, so that a host of any size is many small groups. Pages are parsed twice.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -204,17 +208,18 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["page_id", "url", "blocks"]).filter(pa.array([text is None for text, _ in found], pa.bool_()))
 
     def bundle(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("page_id", "ascending"), ("url", "ascending")])
-        kept = ["\n".join(own) for own in unique_runs(rows["blocks"].to_pylist())]
-        return pa.table({"page_id": rows["page_id"], "url": rows["url"], "text": pa.array(kept, pa.string())})
+        kept = unique_runs(rows["blocks"].to_pylist(), several=max(2, min(SEVERAL, rows["pages"][0].as_py())))
+        return pa.table({"of": rows["host"], "page": rows["key"], "text": pa.array(["\n".join(x) for x in kept], pa.string())})
 
     rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     schema = f"page_id {kind}, url string, text string"
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    opened = stash(rows.mapInArrow(rest, f"page_id {kind}, url string, blocks array<string>").withColumn("host", host))
-    bundles = opened.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).alias("n")).withColumnRenamed("host", "of")
-    dealt = opened.join(bundles, opened["host"] == bundles["of"]).withColumn("bundle", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
-    shared = dealt.select("host", "bundle", "page_id", "url", "blocks").groupBy("host", "bundle").applyInArrow(bundle, schema)
+    opened = stash(rows.mapInArrow(rest, f"page_id {kind}, url string, blocks array<string>").select("page_id", "url", "blocks", host.alias("host"), F.md5(F.concat_ws("\n", "blocks")).alias("key")))
+    hosts = opened.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "of")
+    distinct = opened.groupBy("host", "key").agg(F.first("blocks").alias("blocks"))
+    dealt = distinct.join(hosts, distinct["host"] == hosts["of"]).withColumn("bundle", F.pmod(F.xxhash64("key"), F.ceil(F.col("pages") / BUNDLE)))
+    texts = dealt.select("host", "bundle", "key", "pages", "blocks").groupBy("host", "bundle").applyInArrow(bundle, "of string, page string, text string")
+    shared = opened.select("page_id", "url", "host", "key").join(texts, (F.col("host") == F.col("of")) & (F.col("key") == F.col("page"))).select("page_id", "url", "text")
     return rows.mapInArrow(plain, schema).unionByName(shared)
 
 
