@@ -225,6 +225,17 @@ def test_html_copies_keep_their_text(spark):
     assert got == Counter([(0, texts[0]), (1, texts[1]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (3, texts[1]), *((i, one) for i in range(4, 8))])
 
 
+def test_html_hosts_of_many_bundles_count_every_page(spark, monkeypatch):
+    monkeypatch.setattr(html_extraction, "BUNDLE", 4)
+    run = [_text(12, 900), _text(12, 901)]  # on 3 pages, on 2
+    pages = [[_text(30, 700 + i), *(run[:1] if i in (0, 17, 39) else run[1:] if i in (5, 22) else [])] for i in range(40)]
+    rows = [(i, f"http://big/{i}", "".join(f"<p>{t}</p>" for t in page)) for i, page in enumerate(pages)]
+    out = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    want = ["\n".join(x) for x in html_extraction.unique_runs(pages, several=3)]
+    assert [r["text"] for r in out.orderBy("page_id").collect()] == want
+    assert sum(run[0] in t for t in want) == 0 and sum(run[1] in t for t in want) == 2
+
+
 def test_repeated_runs_are_those_of_brute_force():
     r = random.Random(3)
     for _ in range(30):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 #: Tokens of a boilerplate run at least; distinct pages of a host that it stands on at least (2 where the host has only 2);
-#: distinct pages of a host that one suffix array spans, about.
+#: distinct pages of a host that one suffix array spans, about (results don't depend on it).
 LEAST, SEVERAL, BUNDLE = 8, 3, 256
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>", re.S
@@ -149,41 +149,67 @@ def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def rank_pages(rank: np.ndarray, page_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each rank with each page that it stands on, once."""
-    pairs = np.unique((rank << 32) + page_of)
-    return pairs >> 32, pairs & 0xFFFFFFFF
+class Runs:
+    """The token streams of pages, given as blocks, and the class of each token's run of `least` tokens in their suffix array."""
+
+    def __init__(self, pages: list[list[str]], least: int = LEAST) -> None:
+        numbers: dict[str, int] = {}
+        stream: list[int] = []
+        of: list[int] = []
+        for k, page in enumerate(pages):
+            for text in page:
+                ids = [numbers.setdefault(w, len(numbers)) for w in text.split()]
+                stream += ids
+                of += [k] * len(ids)
+            stream.append(-1 - k)  # no run goes past a page
+            of.append(k)
+        self.pages, self.least, self.words, self.stream, self.of = pages, least, list(numbers), np.array(stream, np.int64), np.array(of, np.int64)
+        self.rank = suffix_ranks(self.stream, least)
+        self.first = np.unique(self.rank, return_index=True)[1]
+        ends = np.flatnonzero(self.stream < 0)
+        #: whether a class is a whole run, none that a page's end cuts
+        self.whole = ends[np.searchsorted(ends, self.first)] - self.first >= least
+
+    def counts(self) -> np.ndarray:
+        """Pages on which each class stands."""
+        return np.bincount(np.unique((self.rank << 32) + self.of) >> 32, minlength=len(self.first))
+
+    def names(self, host: str) -> np.ndarray:
+        """128 bits for the run of each whole class, the same wherever it stands on the host's pages."""
+        import xxhash
+
+        at, out = self.first[self.whole], []
+        for seed in (1, 2):
+            of = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words] or [0], np.uint64)
+            mixed = np.full(len(at), xxhash.xxh3_64_intdigest(host, seed), np.uint64)
+            for j in range(self.least):
+                mixed = (mixed ^ of[self.stream[at + j]]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            out.append(mixed.view(np.int64))
+        return np.stack(out, axis=1)
+
+    def without(self, common: np.ndarray) -> list[list[str]]:
+        """Of each page's blocks, what no run of a common class covers; common has a truth for each class."""
+        starts, shared = np.flatnonzero((common & self.whole)[self.rank]), np.zeros(len(self.stream) + 1, np.int64)
+        np.add.at(shared, starts, 1)
+        np.add.at(shared, starts + self.least, -1)
+        covered, at, out = np.cumsum(shared) > 0, 0, []
+        for page in self.pages:
+            kept = []
+            for text in page:
+                words = text.split()
+                if left := [w for w, c in zip(words, covered[at : at + len(words)], strict=True) if not c]:
+                    kept.append(" ".join(left))
+                at += len(words)
+            at += 1
+            out.append(kept)
+        return out
 
 
 def unique_runs(pages: list[list[str]], least: int = LEAST, several: int = 2) -> list[list[str]]:
     """Of each page's blocks, what isn't covered by a run of `least` tokens or more that stands on `several` pages or more."""
-    numbers: dict[str, int] = {}
-    stream: list[int] = []
-    of: list[int] = []
-    for k, page in enumerate(pages):
-        for text in page:
-            ids = [numbers.setdefault(w, len(numbers)) for w in text.split()]
-            stream += ids
-            of += [k] * len(ids)
-        stream.append(-1 - k)  # no run goes past a page
-        of.append(k)
-    page_of, rank = np.array(of), suffix_ranks(np.array(stream), least)
-    ranks, _ = rank_pages(rank, page_of)
-    starts = np.flatnonzero((np.bincount(ranks) >= several)[rank])
-    starts, shared = starts[starts + least <= len(stream)], np.zeros(len(stream) + 1, np.int64)
-    np.add.at(shared, starts, 1)
-    np.add.at(shared, np.minimum(starts + least, len(stream)), -1)
-    covered, at, out = np.cumsum(shared) > 0, 0, []
-    for page in pages:
-        kept = []
-        for text in page:
-            words = text.split()
-            if left := [w for w, c in zip(words, covered[at : at + len(words)], strict=True) if not c]:
-                kept.append(" ".join(left))
-            at += len(words)
-        at += 1
-        out.append(kept)
-    return out
+    runs = Runs(pages, least)
+    return runs.without(runs.counts() >= several)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -192,7 +218,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Null html counts as empty; a null url is a host of its own; repeated rows are returned each, with the same text; an empty table
     gives no rows; other columns are ignored. Pages that their elements settle never leave their partition. All others, told by
     parsing and not by how the html looks, are kept as blocks in the shared folder; equal ones of a host count as one page. These
-    are dealt by host into bundles of about BUNDLE pages, so that a host of any size is many small groups. Pages are parsed twice.
+    are dealt by host into bundles of about BUNDLE pages, so that a host of any size is many small groups; each counts its runs in a
+    suffix array, the counts are added up over the host, and each drops what is common there: bundles don't change results. Runs of
+    different bundles are the same where 128 bits of hash are. Pages are parsed twice.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
@@ -207,9 +235,21 @@ def extract(pages: DataFrame) -> DataFrame:
             own = pa.array([x for _, x in found], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["page_id", "url", "blocks"]).filter(pa.array([text is None for text, _ in found], pa.bool_()))
 
-    def bundle(rows: pa.Table) -> pa.Table:
-        kept = unique_runs(rows["blocks"].to_pylist(), several=max(2, min(SEVERAL, rows["pages"][0].as_py())))
-        return pa.table({"of": rows["host"], "page": rows["key"], "text": pa.array(["\n".join(x) for x in kept], pa.string())})
+    def count(rows: pa.Table) -> pa.Table:
+        runs = Runs(rows["blocks"].to_pylist())
+        names = runs.names(rows["host"][0].as_py())
+        of = [pa.repeat(rows[x][0], len(names)) for x in ("host", "bundle", "pages")]
+        return pa.table([*of, names[:, 0], names[:, 1], runs.counts()[runs.whole]], names=["host", "bundle", "pages", "a", "b", "n"])
+
+    def cut(rows: pa.Table, common: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"of": [], "page": [], "text": []}, schema=pa.schema([("of", pa.string()), ("page", pa.string()), ("text", pa.string())]))
+        runs = Runs(rows["blocks"].to_pylist())
+        pair, found = np.dtype([("a", np.int64), ("b", np.int64)]), np.zeros(len(runs.first), bool)
+        seen = np.empty(common.num_rows, pair)
+        seen["a"], seen["b"] = common["a"].to_numpy(), common["b"].to_numpy()
+        found[runs.whole] = np.isin(np.ascontiguousarray(runs.names(rows["host"][0].as_py())).view(pair).ravel(), seen)
+        return pa.table({"of": rows["host"], "page": rows["key"], "text": pa.array(["\n".join(x) for x in runs.without(found)], pa.string())})
 
     rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     schema = f"page_id {kind}, url string, text string"
@@ -218,7 +258,13 @@ def extract(pages: DataFrame) -> DataFrame:
     hosts = opened.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "of")
     distinct = opened.groupBy("host", "key").agg(F.first("blocks").alias("blocks"))
     dealt = distinct.join(hosts, distinct["host"] == hosts["of"]).withColumn("bundle", F.pmod(F.xxhash64("key"), F.ceil(F.col("pages") / BUNDLE)))
-    texts = dealt.select("host", "bundle", "key", "pages", "blocks").groupBy("host", "bundle").applyInArrow(bundle, "of string, page string, text string")
+    dealt = dealt.select("host", "bundle", "key", "pages", "blocks")
+    counted = stash(dealt.groupBy("host", "bundle").applyInArrow(count, "host string, bundle long, pages long, a long, b long, n long"))
+    # a run of the whole host has a row for each bundle at most, so none is hot
+    common = counted.groupBy("a", "b").agg(F.sum("n").alias("all"), F.first("pages").alias("of"))
+    common = common.where(F.col("all") >= F.greatest(F.lit(2), F.least(F.lit(SEVERAL), "of"))).select("a", "b")
+    marks = counted.join(common, ["a", "b"]).select("host", "bundle", "a", "b")
+    texts = dealt.groupBy("host", "bundle").cogroup(marks.groupBy("host", "bundle")).applyInArrow(cut, "of string, page string, text string")
     shared = opened.select("page_id", "url", "host", "key").join(texts, (F.col("host") == F.col("of")) & (F.col("key") == F.col("page"))).select("page_id", "url", "text")
     return rows.mapInArrow(plain, schema).unionByName(shared)
 
