@@ -211,6 +211,21 @@ def test_html_without_parsed_article_goes_to_the_host(spark):
     assert sorted((r["page_id"], r["text"]) for r in out.collect()) == [(i, text) for i, (_, text) in enumerate(pages.values())]
 
 
+def test_html_wrappers_keep_their_pages():
+    article = "<article><h1>head</h1><p>body</p></article>"
+    for page, want in [
+        (f'<div class="content with-sidebar">{article}</div>', "head\nbody"),
+        (f'<div id="page" class="no-sidebar">{article}<div class="sidebar">side</div></div>', "head\nbody"),
+        ('<article class="post comments-open promo"><h1 class="entry-header">head</h1><p>body</p></article>', "head\nbody"),
+        ('<article><div class="page-header"><h2 class="header">head</h2></div><p>body</p><div class="comment-list">no</div></article>', "head\nbody"),
+        (f'<div class="widget">{article}</div>', "head\nbody"),
+        (f'<div class="widget"><article>teaser</article></div>{article}<div class="site-footer">no</div>', "head\nbody"),
+    ]:
+        assert html_extraction.settled(page)[0] == want, page
+    assert html_extraction.settled('<div><p>the post</p></div><div class="comments"><article>a reply</article></div>') == (None, ["the post"])
+    assert html_extraction.settled('<div class="post">the post</div><div class="sidebar"><article>teaser</article></div>') == (None, ["the post", "teaser"])
+
+
 def test_html_copies_keep_their_text(spark):
     own = "<div>Sign up for the weekly letter of this very fine site</div>"
     quote = "a saying of eight words that two articles quote"

@@ -41,20 +41,36 @@ _WORDS = frozenset(
     "notice popup modal banner alert ad ads adv advert adverts advertisement adsense adslot sponsor sponsored promo promotion newsletter subscribe "
     "signup login search comment comments disqus respond replies".split()
 )
+#: Of these, names of what is never around a page's content.
+_NEVER = frozenset("ad ads adv advert adverts advertisement adsense adslot sponsor sponsored comment comments disqus respond replies".split())
+_NAMED = re.compile(
+    r"(?:(?:site|global|top|main|primary|secondary|left|right|mobile|footer)[-_])?(?:nav|navbar|navigation|menu|sidebar|footer|breadcrumbs?)|nav[-_](?:bar|menu|links|list)|"
+    r"(?:site|global|top)[-_]header|(?:cookies?|consent|gdpr)[-_](?:banner|notice|bar|popup|modal|consent)|(?:newsletter|subscribe|signup|login|search)[-_](?:form|box|popup|modal)"
+)
+_NEVER_NAMED = re.compile(r"(?:ads?|advert|sponsor)[-_](?:slot|unit|banner|box|container|wrapper|block|\d+)|comments?[-_](?:list|section|area|form|respond|\d+)")
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _dropped(name: str, attrs: str) -> bool:
+def _dropped(name: str, attrs: str) -> str:
+    """"always" or "class" where an element isn't content, the latter where its class or id says so but it may be around a page's content.
+
+    A class or id counts by its whole name or by known patterns: parts of names (no-sidebar, comments-open, entry-header) say nothing.
+    """
     if name in _DROPPED:
-        return True
+        return "always"
+    out = ""
     if "=" in attrs or "hidden" in attrs:
         for key, a, b, c, hidden in _ATTR.findall(attrs):
             key, value = key.lower(), (a or b or c).lower()
             if hidden or key == "role" and value in _ROLES or key == "style" and "display:none" in value.replace(" ", ""):
-                return True
-            if key in ("class", "id") and name not in ("html", "body", "main") and not _WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-                return True
-    return False
+                return "always"
+            if key in ("class", "id") and name not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
+                for x in value.split():
+                    if x in _NEVER or _NEVER_NAMED.fullmatch(x):
+                        return "always"
+                    if name != "article" and (x in _WORDS or _NAMED.fullmatch(x)):
+                        out = "class"
+    return out
 
 
 def _main(attrs: str) -> bool:
@@ -62,12 +78,16 @@ def _main(attrs: str) -> bool:
     return "role" in attrs.lower() and any(key.lower() == "role" and "main" in (a or b or c).lower().split() for key, a, b, c, _ in _ATTR.findall(attrs))
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of each block in page order; kind is article, main or open. What is dropped isn't returned."""
+def parse(page: str, keep: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str]], frozenset[int]]:
+    """(kind, text) of each block in page order, and where elements start that only their class drops though they are around an article or main.
+
+    Kind is article, main or open. What is dropped isn't returned; elements that start at `keep` aren't dropped by class.
+    """
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool, str]] = []  # name, dropped, kind: as they hold inside the element
+    stack: list[tuple[str, bool, str, tuple | None]] = []  # name, dropped, kind, starts of what drops by class (None: always dropped): as they hold inside the element
     said: list[str] = []
-    dropped, kind, at = False, "open", 0
+    around: set[int] = set()
+    dropped, kind, at, by = False, "open", 0, ()
 
     def close() -> None:
         if said:
@@ -76,11 +96,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
             said.clear()
 
     def pop(k: int) -> None:
-        nonlocal dropped, kind
+        nonlocal dropped, kind, by
         if any(x[0] in _BLOCK for x in stack[k:]):
             close()
         del stack[k:]
-        _, dropped, kind = stack[-1] if stack else ("", False, "open")
+        _, dropped, kind, by = stack[-1] if stack else ("", False, "open", ())
 
     for m in _TAG.finditer(page):
         if m.start() < at:
@@ -117,21 +137,33 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if name in _VOID or m["attrs"].endswith("/") and name not in _BLOCK:
             continue
-        gone = dropped or _dropped(name, m["attrs"])
-        if name == "header" and not gone:
-            gone = kind == "open"
+        gone = "always" if by is None else _dropped(name, m["attrs"])
+        if name == "header" and not gone and not by and kind == "open":
+            gone = "always"
         role = "article" if name == "article" else "main" if name == "main" or _main(m["attrs"]) else kind
-        stack.append((name, gone, kind if kind == "article" else role))
-        _, dropped, kind = stack[-1]
+        inner = None if gone == "always" else (*by, m.start()) if gone and m.start() not in keep else by
+        if inner and (name in ("article", "main") or role == "main" and kind != "main"):
+            around.update(inner)
+        stack.append((name, inner != (), kind if kind == "article" else role, inner))
+        _, dropped, kind, by = stack[-1]
     if not dropped and at < len(page):
         said.append(page[at:])
     close()
-    return out
+    return out, frozenset(around)
+
+
+def blocks(page: str) -> list[tuple[str, str]]:
+    """(kind, text) of each block in page order; kind is article, main or open. What is dropped isn't returned."""
+    return parse(page)[0]
 
 
 def settled(page: str | None) -> tuple[str | None, list[str]]:
     """The text of a page whose elements decide; None and its blocks where all of them are open."""
-    found = blocks(page or "")
+    found, around = parse(page or "")
+    if around and all(k == "open" for k, _ in found):
+        # the only article stands in what its class drops: that stays, beside what else the page has
+        whole, _ = parse(page or "", around)
+        found = [("open", t) for _, t in whole] if found else whole
     for kind in ("article", "main"):
         if texts := [t for k, t in found if k == kind]:
             return "\n".join(texts), []
