@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from veritally.llm import packing, quality_rules, registry, simhash
+from veritally.llm import packing, quality_rules, registry, shingle_dedup, simhash
 
 
 def _words(n: int, seed: int) -> str:
@@ -47,6 +47,29 @@ def test_stages_match_brute_force(spark, corpus):
     assert corpus_pipeline.packed(spark, docs, corpus).count() == pieces
 
 
+@pytest.mark.parametrize("block", [4, shingle_dedup.BLOCK])
+def test_near_dedup_links_shingle_similarity_of_four_fifths(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_dedup, "BLOCK", block)
+    r, rows = random.Random(8), []
+    for base in range(12):
+        words = [f"w{r.randrange(9999)}" for _ in range(200)]
+        for copy in range(8):
+            at = r.sample(range(200), copy % 5 * 2) if base % 2 else r.sample(range(200), 1)
+            rows.append((len(rows), " ".join(f"x{r.randrange(9999)}" if k in at else w for k, w in enumerate(words))))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {i for i, g in group.items() if i == g}
+    assert 12 < len(got) < 96
+
+
 def test_every_operator_is_registered():
     names = set(registry.QUERIES)
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
