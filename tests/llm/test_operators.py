@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from veritally.llm import chat, components, embedding_dedup, html_extraction, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash
+from veritally.llm import chat, components, embedding_dedup, html_extraction, lm_model, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash
 
 EXTRA = ", words array<int>, node string, rank int, key string, chunk string, _row int, _score int, shard int, of int"
 DOCS = "doc_id long, text string" + EXTRA
@@ -359,34 +359,152 @@ def test_scores_are_a_distribution_and_base_is_exact(docs, none):
 def test_spelling_sums_to_one():
     # from any context the 256 next bytes share probability 1, whatever the tables hold
     r = np.random.default_rng(0)
-    n = r.integers(0, 50, lm_scoring.OFFSETS[-1]).astype(np.float32)
-    speller = lm_scoring.Speller((n * r.random(len(n))).astype(np.float32), n, r.normal(0.3, 0.1, (lm_scoring.GATES, lm_scoring.INPUTS)), r.uniform(0.1, 0.9, lm_scoring.GATES * lm_scoring.STEPS))
+    n = r.integers(0, 50, lm_model.offsets(lm_model.BYTES)[-1])
+    speller = lm_model.Predictors.fresh(lm_model.BYTES, np.floor(n * r.random(len(n))), n)
+    speller.settle(r.normal(0.3, 0.1, speller.weights.size), r.integers(0, 90, len(speller.refined)) + 90.0, r.integers(0, 90, len(speller.refined)) * 1.0)
     for start in (b"", b"th", b"then"):
-        slots, y, of = lm_scoring.bits_of([start + bytes([b]) for b in range(256)])
-        x, gate = speller.inputs(slots)
-        s = speller.mixed(x, gate)
-        p = (lm_scoring.squash(s) + speller.refined[speller.cell(s, gate)]) / 2
-        cost = np.where(y == 1, p, 1 - p).reshape(-1, 8).prod(1).reshape(256, -1)[:, len(start)]
-        assert abs(cost.sum() - 1) < 1e-6
-
-
-def test_documents_own_features_are_causal():
-    r = np.random.default_rng(4)
-    codes, sizes = r.integers(0, 4, 300), np.array([1, 2, 97, 200])
-    f = lm_scoring.own_features(codes, sizes)
-    at = 0
-    for n in sizes:
-        own, tries, hits, run = codes[at : at + n].tolist(), 0, 0, 0
-        for t in range(n):
-            prior = [s for s in range(2, t) if own[s - 2 : s] == own[t - 2 : t]] if t >= 2 else []
-            assert f["before"][at + t] == own[:t].count(own[t])
-            assert f["has"][at + t] == bool(prior)
-            hit = bool(prior) and own[prior[-1]] == own[t]
-            assert f["hit"][at + t] == hit
-            assert f["gate"][at + t] == min(run, lm_scoring.RUNS - 1)
-            assert np.isclose(f["x"][at + t, 0], np.log((hits + 0.4) / (tries - hits + 0.4)))
-            tries, hits, run = tries + bool(prior), hits + hit, run + 1 if hit else 0
-        at += n
+        slots, y, of = lm_model.byte_bits([start + bytes([b]) for b in range(256)], np.arange(256) % 17 * 0 + 3)
+        cost = speller.cost(slots, y).reshape(-1, 8).sum(1)[np.flatnonzero(of[::8] >= 0)]
+        cost = cost.reshape(256, -1)[:, len(start)]
+        assert abs(np.exp(cost).sum() - 1) < 1e-4
+
+
+def _captured(docs, monkeypatch):
+    """Rows of score_documents, and what it made of its documents: coded chunks, the vocabulary, the code and the predictors."""
+    seen, real = {}, lm_scoring.fitted
+
+    def fitted(coded, vocabulary, code):
+        speller, mixer = real(coded, vocabulary, code)
+        seen.update(coded=coded.toArrow(), vocabulary=vocabulary.collect(), code=code, speller=speller, mixer=mixer)
+        return speller, mixer
+
+    monkeypatch.setattr(lm_scoring, "fitted", fitted)
+    return lm_scoring.score_documents(docs).collect(), seen
+
+
+def _plain_bits(code, word):
+    """The coded bits of a word (level, index, class) as (node, bit), and the logarithm of the rest, by walking the code."""
+    lev, ix, cls = word
+    out, rest = [(n + 1, b) for n, b in code.paths[lev]], 0.0
+    if lev >= 7:
+        many = int(code.words[lev].sum())
+        width, low, high = (many - 1).bit_length(), 0, 1 << (many - 1).bit_length()
+        for d in range(width):
+            mid = (low + high) // 2
+            b = int(ix >= mid)
+            if mid < many:
+                out.append(((lev << 48) + (1 << 32) + (1 << d) + (ix >> width - d), b))
+            low, high = (mid, high) if b else (low, mid)
+    elif lev:
+        for d in range(4):
+            half = 1 << 3 - d
+            up, b = cls >> 4 - d, cls >> 3 - d & 1
+            other = (up * 2 + 1 - b) * half
+            if code.words[lev][other : other + half].sum():
+                out.append((64 + (lev << 8) + (1 << d) + up, b))
+        rest = -np.log(code.words[lev][cls])
+    return out, rest
+
+
+def _plain_score(words, table, code, speller, mixer):
+    """The natural logarithm of a text's probability, token by token and bit by bit."""
+    M, a, b, c = (1 << 64) - 1, *(int(x) for x in (lm_model._A, lm_model._B, lm_model._C))
+    at, total, new = lm_model.offsets(lm_model.TOKENS).tolist(), 0.0, (0, 0, 0)
+    pairs, run, votes = {}, 0, [0] * 16
+
+    def ident(w):
+        n, (lev, ix, _) = table.get(w, (0, new))
+        return (lev << 48) + ix + 2 if n > 1 else 0
+
+    def kind(w):
+        lev, _, cls = table.get(w, (0, new))[1]
+        return cls * 4 + sum(lev >= x for x in (1, 4, 9))
+
+    def known(w):
+        return w in table
+
+    for t, w in enumerate(words):
+        one, two = (words[t - 1] if t > 0 else None), (words[t - 2] if t > 1 else None)
+        lead = votes.index(max(votes)) if any(votes) else 16
+        names = [1 if x is None else ident(x) for x in (one, two)]
+        kinds = [64 if x is None else kind(x) for x in (one, two)]
+        near = names[0] * b & M
+        contexts = [(lead + 1) * c & M, near, ((near ^ names[1]) * c) & M, ((lead * 128 + kinds[0]) * 128 + kinds[1] + 1) * b & M]
+        offer = pairs.get((two, one)) if t > 1 else None
+        own, rest = _plain_bits(code, table.get(w, (0, new))[1])
+        told = _plain_bits(code, table.get(offer, (0, new))[1])[0] if offer is not None else []
+        for d, (node, bit) in enumerate(own):
+            agrees = d < len(told) and told[d][0] == node
+            slots = [((x ^ (node * c & M)) * a & M) >> 64 - n for x, n in zip(contexts, lm_model.TOKENS, strict=False)] + [run * 2 + told[d][1] if agrees else 32]
+            total += mixer.cost(np.array([[s + o] for s, o in zip(slots, at, strict=False)], np.int32), np.array([bit]))[0]
+        total += rest
+        if not known(w):
+            if offer is not None and not known(offer):
+                k = at[4] + run * 2 + 1
+                p = (mixer.ones[k] + 0.4) / (mixer.n[k] + 0.8)
+                total += np.log(p) if offer == w else np.log(1 - p)
+            if offer is None or offer != w:
+                total += lm_model.spelled([w], np.array([lead]), speller)[0]
+        run = min(run + 1, 15) if offer == w else 0
+        if t > 1:
+            pairs[two, one] = w
+        if known(w):
+            votes[table[w][1][2]] += 1
+    return total
+
+
+def test_scores_are_those_of_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    vocabulary = [["the", "and", *(_text(1, i) for i in range(60))], ["der", "und", *("z" + _text(1, 90 + i) for i in range(60))]]
+    texts = []
+    for i in range(120):
+        own = [r.choices(vocabulary[i % 2], [60, 40, *(60 / (k + 1) for k in range(60))])[0] if r.random() < 0.95 else _text(3, 500 + r.randint(0, 999)) for _ in range(r.randint(0, 80))]
+        texts.append(" ".join(own + own[:20] * (i % 3 == 0)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_scoring, "ENTRIES", 100)
+    monkeypatch.setattr(lm_scoring, "TOGETHER", 2)
+    rows, seen = _captured(docs, monkeypatch)
+    code, table = seen["code"], {}
+    at = {}
+    for v in sorted(seen["vocabulary"], key=lambda v: v["part"]):
+        c = lm_scoring._ints(bytes(v["c"]), v["n"])
+        for w, n, cls in zip(bytes(v["words"]).split(b"\n"), c.tolist(), v["cls"], strict=True):
+            lev = int(lm_model.level(np.array([n]))[0])
+            table[w] = (n, lev, cls)
+    for lev in {x[1] for x in table.values()}:
+        for cls in range(16):
+            start, k = int(code.words[lev][:cls].sum()), 0
+            for v in sorted(seen["vocabulary"], key=lambda v: v["part"]):
+                for w in bytes(v["words"]).split(b"\n"):
+                    if table[w][1:] == (lev, cls):
+                        at[w] = (table[w][0], (lev, start + k, cls))
+                        k += 1
+    held = {i for i, _ in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 == 2}
+    assert Counter(w for i, t in enumerate(texts) if i not in held for w in [*t.encode().split(), b""]) == Counter({w: n for w, (n, _) in at.items()})
+    assert any(not set(texts[i].encode().split()) <= set(at) for i in held)
+    for q in rows:
+        want = _plain_score([*texts[q["doc_id"]].encode().split(), b""], at, code, seen["speller"], seen["mixer"])
+        assert abs(q["score"] - want / np.log(10)) < 1e-3 * max(1, abs(q["score"])) * 0.1
+    # the codes of all words, with a new one's, have probability one in any place
+    for history in ([], [b"the"], [b"the", b"and", b"the"]):
+        before = _plain_score(history, at, code, seen["speller"], seen["mixer"])
+        total = sum(np.exp(_plain_score([*history, w], at, code, seen["speller"], seen["mixer"]) - before) for w in at)
+        fresh = b"neverseen"
+        new = _plain_score([*history, fresh], at, code, seen["speller"], seen["mixer"]) - before
+        votes = Counter(at[w][1][2] for w in history if w in at)
+        lead = min(votes, key=lambda k: (-votes[k], k)) if votes else 16
+        assert abs(total + np.exp(new - lm_model.spelled([fresh], np.array([lead]), seen["speller"])[0]) - 1) < 1e-3
+
+
+def test_long_documents_are_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PIECE", 200)
+    text = _text(300, 44)
+    assert b" ".join(lm_scoring.pieces(text.encode())) == text.encode()
+    assert list(lm_scoring.pieces(b"x" * 500)) == [b"x" * 500]
+    assert list(lm_scoring.pieces(b"")) == [b""]
+    # the functions that tasks run take the size from the module, so the pieces are seen here only
+    out = lm_scoring.score_documents(spark.createDataFrame([(0, text), (1, text), (9, "a b")], "doc_id long, text string")).collect()
+    assert {q["doc_id"]: q["n_tokens"] for q in out} == {0: 301, 1: 301, 9: 3}
 
 
 # ---- 9 classifier

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,22 +22,32 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="veritally-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage ends, and a lost executor costs nothing."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", compression).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(stashed: DataFrame) -> None:
+    """Deletes a stash that nothing reads any more: all that came from it is written elsewhere."""
+    spark = stashed.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in stashed.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id's decimal digits, modulo folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
