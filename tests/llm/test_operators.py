@@ -334,6 +334,22 @@ def test_near_vectors_are_those_of_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_one_id_on_two_vectors(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [0.99, 0.01]), (7, [0.01, 0.99]), (8, [0.02, 0.98])]
+    got = Counter((q["vec_id"], q["n_links"], q["component_id"]) for q in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter([(5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 2, 5), (8, 2, 5)])
+
+
+def test_pairs_at_the_threshold_are_recomputed(spark):
+    # cosines of 0.95 give or take 1e-12: no bound settles them
+    rows = [(0, [1.0] + [0.0] * 7)]
+    for k, off in enumerate((-1e-12, 1e-12, -3e-12, 3e-12), 1):
+        c = 0.95 + off
+        rows.append((k, [c] + [0.0] * k + [(1 - c * c) ** 0.5] + [0.0] * (6 - k)))
+    got = {q["vec_id"]: q["n_links"] for q in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 2, 1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def test_quantisation_bounds_hold():
     r = np.random.default_rng(2)
     u, q, scale, size, rest = embedding_dedup.quantise(r.normal(size=(300, 24)) * r.uniform(0.1, 50, size=(300, 24)))
@@ -386,7 +402,7 @@ def _plain_bits(code, word):
     """The coded bits of a word (level, index, class) as (node, bit), and the logarithm of the rest, by walking the code."""
     lev, ix, cls = word
     out, rest = [(n + 1, b) for n, b in code.paths[lev]], 0.0
-    if lev >= 7:
+    if lev >= 6:
         many = int(code.words[lev].sum())
         width, low, high = (many - 1).bit_length(), 0, 1 << (many - 1).bit_length()
         for d in range(width):
@@ -396,9 +412,9 @@ def _plain_bits(code, word):
                 out.append(((lev << 48) + (1 << 32) + (1 << d) + (ix >> width - d), b))
             low, high = (mid, high) if b else (low, mid)
     elif lev:
-        for d in range(4):
-            half = 1 << 3 - d
-            up, b = cls >> 4 - d, cls >> 3 - d & 1
+        for d in range(3):
+            half = 1 << 2 - d
+            up, b = cls >> 3 - d, cls >> 2 - d & 1
             other = (up * 2 + 1 - b) * half
             if code.words[lev][other : other + half].sum():
                 out.append((64 + (lev << 8) + (1 << d) + up, b))
@@ -408,9 +424,9 @@ def _plain_bits(code, word):
 
 def _plain_score(words, table, code, speller, mixer):
     """The natural logarithm of a text's probability, token by token and bit by bit."""
-    M, a, b, c = (1 << 64) - 1, *(int(x) for x in (lm_model._A, lm_model._B, lm_model._C))
+    M, b, c = (1 << 64) - 1, *(int(x) for x in (lm_model._B, lm_model._C))
     at, total, new = lm_model.offsets(lm_model.TOKENS).tolist(), 0.0, (0, 0, 0)
-    pairs, run, votes = {}, 0, [0] * 16
+    pairs, run, votes = {}, 0, [0] * 8
 
     def ident(w):
         n, (lev, ix, _) = table.get(w, (0, new))
@@ -418,16 +434,16 @@ def _plain_score(words, table, code, speller, mixer):
 
     def kind(w):
         lev, _, cls = table.get(w, (0, new))[1]
-        return cls * 4 + sum(lev >= x for x in (1, 4, 9))
+        return cls * 4 + sum(lev >= x for x in (1, 3, 5))
 
     def known(w):
         return w in table
 
     for t, w in enumerate(words):
         one, two = (words[t - 1] if t > 0 else None), (words[t - 2] if t > 1 else None)
-        lead = votes.index(max(votes)) if any(votes) else 16
+        lead = votes.index(max(votes)) if any(votes) else 8
         names = [1 if x is None else ident(x) for x in (one, two)]
-        kinds = [64 if x is None else kind(x) for x in (one, two)]
+        kinds = [32 if x is None else kind(x) for x in (one, two)]
         near = names[0] * b & M
         contexts = [(lead + 1) * c & M, near, ((near ^ names[1]) * c) & M, ((lead * 128 + kinds[0]) * 128 + kinds[1] + 1) * b & M]
         offer = pairs.get((two, one)) if t > 1 else None
@@ -435,7 +451,7 @@ def _plain_score(words, table, code, speller, mixer):
         told = _plain_bits(code, table.get(offer, (0, new))[1])[0] if offer is not None else []
         for d, (node, bit) in enumerate(own):
             agrees = d < len(told) and told[d][0] == node
-            slots = [((x ^ (node * c & M)) * a & M) >> 64 - n for x, n in zip(contexts, lm_model.TOKENS, strict=False)] + [run * 2 + told[d][1] if agrees else 32]
+            slots = [((x >> 32 ^ (node * c & M) >> 32) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - n for x, n in zip(contexts, lm_model.TOKENS, strict=False)] + [run * 2 + told[d][1] if agrees else 32]
             total += mixer.cost(np.array([[s + o] for s, o in zip(slots, at, strict=False)], np.int32), np.array([bit]))[0]
         total += rest
         if not known(w):
@@ -472,7 +488,7 @@ def test_scores_are_those_of_brute_force(spark, monkeypatch):
             lev = int(lm_model.level(np.array([n]))[0])
             table[w] = (n, lev, cls)
     for lev in {x[1] for x in table.values()}:
-        for cls in range(16):
+        for cls in range(8):
             start, k = int(code.words[lev][:cls].sum()), 0
             for v in sorted(seen["vocabulary"], key=lambda v: v["part"]):
                 for w in bytes(v["words"]).split(b"\n"):
@@ -492,7 +508,7 @@ def test_scores_are_those_of_brute_force(spark, monkeypatch):
         fresh = b"neverseen"
         new = _plain_score([*history, fresh], at, code, seen["speller"], seen["mixer"]) - before
         votes = Counter(at[w][1][2] for w in history if w in at)
-        lead = min(votes, key=lambda k: (-votes[k], k)) if votes else 16
+        lead = min(votes, key=lambda k: (-votes[k], k)) if votes else 8
         assert abs(total + np.exp(new - lm_model.spelled([fresh], np.array([lead]), seen["speller"])[0]) - 1) < 1e-3
 
 
