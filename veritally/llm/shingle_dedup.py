@@ -1,4 +1,4 @@
-"""Near-duplicate documents by the similarity of their word shingles.
+"""Similarity of word shingles, which SimHash fingerprints of 64 bits can't find at 0.8: candidates and their check for simhash.deduplicate.
 
 Two documents link where the sets of their shingles of WIDTH words have a Jaccard similarity of 0.8 or more (the sets are of 64-bit
 hashes; a text of fewer words is one shingle). Candidates share one of BANDS bands of ROWS minhashes, which misses a pair at
@@ -65,11 +65,10 @@ def _key(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: dict[bytes, int] = {}
-        sets = [shingles(x, seen) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_key(x) for x in sets], pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+def signature(text: bytes | None, seen: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """The key of a text's set of shingles, and its bands."""
+    found = shingles(text, seen)
+    return _key(found), bands(found)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +100,18 @@ def _compare(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"u": a, "v": b})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of each row, the smallest doc_id of its group; texts without words are one group."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    signed = stash(rows.mapInArrow(_signed, "doc_id long, key long, bands array<long>"))
-    nodes = stash(signed.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).where("node IS NOT NULL"))
+def groups(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """(key, component): the set of shingles with each key, and the smallest number of a text in its group.
+
+    rows: node long, text binary; signed (a stash): node, key and bands of these rows, nodes being unique. Texts without words are one group.
+    """
+    nodes = stash(signed.groupBy("key").agg(F.min("node").alias("node"), F.first("bands").alias("bands")))
     own = nodes.select("node", F.explode("bands").alias("band"))
     sizes = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
     buckets = stash(own.join(sizes, "band").select("band", "node", "hub"))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "key"), "node")
-    texts = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text", "key")
-    sets = stash(texts.mapInArrow(_sets, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")))
+    texts = rows.select(F.col("node").alias("of"), "text").join(wanted, F.col("of") == F.col("node")).select("node", "text", "key")
+    sets = stash(texts.mapInArrow(_sets, "node long, set array<long>"))
 
     pairs = buckets.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(256)))  # many documents may have one smallest one
@@ -119,9 +119,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(hubs, ["v", "part"])
     pairs = pairs.withColumn("both", F.size(F.array_intersect("a", "b"))).where(5 * F.col("both") >= 4 * (F.size("a") + F.size("b") - F.col("both")))
     first = stash(pairs.select("u", "v"))
-    groups = components(first)
+    so_far = components(first)
 
-    left = buckets.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("group"))
+    left = buckets.join(so_far, "node", "left").select("band", "node", F.coalesce("component", "node").alias("group"))
     several = left.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
     left = left.join(several.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
@@ -129,11 +129,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = left.select("band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "group", "block", "set")
     more = left.groupBy("band", "i", "j").applyInArrow(_compare, EDGES)
     found = components(first.unionByName(more))
-    named = nodes.join(found, "node", "left").select(F.col("key").alias("of"), F.coalesce("component", "node").alias("component_id"))
-    return signed.join(named, signed["key"] == named["of"], "left").select("doc_id", "component_id")
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, all columns as they were; rows without doc_id stay."""
-    drop = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    return nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))

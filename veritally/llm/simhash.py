@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 from .components import EDGES, components, forest
+from .shingle_dedup import groups as shingle_groups
+from .shingle_dedup import signature
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -108,25 +110,68 @@ def link(nodes: DataFrame) -> DataFrame:
     return few.unionByName(many)
 
 
+def fingerprint_groups(fps: DataFrame) -> DataFrame:
+    """(of, component): each fingerprint in column fp, and the smallest one (as a signed long) that it reaches. fps should be a stash."""
+    nodes = stash(fps.select(F.col("fp").alias("node"), "fp").distinct())
+    found = components(link(nodes))
+    return nodes.join(found, "node", "left").select(F.col("node").alias("of"), F.coalesce("component", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed long) and component_id of each row.
 
     Texts without words (null ones too) have fingerprint 0 and link like any other. Rows with a null doc_id take part through
-    their text but never name a component; a group with no other id has a null component_id. Repeated rows are returned each. An empty
-    table gives no rows; columns other than doc_id and text are ignored.
+    their text but never name a component; a group with no other id has a null component_id. Repeated rows are returned each, as are
+    rows of one doc_id with different texts, each in the group of its own text. An empty table gives no rows; columns other than doc_id and text are ignored.
     """
     fps = stash(fingerprints(docs))
-    nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    found = components(link(nodes))
-    named = nodes.join(found, "node", "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, fps["fp"] == named["of"], "left").select("doc_id", "fp", "component_id")
+    groups = fingerprint_groups(fps)
+    named = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, F.col("fp") == F.col("of"))
+    first = named.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
+    told = named.select("of", "component").join(first, F.col("component") == F.col("c")).select("of", "component_id")
+    return fps.join(told, fps["fp"] == told["of"]).select("doc_id", "fp", "component_id")
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: dict[bytes, int] = {}
+        texts = batch.column(1).to_pylist()
+        found = [signature(x, seen) for x in texts]
+        fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
+        columns = [pa.array(fps, pa.int64()), pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "fp", "key", "bands"])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, all columns as they were; rows without doc_id stay."""
-    drop = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
-    return kept
+    """One row of each group, the one with the smallest doc_id (rows without one come last), all columns as they were.
+
+    Rows belong together whose fingerprints link, or whose sets of 5-word shingles have a similarity of 0.8 or more, which 4 of 64 bits don't reach:
+    a pair at 0.8 differs in ten bits on average. Repeated rows are one, and so are copies without doc_id. Of rows that agree in doc_id
+    and text but not in other columns any one stays.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.xxhash64(text)  # equal texts have equal names
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("node"), text.cast("binary").alias("text"))
+    owners = stash(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    several = owners.where("n > 1").select(F.col("node").alias("of"))
+    once = rows.join(several, F.col("node") == F.col("of"), "left_anti").select("node", "text")
+    again = rows.join(several, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    distinct = once.unionByName(again)
+    signed = stash(distinct.mapInArrow(_signed, "node long, fp long, key long, bands array<long>"))
+    by_bits, by_sets = fingerprint_groups(signed.select("fp")), shingle_groups(distinct, signed)
+    joined = signed.select("node", "fp", "key").join(by_bits, F.col("fp") == F.col("of")).select("node", "key", F.col("component").alias("bits"))
+    joined = stash(joined.join(by_sets, "key").select("node", "bits", F.col("component").alias("sets")))
+    hub = joined.groupBy("bits").agg(F.min("node").alias("hub"))
+    edges = joined.select(F.col("node").alias("u"), F.col("sets").alias("v")).unionByName(joined.join(hub, "bits").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    group = components(edges).select(F.col("node").alias("of"), "component")
+    owned = owners.join(group, F.col("node") == F.col("of"), "left").select("node", F.coalesce("component", "node").alias("component"), "least", "n")
+    first = owned.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("f")).select(F.col("f.node").alias("first"), "component")
+    # texts that go, and texts that stay but stand in several rows
+    judged = stash(owned.join(first, "component").where("node <> first OR n > 1").select(F.col("node").alias("_of"), (F.col("node") == F.col("first")).alias("_stays"), F.col("least").alias("_least")))
+    named = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"), F.col("doc_id").cast("long").alias("id"))
+    plain = named.join(judged.select("_of"), F.col("name") == F.col("_of"), "left_anti")
+    repeated = named.join(judged.where("_stays"), (F.col("name") == F.col("_of")) & F.col("id").eqNullSafe(F.col("_least"))).dropDuplicates(["name"])
+    return plain.select("row.*").unionByName(repeated.select("row.*"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
