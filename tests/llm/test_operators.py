@@ -221,9 +221,46 @@ def test_html_wrappers_keep_their_pages():
         (f'<div class="widget">{article}</div>', "head\nbody"),
         (f'<div class="widget"><article>teaser</article></div>{article}<div class="site-footer">no</div>', "head\nbody"),
     ]:
-        assert html_extraction.settled(page)[0] == want, page
-    assert html_extraction.settled('<div><p>the post</p></div><div class="comments"><article>a reply</article></div>') == (None, ["the post"])
-    assert html_extraction.settled('<div class="post">the post</div><div class="sidebar"><article>teaser</article></div>') == (None, ["the post", "teaser"])
+        assert html_extraction.settled(page) == (True, want.split("\n")), page
+    assert html_extraction.settled('<div><p>the post</p></div><div class="comments"><article>a reply</article></div>') == (False, ["the post"])
+    assert html_extraction.settled('<div class="post">the post</div><div class="sidebar"><article>teaser</article></div>') == (False, ["the post", "teaser"])
+
+
+def test_html_scanner_and_teasers():
+    body = "real words of the page " * 12
+    for page, want in [
+        ("<script>var a = 1 // don't</script><p>One</p><p>it's fine</p>", (False, ["One", "it's fine"])),
+        ("<style>a{content:'<'}</style><p>x</p>", (False, ["x"])),
+        ('<article><div class="article-header"><h1>Head line</h1></div><p>x</p></article>', (True, ["Head line", "x"])),
+        (f"<article>teaser card</article><main><p>{body}</p></main>", (True, [body.strip()])),
+        (f"<main><p>{body}</p></main><article>teaser card</article>", (True, [body.strip()])),
+        (f"<main><p>{body}</p><article>teaser</article></main>", (True, [body.strip(), "teaser"])),
+        (f"<main><article>{body}</article><p>related links</p></main>", (True, [body.strip()])),
+        (f"<div>{body}</div><article>teaser</article>", (False, [body.strip(), "teaser"])),
+        ("<p>&am<b>p;</b> &lt;b&gt;</p>", (False, ["&amp; <b>"])),
+        (f"<p>{'long ' * 200_000}</p>", (False, [("long " * 200_000).strip()])),
+    ]:
+        assert html_extraction.settled(page) == want
+
+
+def test_html_runs_decide_with_elements(spark):
+    """Site-wide blocks go from articles too, quotations stay; pages without elements are those of brute force over the whole host."""
+    r = random.Random(12)
+    site = "share this story with all of your friends by post today"
+    quote = "a line that three of the articles on this site quote in full"
+    rows, want = [], {}
+    for i in range(20):
+        own = [_text(25, 3000 + i), *([quote] if i % 7 == 0 else [])]
+        rows.append((i, f"http://news/{i}", f"<body><nav>menu</nav><article>{''.join(f'<p>{t}</p>' for t in own)}<p>{site}</p></article>"))
+        want[i] = "\n".join(own)
+    parts = [_text(12, 4000 + k) for k in range(6)]
+    plain = {i: [_text(14, 5000 + i), *r.sample(parts, r.randint(0, 3))] for i in range(100, 112)}
+    for i, blocks in plain.items():
+        rows.append((i, f"http://plain/{i}", "".join(f"<div>{t}</div>" for t in blocks)))
+    for i, kept in zip(plain, html_extraction.unique_runs(list(plain.values()), several=3), strict=True):
+        want[i] = "\n".join(kept)
+    out = html_extraction.extract(spark.createDataFrame([(*q, 1, "x") for q in rows], "page_id long, url string, html string, bundle int, key string"))
+    assert {q["page_id"]: q["text"] for q in out.collect()} == want
 
 
 def test_html_copies_keep_their_text(spark):

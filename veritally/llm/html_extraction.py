@@ -1,15 +1,18 @@
-"""Main text of web pages.
-
-A page's elements decide first: text inside an article (or main) element is content, text inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments is not. Where a page has no such element its blocks are open, and the
-host's suffix array decides: the token streams of the host's pages are concatenated, runs of at least LEAST tokens that
-stand on SEVERAL distinct pages are boilerplate, and other runs are kept. Pages with the same blocks (repeated rows, mirrors)
-are one page here. (The suffix array alone would drop passages that articles share and keep adverts that stand on one page
-only; see README.)
+"""Main text of web pages, by host suffix arrays with the pages' elements as evidence.
+
+Parsing drops what elements, roles and class names say is no content: menus, headers, footers, sidebars, notices, adverts, forms,
+comments. What is left are blocks, and whether a main or article element vouches for them. Then the token streams of all pages of a host
+are concatenated and their suffix array tells on how many distinct pages each run of LEAST tokens stands; pages with the same
+blocks (repeated rows, mirrors) are one page here.
+
+* On pages that nothing vouches for, runs that stand on SEVERAL pages (of a host of two: on both) are removed, and other runs are kept.
+* Blocks that an element vouches for are removed only whole, and only where all their tokens lie in runs that stand on half of the host's
+  pages and on SURE of them at least: an article may quote another, but doesn't stand on every other page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 
-#: Tokens of a boilerplate run at least; distinct pages of a host that it stands on at least (2 where the host has only 2);
-#: distinct pages of a host that one suffix array spans, about (results don't depend on it).
-LEAST, SEVERAL, BUNDLE = 8, 3, 256
+#: Tokens of a boilerplate run at least; distinct pages of a host that it stands on at least (2 where the host has only 2), and
+#: where an element vouches for it; pages of a host that one suffix array spans, about.
+LEAST, SEVERAL, SURE, BUNDLE = 8, 3, 8, 256
+#: How many times as many words must stand outside the articles for them not to be the page's text.
+TEASER = 10
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>", re.S
 )
@@ -81,7 +86,7 @@ def _main(attrs: str) -> bool:
 def parse(page: str, keep: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str]], frozenset[int]]:
     """(kind, text) of each block in page order, and where elements start that only their class drops though they are around an article or main.
 
-    Kind is article, main or open. What is dropped isn't returned; elements that start at `keep` aren't dropped by class.
+    Kind is article, main, both (an article in a main element, or the other way round) or open. What is dropped isn't returned; elements that start at `keep` aren't dropped by class.
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, bool, str, tuple | None]] = []  # name, dropped, kind, starts of what drops by class (None: always dropped): as they hold inside the element
@@ -89,9 +94,14 @@ def parse(page: str, keep: frozenset[int] = frozenset()) -> tuple[list[tuple[str
     around: set[int] = set()
     dropped, kind, at, by = False, "open", 0, ()
 
+    def say(text: str) -> None:
+        # references are read before texts are joined over tags
+        if not dropped and text:
+            said.append(html.unescape(text) if "&" in text else text)
+
     def close() -> None:
         if said:
-            if text := " ".join(html.unescape("".join(said)).split()):
+            if text := " ".join("".join(said).split()):
                 out.append((kind, text))
             said.clear()
 
@@ -102,11 +112,8 @@ def parse(page: str, keep: frozenset[int] = frozenset()) -> tuple[list[tuple[str
         del stack[k:]
         _, dropped, kind, by = stack[-1] if stack else ("", False, "open", ())
 
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if not dropped and m.start() > at:
-            said.append(page[at : m.start()])
+    while m := _TAG.search(page, at):
+        say(page[at : m.start()])
         at = m.end()
         if not m["name"]:
             continue
@@ -132,42 +139,46 @@ def parse(page: str, keep: frozenset[int] = frozenset()) -> tuple[list[tuple[str
                     break
             close()
         if name == "br" or name == "hr":
-            if not dropped:
-                said.append(" ")
+            say(" ")
             continue
         if name in _VOID or m["attrs"].endswith("/") and name not in _BLOCK:
             continue
         gone = "always" if by is None else _dropped(name, m["attrs"])
         if name == "header" and not gone and not by and kind == "open":
             gone = "always"
-        role = "article" if name == "article" else "main" if name == "main" or _main(m["attrs"]) else kind
+        own = "article" if name == "article" else "main" if name == "main" or _main(m["attrs"]) else ""
+        role = "both" if own and kind not in ("open", own) else own or kind
         inner = None if gone == "always" else (*by, m.start()) if gone and m.start() not in keep else by
-        if inner and (name in ("article", "main") or role == "main" and kind != "main"):
+        if inner and own:
             around.update(inner)
-        stack.append((name, inner != (), kind if kind == "article" else role, inner))
+        stack.append((name, inner != (), role, inner))
         _, dropped, kind, by = stack[-1]
-    if not dropped and at < len(page):
-        said.append(page[at:])
+    say(page[at:])
     close()
     return out, frozenset(around)
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of each block in page order; kind is article, main or open. What is dropped isn't returned."""
-    return parse(page)[0]
+def _words(found: list[tuple[str, str]], kinds: tuple[str, ...]) -> int:
+    return sum(len(t.split()) for k, t in found if k in kinds)
 
 
-def settled(page: str | None) -> tuple[str | None, list[str]]:
-    """The text of a page whose elements decide; None and its blocks where all of them are open."""
+def settled(page: str | None) -> tuple[bool, list[str]]:
+    """Whether an element vouches for the page's blocks, and they.
+
+    A main element with words holds the text: all of it, or the articles in it unless they are teasers. Without one the articles are the text,
+    unless they are teasers, which have less than a TEASER-th of the words beside them.
+    """
     found, around = parse(page or "")
     if around and all(k == "open" for k, _ in found):
         # the only article stands in what its class drops: that stays, beside what else the page has
         whole, _ = parse(page or "", around)
         found = [("open", t) for _, t in whole] if found else whole
-    for kind in ("article", "main"):
-        if texts := [t for k, t in found if k == kind]:
-            return "\n".join(texts), []
-    return None if found else "", [t for _, t in found]
+    inner, main, article, other = (_words(found, (k,)) for k in ("both", "main", "article", "open"))
+    if inner + main:
+        kinds = ("both",) if TEASER * inner >= main and inner else ("both", "main")
+    else:
+        kinds = ("article",) if article and TEASER * article >= other else ()
+    return bool(kinds), [t for k, t in found if not kinds or k in kinds]
 
 
 def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -202,17 +213,20 @@ class Runs:
         #: whether a class is a whole run, none that a page's end cuts
         self.whole = ends[np.searchsorted(ends, self.first)] - self.first >= least
 
-    def counts(self) -> np.ndarray:
-        """Pages on which each class stands."""
-        return np.bincount(np.unique((self.rank << 32) + self.of) >> 32, minlength=len(self.first))
+    def counts(self, among: np.ndarray | None = None) -> np.ndarray:
+        """Pages on which each class stands, of those that `among` is true for."""
+        use = slice(None) if among is None else among[self.of]
+        return np.bincount(np.unique((self.rank[use] << 32) + self.of[use]) >> 32, minlength=len(self.first))
 
-    def names(self, host: str) -> np.ndarray:
-        """128 bits for the run of each whole class, the same wherever it stands on the host's pages."""
+    def names(self, host: str, chosen: np.ndarray) -> np.ndarray:
+        """128 bits for the run of each chosen class, the same wherever it stands on the host's pages."""
         import xxhash
 
-        at, out = self.first[self.whole], []
+        at, out = self.first[chosen], []
+        used = np.unique(self.stream[at[:, None] + np.arange(self.least)]) if len(at) else np.zeros(0, np.int64)
         for seed in (1, 2):
-            of = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words] or [0], np.uint64)
+            of = np.zeros(max(1, len(self.words)), np.uint64)
+            of[used] = [xxhash.xxh3_64_intdigest(self.words[i], seed) for i in used.tolist()]
             mixed = np.full(len(at), xxhash.xxh3_64_intdigest(host, seed), np.uint64)
             for j in range(self.least):
                 mixed = (mixed ^ of[self.stream[at + j]]) * np.uint64(0x9E3779B97F4A7C15)
@@ -220,17 +234,28 @@ class Runs:
             out.append(mixed.view(np.int64))
         return np.stack(out, axis=1)
 
-    def without(self, common: np.ndarray) -> list[list[str]]:
-        """Of each page's blocks, what no run of a common class covers; common has a truth for each class."""
-        starts, shared = np.flatnonzero((common & self.whole)[self.rank]), np.zeros(len(self.stream) + 1, np.int64)
-        np.add.at(shared, starts, 1)
-        np.add.at(shared, starts + self.least, -1)
-        covered, at, out = np.cumsum(shared) > 0, 0, []
-        for page in self.pages:
-            kept = []
+    def without(self, common: np.ndarray, whole: np.ndarray | None = None) -> list[list[str]]:
+        """Of each page's blocks, what no run of a common class covers; on pages that `whole` is true for, the blocks that aren't covered entirely.
+
+        common has a truth for each class, and where whole is given one row for other pages and one for those.
+        """
+        whole = np.zeros(len(self.pages), bool) if whole is None else whole
+        rows = common if common.ndim == 2 else common[None]
+        covered = []
+        for row in rows:
+            starts, shared = np.flatnonzero((row & self.whole)[self.rank]), np.zeros(len(self.stream) + 1, np.int64)
+            np.add.at(shared, starts, 1)
+            np.add.at(shared, starts + self.least, -1)
+            covered.append(np.cumsum(shared) > 0)
+        at, out = 0, []
+        for page, entire in zip(self.pages, whole.tolist(), strict=True):
+            kept, cover = [], covered[-1 if entire else 0]
             for text in page:
                 words = text.split()
-                if left := [w for w, c in zip(words, covered[at : at + len(words)], strict=True) if not c]:
+                over = cover[at : at + len(words)]
+                if entire or not over.any():
+                    kept += [] if over.all() else [text]  # one without words too
+                elif left := [w for w, c in zip(words, over, strict=True) if not c]:
                     kept.append(" ".join(left))
                 at += len(words)
             at += 1
@@ -244,61 +269,93 @@ def unique_runs(pages: list[list[str]], least: int = LEAST, several: int = 2) ->
     return runs.without(runs.counts() >= several)
 
 
+_BUNDLES = "host string, bundle long, keys array<string>, sure array<boolean>, blocks array<binary>, page_ids array<{kind}>, urls array<string>, of array<string>"
+
+
+def _shut(blocks: list[str]) -> bytes:
+    text = "\n".join(blocks).encode()
+    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def _opened(blob: bytes) -> list[str]:
+    n = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], n, "zstd", asbytes=True).decode().split("\n") if n else []
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row; text is empty where a page has none.
 
     Null html counts as empty; a null url is a host of its own; repeated rows are returned each, with the same text; an empty table
-    gives no rows; other columns are ignored. Pages that their elements settle never leave their partition. All others, told by
-    parsing and not by how the html looks, are kept as blocks in the shared folder; equal ones of a host count as one page. These
-    are dealt by host into bundles of about BUNDLE pages, so that a host of any size is many small groups; each counts its runs in a
-    suffix array, the counts are added up over the host, and each drops what is common there: bundles don't change results. Runs of
-    different bundles are the same where 128 bits of hash are. Pages are parsed twice.
+    gives no rows; other columns are ignored. Each page is parsed once, where it is read; its blocks go to a bundle of about BUNDLE pages of its
+    host, so that a host of any size is many small groups, and a bundle is written as one row. Bundles count their runs and the counts
+    are added up over the host: exactly on pages that no element vouches for. On the others a bundle reports what stands on a quarter
+    of its pages, since a run that stands on half of a host's pages is that frequent in every bundle of about 256 pages (by chance rarer with
+    a probability of 1e-15). Runs of different bundles are the same where 128 bits of hash are.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([settled(x)[0] for x in batch.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["page_id", "url", "text"]).filter(texts.is_valid())
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [settled(x) for x in batch.column(2).to_pylist()]
-            own = pa.array([x for _, x in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["page_id", "url", "blocks"]).filter(pa.array([text is None for text, _ in found], pa.bool_()))
-
-    def count(rows: pa.Table) -> pa.Table:
-        runs = Runs(rows["blocks"].to_pylist())
-        names = runs.names(rows["host"][0].as_py())
-        of = [pa.repeat(rows[x][0], len(names)) for x in ("host", "bundle", "pages")]
-        return pa.table([*of, names[:, 0], names[:, 1], runs.counts()[runs.whole]], names=["host", "bundle", "pages", "a", "b", "n"])
-
-    def cut(rows: pa.Table, common: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({"of": [], "page": [], "text": []}, schema=pa.schema([("of", pa.string()), ("page", pa.string()), ("text", pa.string())]))
-        runs = Runs(rows["blocks"].to_pylist())
-        pair, found = np.dtype([("a", np.int64), ("b", np.int64)]), np.zeros(len(runs.first), bool)
-        seen = np.empty(common.num_rows, pair)
-        seen["a"], seen["b"] = common["a"].to_numpy(), common["b"].to_numpy()
-        found[runs.whole] = np.isin(np.ascontiguousarray(runs.names(rows["host"][0].as_py())).view(pair).ravel(), seen)
-        return pa.table({"of": rows["host"], "page": rows["key"], "text": pa.array(["\n".join(x) for x in runs.without(found)], pa.string())})
-
-    rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    schema = f"page_id {kind}, url string, text string"
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    opened = stash(rows.mapInArrow(rest, f"page_id {kind}, url string, blocks array<string>").select("page_id", "url", "blocks", host.alias("host"), F.md5(F.concat_ws("\n", "blocks")).alias("key")))
-    hosts = opened.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "of")
-    distinct = opened.groupBy("host", "key").agg(F.first("blocks").alias("blocks"))
-    dealt = distinct.join(hosts, distinct["host"] == hosts["of"]).withColumn("bundle", F.pmod(F.xxhash64("key"), F.ceil(F.col("pages") / BUNDLE)))
-    dealt = dealt.select("host", "bundle", "key", "pages", "blocks")
-    counted = stash(dealt.groupBy("host", "bundle").applyInArrow(count, "host string, bundle long, pages long, a long, b long, n long"))
+            keys = [hashlib.md5("\n".join([str(sure), *own]).encode()).hexdigest() for sure, own in found]
+            columns = [pa.array(keys), pa.array([sure for sure, _ in found], pa.bool_()), pa.array([_shut(own) for _, own in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "key", "sure", "blob"])
+
+    def bundled(key: tuple, rows: pa.Table) -> pa.Table:
+        first = dict(zip(rows["key"].to_pylist()[::-1], range(rows.num_rows - 1, -1, -1), strict=True))
+        keys = sorted(first)
+        own = rows.take(pa.array([first[k] for k in keys], pa.int64()))
+        lists = {"keys": pa.array(keys, pa.string()), "sure": own["sure"], "blocks": own["blob"], "page_ids": rows["page_id"], "urls": rows["url"], "of": rows["key"]}
+        columns = {n: pa.array([x.to_pylist()], pa.list_(x.type)) for n, x in lists.items()}
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "bundle": pa.array([key[1].as_py()], pa.int64()), **columns})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.select(["host", "bundle", "pages", "sure", "blocks"]).to_pylist():
+                runs, sure = Runs(list(map(_opened, r["blocks"]))), np.array(r["sure"], bool)
+                for vouched, least in ((False, 1), (True, max(1, min(SURE, int(sure.sum())) / 4, sure.sum() / 4))):
+                    if not (sure == vouched).any() or vouched and r["pages"] < SURE:
+                        continue
+                    n = runs.counts(sure == vouched)
+                    chosen = np.flatnonzero(runs.whole & (n >= least))
+                    names = runs.names(r["host"], chosen)
+                    told = [pa.array([r[x]] * len(chosen), t) for x, t in (("host", pa.string()), ("bundle", pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*told, pa.array([vouched] * len(chosen), pa.bool_()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(n[chosen])], ["host", "bundle", "vouched", "a", "b", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = np.dtype([("a", np.int64), ("b", np.int64)])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+                pages = list(map(_opened, r["blocks"]))
+                if r["marks"]:
+                    runs = Runs(pages)
+                    names = np.ascontiguousarray(runs.names(r["host"], np.flatnonzero(runs.whole))).view(pair).ravel()
+                    common = np.zeros((2, len(runs.first)), bool)
+                    for vouched in (False, True):
+                        seen = np.array([(m["a"], m["b"]) for m in r["marks"] if m["vouched"] == vouched], pair)
+                        common[int(vouched), runs.whole] = np.isin(names, seen)
+                    pages = runs.without(common, np.array(r["sure"], bool))
+                text = dict(zip(r["keys"], map("\n".join, pages), strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("page_ids").slice(k, 1).flatten(), batch.column("urls").slice(k, 1).flatten(), pa.array([text[x] for x in r["of"]], pa.string())], ["page_id", "url", "text"])
+
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host")
+    rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host)
+    hosts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).alias("bundles")).withColumnRenamed("host", "named")
+    told = rows.mapInArrow(parsed, f"page_id {kind}, url string, host string, key string, sure boolean, blob binary")
+    dealt = told.join(hosts, F.col("host") == F.col("named")).withColumn("bundle", F.pmod(F.xxhash64("key"), F.col("bundles")))
+    packed = stash(dealt.select("host", "bundle", "key", "sure", "blob", "page_id", "url").groupBy("host", "bundle").applyInArrow(bundled, _BUNDLES.format(kind=kind)))
+    # distinct pages of a host: equal ones share a bundle
+    sizes = packed.groupBy("host").agg(*(F.sum(F.size((F.filter("sure", lambda x: x) if v else F.filter("sure", lambda x: ~x)))).alias(n) for n, v in (("plain", False), ("pages", True)))).withColumnRenamed("host", "named")
+    sized = packed.join(sizes, F.col("host") == F.col("named")).drop("named")
+    counted = stash(sized.select("host", "bundle", "pages", "sure", "blocks").mapInArrow(count, "host string, bundle long, vouched boolean, a long, b long, n long"))
     # a run of the whole host has a row for each bundle at most, so none is hot
-    common = counted.groupBy("a", "b").agg(F.sum("n").alias("all"), F.first("pages").alias("of"))
-    common = common.where(F.col("all") >= F.greatest(F.lit(2), F.least(F.lit(SEVERAL), "of"))).select("a", "b")
-    marks = counted.join(common, ["a", "b"]).select("host", "bundle", "a", "b")
-    texts = dealt.groupBy("host", "bundle").cogroup(marks.groupBy("host", "bundle")).applyInArrow(cut, "of string, page string, text string")
-    shared = opened.select("page_id", "url", "host", "key").join(texts, (F.col("host") == F.col("of")) & (F.col("key") == F.col("page"))).select("page_id", "url", "text")
-    return rows.mapInArrow(plain, schema).unionByName(shared)
+    common = counted.groupBy("vouched", "a", "b").agg(F.sum("n").alias("all"), F.first("host").alias("named")).join(sizes, "named")
+    enough = F.when(F.col("vouched"), F.greatest(F.lit(SURE), F.col("pages") / 2)).otherwise(F.greatest(F.lit(2), F.least(F.lit(SEVERAL), "plain")))
+    common = common.where(F.col("all") >= enough).select("vouched", "a", "b")
+    marks = counted.join(common, ["vouched", "a", "b"]).groupBy(F.col("host").alias("on"), F.col("bundle").alias("at")).agg(F.collect_list(F.struct("vouched", "a", "b")).alias("marks"))
+    cuts = packed.join(marks, (F.col("host") == F.col("on")) & (F.col("bundle") == F.col("at")), "left").drop("on", "at")
+    return cuts.mapInArrow(cut, f"page_id {kind}, url string, text string")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
