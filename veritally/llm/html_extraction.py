@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 #: Tokens of a boilerplate run at least; distinct pages of a host that it stands on at least (2 where the host has only 2), and
-#: where an element vouches for it; pages of a host that one suffix array spans, about.
-LEAST, SEVERAL, SURE, BUNDLE = 8, 3, 8, 256
+#: where an element vouches for it; pages of a host that one suffix array spans, about; rows of a host from which it is dealt over several tasks.
+LEAST, SEVERAL, SURE, BUNDLE, HOT = 8, 3, 8, 256, 4096
 #: How many times as many words must stand outside the articles for them not to be the page's text.
 TEASER = 10
 _TAG = re.compile(
@@ -269,25 +269,30 @@ def unique_runs(pages: list[list[str]], least: int = LEAST, several: int = 2) ->
     return runs.without(runs.counts() >= several)
 
 
-_BUNDLES = "host string, bundle long, keys array<string>, sure array<boolean>, blocks array<binary>, page_ids array<{kind}>, urls array<string>, of array<string>"
+_BUNDLES = "host string, bundle long, keys array<string>, sure array<boolean>, sizes array<long>, blocks binary, page_ids array<{kind}>, urls array<string>, of array<string>"
 
 
-def _shut(blocks: list[str]) -> bytes:
-    text = "\n".join(blocks).encode()
-    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+def _shut(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(text, asbytes=True)
 
 
-def _opened(blob: bytes) -> list[str]:
+def _opened(blob: bytes) -> bytes:
     n = int.from_bytes(blob[:8], "little")
-    return pa.decompress(blob[8:], n, "zstd", asbytes=True).decode().split("\n") if n else []
+    return pa.decompress(blob[8:], n, "zstd", asbytes=True) if n else b""
+
+
+def _pages(sizes: list[int], blob: bytes) -> list[list[str]]:
+    """The blocks of each page of a bundle."""
+    text, ends = _opened(blob), np.cumsum([0, *sizes]).tolist()
+    return [text[a:b].decode().split("\n") if b > a else [] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row; text is empty where a page has none.
 
     Null html counts as empty; a null url is a host of its own; repeated rows are returned each, with the same text; an empty table
-    gives no rows; other columns are ignored. Each page is parsed once, where it is read; its blocks go to a bundle of about BUNDLE pages of its
-    host, so that a host of any size is many small groups, and a bundle is written as one row. Bundles count their runs and the counts
+    gives no rows; other columns are ignored. Each page is parsed once, where it is read; its blocks go to its
+    host, those of hosts of more than HOT rows to one of several shares of it, and are dealt over bundles of about BUNDLE pages there, so that a host of any size is many small groups, and a bundle is written as one row. Bundles count their runs and the counts
     are added up over the host: exactly on pages that no element vouches for. On the others a bundle reports what stands on a quarter
     of its pages, since a run that stands on half of a host's pages is that frequent in every bundle of about 256 pages (by chance rarer with
     a probability of 1e-15). Runs of different bundles are the same where 128 bits of hash are.
@@ -298,21 +303,28 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found = [settled(x) for x in batch.column(2).to_pylist()]
             keys = [hashlib.md5("\n".join([str(sure), *own]).encode()).hexdigest() for sure, own in found]
-            columns = [pa.array(keys), pa.array([sure for sure, _ in found], pa.bool_()), pa.array([_shut(own) for _, own in found], pa.binary())]
+            columns = [pa.array(keys), pa.array([sure for sure, _ in found], pa.bool_()), pa.array([_shut("\n".join(own).encode()) for _, own in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "key", "sure", "blob"])
 
     def bundled(key: tuple, rows: pa.Table) -> pa.Table:
         first = dict(zip(rows["key"].to_pylist()[::-1], range(rows.num_rows - 1, -1, -1), strict=True))
-        keys = sorted(first)
-        own = rows.take(pa.array([first[k] for k in keys], pa.int64()))
-        lists = {"keys": pa.array(keys, pa.string()), "sure": own["sure"], "blocks": own["blob"], "page_ids": rows["page_id"], "urls": rows["url"], "of": rows["key"]}
-        columns = {n: pa.array([x.to_pylist()], pa.list_(x.type)) for n, x in lists.items()}
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "bundle": pa.array([key[1].as_py()], pa.int64()), **columns})
+        many, out = -(-len(first) // BUNDLE), []
+        of = np.array([int(k[:15], 16) % many for k in rows["key"].to_pylist()])
+        for bundle in range(many):
+            own = rows.filter(pa.array(of == bundle))
+            keys = sorted(k for k in first if int(k[:15], 16) % many == bundle)
+            kept = rows.take(pa.array([first[k] for k in keys], pa.int64()))
+            texts = [_opened(x) for x in kept["blob"].to_pylist()]
+            lists = {"keys": pa.array(keys, pa.string()), "sure": kept["sure"], "sizes": pa.array(list(map(len, texts)), pa.int64()), "page_ids": own["page_id"], "urls": own["url"], "of": own["key"]}
+            columns = {n: pa.array([x.to_pylist()], pa.list_(x.type)) for n, x in lists.items()}
+            name = pa.array([key[1].as_py() << 20 | bundle], pa.int64())
+            out.append(pa.table({"host": pa.array([key[0].as_py()], pa.string()), "bundle": name, **columns, "blocks": pa.array([_shut(b"".join(texts))], pa.binary())}))
+        return pa.concat_tables(out)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.select(["host", "bundle", "pages", "sure", "blocks"]).to_pylist():
-                runs, sure = Runs(list(map(_opened, r["blocks"]))), np.array(r["sure"], bool)
+            for r in batch.select(["host", "bundle", "pages", "sure", "sizes", "blocks"]).to_pylist():
+                runs, sure = Runs(_pages(r["sizes"], r["blocks"])), np.array(r["sure"], bool)
                 for vouched, least in ((False, 1), (True, max(1, min(SURE, int(sure.sum())) / 4, sure.sum() / 4))):
                     if not (sure == vouched).any() or vouched and r["pages"] < SURE:
                         continue
@@ -327,7 +339,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 r = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                pages = list(map(_opened, r["blocks"]))
+                pages = _pages(r["sizes"], r["blocks"])
                 if r["marks"]:
                     runs = Runs(pages)
                     names = np.ascontiguousarray(runs.names(r["host"], np.flatnonzero(runs.whole))).view(pair).ravel()
@@ -341,14 +353,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host")
     rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host)
-    hosts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).alias("bundles")).withColumnRenamed("host", "named")
+    # one host in HOT rows at most, so this is small beside the pages
+    hot = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(F.col("host").alias("named"), F.ceil(F.col("n") * 2 / HOT).alias("shares"))
     told = rows.mapInArrow(parsed, f"page_id {kind}, url string, host string, key string, sure boolean, blob binary")
-    dealt = told.join(hosts, F.col("host") == F.col("named")).withColumn("bundle", F.pmod(F.xxhash64("key"), F.col("bundles")))
-    packed = stash(dealt.select("host", "bundle", "key", "sure", "blob", "page_id", "url").groupBy("host", "bundle").applyInArrow(bundled, _BUNDLES.format(kind=kind)))
+    dealt = told.join(F.broadcast(hot), F.col("host") == F.col("named"), "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("key"), F.col("shares")), F.lit(0).cast("long")))
+    packed = stash(dealt.select("host", "share", "key", "sure", "blob", "page_id", "url").groupBy("host", "share").applyInArrow(bundled, _BUNDLES.format(kind=kind)))
     # distinct pages of a host: equal ones share a bundle
     sizes = packed.groupBy("host").agg(*(F.sum(F.size((F.filter("sure", lambda x: x) if v else F.filter("sure", lambda x: ~x)))).alias(n) for n, v in (("plain", False), ("pages", True)))).withColumnRenamed("host", "named")
     sized = packed.join(sizes, F.col("host") == F.col("named")).drop("named")
-    counted = stash(sized.select("host", "bundle", "pages", "sure", "blocks").mapInArrow(count, "host string, bundle long, vouched boolean, a long, b long, n long"))
+    counted = stash(sized.select("host", "bundle", "pages", "sure", "sizes", "blocks").mapInArrow(count, "host string, bundle long, vouched boolean, a long, b long, n long"))
     # a run of the whole host has a row for each bundle at most, so none is hot
     common = counted.groupBy("vouched", "a", "b").agg(F.sum("n").alias("all"), F.first("host").alias("named")).join(sizes, "named")
     enough = F.when(F.col("vouched"), F.greatest(F.lit(SURE), F.col("pages") / 2)).otherwise(F.greatest(F.lit(2), F.least(F.lit(SEVERAL), "plain")))
