@@ -439,7 +439,7 @@ def _plain_bits(code, word):
     """The coded bits of a word (level, index, class) as (node, bit), and the logarithm of the rest, by walking the code."""
     lev, ix, cls = word
     out, rest = [(n + 1, b) for n, b in code.paths[lev]], 0.0
-    if lev >= 6:
+    if lev >= lm_model.level(np.array([lm_model.MIXED]))[0]:
         many = int(code.words[lev].sum())
         width, low, high = (many - 1).bit_length(), 0, 1 << (many - 1).bit_length()
         for d in range(width):
@@ -482,7 +482,7 @@ def _plain_score(words, table, code, speller, mixer):
         names = [1 if x is None else ident(x) for x in (one, two)]
         kinds = [32 if x is None else kind(x) for x in (one, two)]
         near = names[0] * b & M
-        contexts = [(lead + 1) * c & M, near, ((near ^ names[1]) * c) & M, ((lead * 128 + kinds[0]) * 128 + kinds[1] + 1) * b & M]
+        contexts = [(lead + 1) * c & M, near, ((lead * 128 + kinds[0]) * 128 + kinds[1] + 1) * b & M]
         offer = pairs.get((two, one)) if t > 1 else None
         own, rest = _plain_bits(code, table.get(w, (0, new))[1])
         told = _plain_bits(code, table.get(offer, (0, new))[1])[0] if offer is not None else []
@@ -493,7 +493,7 @@ def _plain_score(words, table, code, speller, mixer):
         total += rest
         if not known(w):
             if offer is not None and not known(offer):
-                k = at[4] + run * 2 + 1
+                k = at[3] + run * 2 + 1
                 p = (mixer.ones[k] + 0.4) / (mixer.n[k] + 0.8)
                 total += np.log(p) if offer == w else np.log(1 - p)
             if offer is None or offer != w:
