@@ -506,6 +506,28 @@ def _plain_score(words, table, code, speller, mixer):
     return total
 
 
+def test_codes_are_those_of_walking_the_code():
+    r = np.random.default_rng(3)
+    words = np.zeros((lm_model.LEVELS, lm_model.GROUPS), np.int64)
+    words[1], words[3, 2], words[8], words[10, 5] = r.integers(0, 9, lm_model.GROUPS), 4, r.integers(1, 5, lm_model.GROUPS), 1
+    tokens = np.where(words.sum(1) > 0, r.integers(1, 900, lm_model.LEVELS), 0)
+    code = lm_model.Code.of(words, tokens)
+    every = [(lev, int(words[lev, :cls].sum()) + k, cls) for lev in range(lm_model.LEVELS) for cls in range(lm_model.GROUPS) for k in range(int(words[lev, cls]))] + [(0, 0, 0)]
+    lev, ix, cls = (np.array(x) for x in zip(*every, strict=True))
+    ends, nodes, bits, plain = code.lay(lev, lev, ix, cls)
+    total, seen = 0.0, Counter()
+    for k, word in enumerate(every):
+        a, b = (ends[k - 1] if k else 0), ends[k]
+        own, rest = _plain_bits(code, word)
+        hashed = lm_model.short(np.array([n for n, _ in own], np.uint64) * lm_model._C)
+        assert nodes[a:b].tolist() == hashed.tolist()
+        assert bits[a:b].tolist() == [x for _, x in own]
+        assert np.isclose(plain[k], rest)
+        seen[tuple(own)] += 1
+        total += 0.5 ** len(own) * np.exp(rest)
+    assert np.isclose(total, 1)  # a code, whatever the bits' probabilities
+
+
 def test_scores_are_those_of_brute_force(spark, monkeypatch):
     r = random.Random(8)
     vocabulary = [["the", "and", *(_text(1, i) for i in range(60))], ["der", "und", *("z" + _text(1, 90 + i) for i in range(60))]]
