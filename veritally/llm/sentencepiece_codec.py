@@ -5,7 +5,8 @@ step from one piece to the next counts only where the two, encoded on their own
 that makes the best path the one that the model's merges give (the supplied vocabulary is a merge model, whose pieces
 have ranks instead of probabilities, so sums of scores would give other ids). Pieces have at most `longest` characters, so only that
 many positions can still be left behind: whenever the paths from all of them meet at one boundary, ids up to it are committed
-and forgotten. Memory is bounded by that window, whatever the length of the text.
+and forgotten, so `search` holds that window only. `encode` first cuts a text into parts that no piece goes across and remembers the ids of
+short ones, which is faster and holds the text's parts and ids; within parts of a few characters the window is rarely full before the end.
 """
 
 from __future__ import annotations
