@@ -57,6 +57,33 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def attach(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """Adds the columns of facts, one row a key (null is one) with its number of rows in `count`, to rows (a stash or a cheap scan).
+
+    Keys with more than a share of 1 / (4 x partitions) of all rows, of which there are fewer than that many, are broadcast, so that
+    no task gets a hot key; all others are joined by exchange.
+    """
+    parts = 4 * partitions(rows.sparkSession)
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    named = facts.withColumnRenamed(key, "_key")
+    hot, cold = named.where(F.col(count) > total / parts), named.where(F.col(count) <= total / parts)
+    same = rows[key].eqNullSafe(named["_key"])
+    first = rows.join(F.broadcast(hot), same).drop("_key")
+    rest = rows.join(F.broadcast(hot.select("_key")), same, "left_anti")
+    return first.unionByName(rest.join(cold, same).drop("_key"))
+
+
+def ordered_rank(df: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """Adds rank `into` (long, from 0, no gaps) in the order of columns whose values are distinct; no task sorts more than its range."""
+    n = partitions(df.sparkSession)
+    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    marked = stash(ranges.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_own")))
+    counts = marked.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_of", before.alias("_start")))
+    return marked.join(starts, F.col("_part") == F.col("_of")).withColumn(into, F.col("_start") + F.col("_own")).drop("_part", "_own", "_of", "_start")
+
+
 def gapless_rank(df: DataFrame, group: str, order: list[str], into: str, buckets: int | None = None) -> DataFrame:
     """Adds rank `into` (long, from 0, no gaps) within each value of `group`, however large a group is.
 
