@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime
 
@@ -16,6 +17,7 @@ from veritally.plans import mapping, report
 from veritally.plans.reconcile import Cancelled, Spec, compare_values, reconcile, reconcile_tax
 from veritally.sources import tables as S
 from veritally.sources import workbook as W
+from veritally.sources.shared import Scratch
 
 
 def _rows(spark, rows, schema):
@@ -143,25 +145,81 @@ def _simulate(edges):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, M.DRIVER_EDGES])
-def test_assignment_is_the_greedy_pass(spark, limit):
-    r = random.Random(11)
+@pytest.mark.parametrize("stretch", [1, 4, 10_000])
+def test_assignment_is_the_greedy_pass(spark, stretch):
+    r = random.Random(11 + stretch)
     edges = {(a, b): (a, b, r.randint(0, 1), r.choice([75, 90, 100]), r.randint(0, 2)) for a, b in ((r.randint(1, 25), r.randint(1, 20)) for _ in range(120))}
     df = spark.createDataFrame(list(edges.values()), "id1 long, id2 long, stage int, confidence int, priority int")
-    got = {tuple(x) for x in M.assign_edges(df, limit).collect()}
+    scratch = Scratch(spark)
+    got = {tuple(x) for x in M.assign_edges(df, scratch, stretch).collect()}
     assert got == _simulate(list(edges.values()))
+    scratch.release()
+
+
+def test_assignment_settles_a_long_chain(spark):
+    """Each row's first choice is the second choice of the row before it, which waits for the one before that, and so on."""
+    n = 100_000
+    i = F.col("id")
+    first = spark.range(1, n).select(i.alias("id1"), (i - 1).alias("id2"), F.lit(100).alias("confidence"))
+    chain = first.unionByName(spark.range(0, n).select(i.alias("id1"), i.alias("id2"), F.lit(90).alias("confidence"))).withColumns({"stage": F.lit(0), "priority": F.lit(0)})
+    scratch = Scratch(spark)
+    got = M.assign_edges(chain, scratch, 40_000)
+    assert got.count() == n
+    assert got.where("id1 <> id2").count() == 0
+    scratch.release()
+
+
+def test_row_numbers_are_total_and_written(spark):
+    rows = [(x, y) for x in (3, 1, 1, None, 2, 1) for y in ("b", "a", "a")]
+    df = spark.createDataFrame(rows, "a int, b string")
+    scratch = Scratch(spark)
+    first = P.number_rows(df, ["a"], scratch)
+    numbers = sorted((tuple(r) for r in first.collect()), key=lambda r: r[-1])
+    assert [r[0] for r in numbers] == [None] * 3 + [1] * 9 + [2] * 3 + [3] * 3
+    assert [n for *_, n in numbers] == list(range(2, len(rows) + 2))
+    assert "InMemoryTableScan" not in first._jdf.queryExecution().executedPlan().toString()  # nothing that a lost executor takes away
+    again = P.number_rows(df.repartition(5), ["a"], scratch)
+    assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+    scratch.release()
+
+
+def test_a_released_run_leaves_nothing(spark, tmp_path):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size(), len(spark.catalog.listTables())
+    one = spark.createDataFrame([(f"A-{i}", i, "odd,name") for i in range(40)], "ID string, AMT int, `a.b, c` string")
+    r = reconcile(one, one.where("AMT > 3"), Spec("ID", "ID", [Rule(["AMT"], ["AMT"])], extras_1=["a.b, c"]))
+    assert _counts(r)["only_in_file_1"] == 4
+    assert r.only_in_1.columns == ["ID", "AMT", "A.B, C", P.ROW]
+    paths = list(r.scratch.paths)
+    assert len(spark.catalog.listTables()) == before[1] + 2
+    plan = r.pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    r.release()
+    assert (spark.sparkContext._jsc.getPersistentRDDs().size(), len(spark.catalog.listTables())) == before
+    assert not any(os.path.exists(p) for p in paths)
+
+
+def test_single_blocks_meet_without_exchange(spark):
+    scratch = Scratch(spark)
+    sides = [M.side(_rows(spark, [(f"INV{sep}{i}",) for i in range(50)], "k string"), P.ROW, F.col("k"), scratch) for sep in ("-", " ")]
+    a, b = (s.where("n = 1").select("grp", "block", F.col("id").alias(f"id{i}")) for i, s in enumerate(sides))
+    joined = a.hint("merge").join(b, ["grp", "block"])
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 50
+    scratch.release()
 
 
 def test_identifier_blocks_are_the_greedy_pass(spark):
     r = random.Random(2)
-    forms = ["inv 1", "inv1", "INV-1", "inv2", "inv-2", "---", "z9"]
+    texts = ["inv 1", "inv1", "INV-1", "inv2", "inv-2", "---", "z9", None, ""]
     for _ in range(4):
-        sides = [[(i + 2, r.choice(forms)) for i in range(r.randint(0, 14))] for _ in range(2)]
-        k1, k2 = (M.keyed(spark.createDataFrame(s, "_ROW_NO long, k string"), "_ROW_NO", F.col("k")) for s in sides)
-        norm = lambda s: " ".join(s.lower().replace("-", " ").split())
+        rows = [[(i + 2, r.choice(texts)) for i in range(r.randint(0, 14))] for _ in range(2)]
+        scratch = Scratch(spark)
+        sides = [M.side(spark.createDataFrame(s, "_ROW_NO long, k string"), "_ROW_NO", F.col("k"), scratch) for s in rows]
+        norm = lambda s: " ".join((s or "").lower().replace("-", " ").split())
         compact = lambda s: norm(s).replace(" ", "")
-        edges = [(a, b, 0, 100 if norm(x) == norm(y) else 97, 0) for a, x in sides[0] for b, y in sides[1] if compact(x) and compact(x) == compact(y)]
-        assert {tuple(x) for x in M.assign_identifiers(k1, k2).collect()} == _simulate(edges)
+        edges = [(a, b, 0, 100 if norm(x) == norm(y) else 97, 0) for a, x in rows[0] for b, y in rows[1] if compact(x) and compact(x) == compact(y)]
+        assert {tuple(x) for x in M.assign_identifiers(*sides).collect()} == _simulate(edges)
+        scratch.release()
 
 
 def test_text_keys_pair_by_spelling(spark):

@@ -65,6 +65,8 @@ def token_score(a: str, b: str) -> int:
     return int(max(scores))
 
 
+#: The scorer that is meant where none is named.
+SCORER = "token_max"
 SCORERS = {"difflib": difflib_score, "token_max": token_score}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
-from ..functions.udfs import similarity
+from ..functions.udfs import SCORER, similarity
 from .detect import IDENTIFIERS, kind_by_name, kind_of_values
 from .prepare import TAX_AMOUNTS, rule_value
 
@@ -129,7 +129,7 @@ def verdict_of(f: Column, kind: str | Column, score: Column, tolerance: float =
     return F.coalesce(F.when(kind == "numeric", _numeric(f, tolerance)), F.when(kind == "date", _dates(f)), F.when(kind.isin(*sorted(IDENTIFIERS)), _identifier(f, kind)), words)
 
 
-def with_verdict(df: DataFrame, a: Column, b: Column, kind: str | Column, into: str, unicode: bool = False, scorer: str | None = "difflib", tolerance: float = TOLERANCE) -> DataFrame:
+def with_verdict(df: DataFrame, a: Column, b: Column, kind: str | Column, into: str, unicode: bool = False, scorer: str | None = SCORER, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds the verdict on two texts as struct `into`, and their forms as `into`_forms.
 
     Forms are a column of their own, so nothing is computed twice; only pairs that no equality settles are scored.
@@ -182,7 +182,7 @@ def rule_columns(df: DataFrame, fields: Sequence[str], prefix: str) -> list[Colu
     return [value.alias(f"{prefix}_value"), is_number.alias(f"{prefix}_numeric")]
 
 
-def with_rule(df: DataFrame, rule: Rule, prefix: str, into: str, unicode: bool = False, scorer: str | None = "difflib", tolerance: float = TOLERANCE) -> DataFrame:
+def with_rule(df: DataFrame, rule: Rule, prefix: str, into: str, unicode: bool = False, scorer: str | None = SCORER, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds DIFFERENCE `into` of a rule, from its columns (rule_columns of both sides, prefix_1 and prefix_2).
 
     A numeric hint from either side decides the kind; else names and then the two values tell it.

@@ -1,36 +1,63 @@
 """Pairing rows one to one: candidate joins on derived keys, then greedy assignment in file order.
 
 The greedy pass gives each row of file 1, in file order, the best row of file 2 that is left. It is a serial
-dictatorship, so it decomposes: identifier keys can only pair inside a block of one compact key, and everything else is settled by
-rounds of proposals in which a row of file 2 keeps the earliest row of file 1.
+dictatorship, so it decomposes: identifier keys can only pair inside a block of one compact key, and everything else is settled
+stretch by stretch of file order, as far as no earlier stretch can interfere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
-from ..functions.udfs import similarity
+from ..functions.udfs import SCORER, similarity
+from ..sources.shared import Scratch, partitions
 from .compare import with_verdict
 from .detect import IDENTIFIERS, TEXTS, threshold
 
-#: Edges up to which the assignment runs on the driver, on four integers each.
-DRIVER_EDGES = 200_000
 PAIRS = "id1 long, id2 long"
 
 
+def forms(c: Column, unicode: bool = False) -> dict[str, Column]:
+    return {
+        "compact": N.compact_identifier(c, unicode), "norm": N.normalize_text(c, unicode=unicode),
+        "token_key": N.sorted_token_key(c, unicode=unicode), "synonym_key": N.sorted_token_key(c, True, unicode),
+    }
+
+
 def keyed(df: DataFrame, row: str, key: Column, group: Column | None = None, unicode: bool = False) -> DataFrame:
     """id, key and the derived keys of each row that has one, computed once."""
     text = key.cast("string")
     out = df.select(F.col(row).alias("id"), text.alias("key"), (group if group is not None else F.lit("")).alias("grp")).where(~N.is_blank(F.col("key")))
-    c = F.col("key")
-    return out.select(
-        "id", "key", "grp",
-        N.compact_identifier(c, unicode).alias("compact"), N.normalize_text(c, unicode=unicode).alias("norm"),
-        N.sorted_token_key(c, unicode=unicode).alias("token_key"), N.sorted_token_key(c, True, unicode).alias("synonym_key"),
-    )
+    return out.select("id", "key", "grp", *(c.alias(n) for n, c in forms(F.col("key"), unicode).items()))
+
+
+#: Columns of a side beside its payload.
+SIDE = ("id", "key", "grp", "compact", "norm", "token_key", "synonym_key", "block", "n", "k", "plain")
+
+
+def side(df: DataFrame, row: str, key: Column, scratch: Scratch, group: Column | None = None, unicode: bool = False, payload: Sequence[Column] = ()) -> DataFrame:
+    """One side of a reconciliation, written once: SIDE and the payload of each row, bucketed by group and block.
+
+    A block is a group's rows of one compact key, else of one synonym key, else a row by itself. n: rows of the block, k: the row's place in it
+    by id, plain: whether all its texts are one. They are counted where the rows are dealt for their buckets, so that everything that is asked
+    of blocks later reads files in place and exchanges nothing.
+    """
+    rows = df.select(F.col(row).alias("id"), key.cast("string").alias("key"), (group if group is not None else F.lit("")).alias("grp"), *payload)
+    rows = rows.select("*", *(c.alias(n) for n, c in forms(F.col("key"), unicode).items()))
+    block = F.when(F.col("compact") != "", F.concat(F.lit("c"), F.col("compact"))).when(F.col("synonym_key") != "", F.concat(F.lit("s"), F.col("synonym_key")))
+    dealt = rows.withColumn("block", F.coalesce(block, F.concat(F.lit("n"), F.col("id").cast("string")))).repartition(partitions(df.sparkSession), "grp", "block")
+    of, ordered = Window.partitionBy("grp", "block"), Window.partitionBy("grp", "block").orderBy("id")
+    counted = dealt.withColumn("k", F.row_number().over(ordered)).withColumn("n", F.count(F.lit(1)).over(of)).withColumn("plain", F.min("norm").over(of) == F.max("norm").over(of))
+    return scratch.bucketed(counted, ["grp", "block"])
+
+
+def has_key(side_: DataFrame) -> DataFrame:
+    return side_.where("compact <> '' OR synonym_key <> ''")
 
 
 def candidates(k1: DataFrame, k2: DataFrame) -> DataFrame:
@@ -47,7 +74,7 @@ def candidates(k1: DataFrame, k2: DataFrame) -> DataFrame:
     return by_compact.select(*cols).unionByName(by_words.select(*cols))
 
 
-def fuzzy_candidates(k1: DataFrame, k2: DataFrame, scorer: str = "difflib", least: int = 75) -> DataFrame:
+def fuzzy_candidates(k1: DataFrame, k2: DataFrame, scorer: str = SCORER, least: int = 75) -> DataFrame:
     """(id1, id2, confidence) of pairs that share a word (long forms) and score `least`, scored once for each pair of distinct texts.
 
     No word is left out for being frequent: the join's hot keys are split by adaptive execution, and lengths that
@@ -68,7 +95,7 @@ def fuzzy_candidates(k1: DataFrame, k2: DataFrame, scorer: str = "difflib", leas
     return out.join(ids[1].select("grp", F.col("id").alias("id2"), F.col("s").alias("s2")), ["grp", "s2"]).select("id1", "id2", "confidence")
 
 
-def edges(k1: DataFrame, k2: DataFrame, kind: str, unicode: bool = False, scorer: str | None = "difflib") -> DataFrame:
+def edges(k1: DataFrame, k2: DataFrame, kind: str, unicode: bool = False, scorer: str | None = SCORER) -> DataFrame:
     """id1, id2, stage, confidence, priority of every pair that may be taken."""
     found = candidates(k1, k2)
     judged = with_verdict(found, F.col("key1"), F.col("key2"), kind, "v", unicode, scorer)
@@ -106,67 +133,110 @@ def _greedy(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"id1": pa.array([x[0] for x in out], pa.int64()), "id2": pa.array([x[1] for x in out], pa.int64())})
 
 
-def assign_identifiers(k1: DataFrame, k2: DataFrame) -> DataFrame:
-    """PAIRS for identifier keys, block by block: a block is a group and a compact key (else a synonym key).
+def _with_ends(pairs: DataFrame, one: DataFrame, two: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """PAIRS with columns of both sides."""
+    ends = [s.select(F.col("id").alias(f"_end{i}"), *cols) for i, (s, cols) in enumerate(((one, left), (two, right)), 1)]
+    named = pairs.select(F.col("id1").alias("_end1"), F.col("id2").alias("_end2"))
+    return named.join(ends[0], "_end1").join(ends[1], "_end2").select(*left, *right)
+
 
-    Blocks with one row a side, nearly all of them, come straight from the aggregation that counts them. Blocks with one text on each side pair by rank.
-    Only blocks that mix texts go through Python.
+def pair_blocks(one: DataFrame, two: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """The pairs of identifier keys with the columns `left` of side one and `right` of side two, block by block.
+
+    Blocks with one row a side, nearly all of them, are a join in place. Blocks with one text on each side pair by
+    rank; only blocks that mix texts go through Python, with their ids and texts alone.
     """
-    block = F.when(F.col("compact") != "", F.concat(F.lit("c"), F.col("compact"))).when(F.col("synonym_key") != "", F.concat(F.lit("s"), F.col("synonym_key")))
-    sides = [k.select("id", "grp", "norm", block.alias("block")).where("block IS NOT NULL") for k in (k1, k2)]
-    shapes = [s.groupBy("grp", "block").agg(F.count(F.lit(1)).alias(f"n{i}"), F.min("id").alias(f"id{i}"), F.min("norm").alias(f"lo{i}"), F.max("norm").alias(f"hi{i}")) for i, s in enumerate(sides, 1)]
-    met = shapes[0].join(shapes[1], ["grp", "block"])
-    single = met.where("n1 = 1 AND n2 = 1").select("id1", "id2")
-    many = met.where("n1 > 1 OR n2 > 1").select("grp", "block", ((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2"))).alias("plain"))
-    own = [s.join(many, ["grp", "block"]) for s in sides]
-    rank = F.row_number().over(Window.partitionBy("grp", "block").orderBy("id"))
-    ranked = [o.where("plain").select("grp", "block", rank.alias("k"), F.col("id").alias(f"id{i}")) for i, o in enumerate(own, 1)]
-    plain = ranked[0].join(ranked[1], ["grp", "block", "k"]).select("id1", "id2")
-    mixed = [o.where("NOT plain").select("grp", "block", "id", "norm").groupBy("grp", "block") for o in own]
-    return single.unionByName(plain).unionByName(mixed[0].cogroup(mixed[1]).applyInArrow(_greedy, PAIRS))
-
-
-def assign_edges(found: DataFrame, driver_edges: int = DRIVER_EDGES, rounds: int = 10_000) -> DataFrame:
-    """PAIRS of the greedy pass over weighted edges (id1, id2, stage, confidence, priority).
-
-    Few edges are settled on the driver. More are settled by rounds: each row of file 1 proposes to its best edge, each row of file 2 keeps
-    the earliest proposer, lost edges go; every round's edges are a reliable checkpoint.
+    block = ["grp", "block"]
+    a, b = (has_key(s) for s in (one, two))
+    single = a.where("n = 1").select(*block, *left).join(b.where("n = 1").select(*block, *right), block).select(*left, *right)
+    shapes = [s.where("k = 1").select(*block, F.col("n").alias(f"n{i}"), F.col("plain").alias(f"plain{i}")) for i, s in enumerate((a, b), 1)]
+    many = shapes[0].join(shapes[1], block).where("n1 > 1 OR n2 > 1").select(*block, (F.col("plain1") & F.col("plain2")).alias("alike"))
+    own = [s.drop("plain").join(many, block) for s in (a, b)]
+    ranked = [o.where("alike").select(*block, "k", *cols) for o, cols in zip(own, (left, right), strict=True)]
+    plain = ranked[0].join(ranked[1], [*block, "k"]).select(*left, *right)
+    mixed = [o.where("NOT alike") for o in own]
+    groups = [m.select(*block, "id", "norm").groupBy(*block) for m in mixed]
+    found = groups[0].cogroup(groups[1]).applyInArrow(_greedy, PAIRS)
+    return single.unionByName(plain).unionByName(_with_ends(found, *mixed, left, right))
+
+
+def assign_identifiers(one: DataFrame, two: DataFrame) -> DataFrame:
+    """PAIRS of two sides with identifier keys."""
+    ends = [s.withColumn(f"id{i}", F.col("id")) for i, s in enumerate((one, two), 1)]
+    return pair_blocks(*ends, ["id1"], ["id2"])
+
+
+# ---- weighted edges
+
+
+#: Rows of file 1 that one task settles in one go.
+STRETCH = 200_000
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows of file 1 in file order, each row's edges best first: the pairs that no earlier stretch can change.
+
+    A row takes its best free partner at once, unless a row of an earlier stretch still has an edge to that partner, or an unsettled row of
+    this stretch might take it. Then the row waits, and all that it might take is in doubt for those behind it.
+    """
+    at, row, taken, doubtful, waits, out = None, None, set(), set(), False, ([], [])
+    settled = False
+    for batch in batches:
+        cols = (batch.column(c).to_pylist() for c in ("stretch", "id1", "id2", "earlier"))
+        for stretch, i, j, earlier in zip(*cols, strict=True):
+            if stretch != at:
+                at, row, taken, doubtful = stretch, None, set(), set()
+            if i != row:
+                row, waits, settled = i, False, False
+            if settled or j in taken:
+                continue
+            if waits or earlier or j in doubtful:
+                waits = True
+                doubtful.add(j)
+                continue
+            settled = True
+            taken.add(j)
+            out[0].append(i)
+            out[1].append(j)
+        if out[0]:
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["id1", "id2"])
+            out = ([], [])
+
+
+def assign_edges(found: DataFrame, scratch: Scratch, stretch: int = STRETCH) -> DataFrame:
+    """PAIRS of the greedy pass over weighted edges (id1, id2, stage, confidence, priority), which are computed and written once.
+
+    Rows of file 1 are cut into stretches of file order, and every task settles its own as far as no earlier stretch can interfere;
+    a chain of rows that wait for each other falls within its stretch. What is left, edges between rows that
+    are both still free, goes round again. The earliest stretch always ends, so that rounds are at most as many as stretches.
     """
     spark = found.sparkSession
-    order = ["stage", F.desc("confidence"), "priority", "id2"]
-    some = found.select("id1", "id2", "stage", "confidence", "priority").limit(driver_edges + 1).collect() if driver_edges else []
-    if driver_edges and len(some) <= driver_edges:
-        used1, used2, out = set(), set(), []
-        for r in sorted(some, key=lambda r: (r["id1"], r["stage"], -r["confidence"], r["priority"], r["id2"])):
-            if r["id1"] not in used1 and r["id2"] not in used2:
-                used1.add(r["id1"])
-                used2.add(r["id2"])
-                out.append((r["id1"], r["id2"]))
-        return spark.createDataFrame(out, PAIRS)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veritally-")
-        spark.sparkContext.setCheckpointDir(at)
-    live = found.select("id1", "id2", F.row_number().over(Window.partitionBy("id1").orderBy(*order)).alias("k")).checkpoint()
-    for _ in range(rounds):
-        best = live.groupBy("id1").agg(F.min_by("id2", "k").alias("id2"))
-        keep = best.groupBy("id2").agg(F.min("id1").alias("id1"))
-        lost = best.join(keep, ["id1", "id2"], "left_anti").checkpoint()
-        if lost.isEmpty():
-            return best.select("id1", "id2")
-        live = live.join(lost, ["id1", "id2"], "left_anti").checkpoint()
-    raise RuntimeError("assignment didn't settle")
-
-
-def match(k1: DataFrame, k2: DataFrame, kind: str, unicode: bool = False, scorer: str | None = "difflib", driver_edges: int = DRIVER_EDGES) -> DataFrame:
-    """PAIRS of rows of file 1 and file 2, one to one."""
+    n = partitions(spark)
+    best_first = [F.col("stage"), F.col("confidence").desc(), F.col("priority"), F.col("id2")]
+    placed = found.select("id1", "id2", F.row_number().over(Window.partitionBy("id1").orderBy(*best_first)).alias("k"), F.floor(F.col("id1") / stretch).alias("stretch"))
+    live, done = scratch.written(placed), None
+    while True:
+        first = live.groupBy("id2").agg(F.min("stretch").alias("first"))
+        told = live.join(first, "id2").select("stretch", "id1", "k", "id2", (F.col("first") < F.col("stretch")).alias("earlier"))
+        dealt = told.repartition(n, "stretch").sortWithinPartitions("stretch", "id1", "k")
+        pairs = scratch.written(dealt.mapInArrow(_settle, PAIRS))
+        done = pairs if done is None else done.unionByName(pairs)
+        left = live.join(pairs.select("id1"), "id1", "left_anti").join(pairs.select("id2"), "id2", "left_anti")
+        old, live = live, scratch.written(left)
+        scratch.drop(old)
+        if live.isEmpty():
+            return done
+
+
+def match(one: DataFrame, two: DataFrame, kind: str, scratch: Scratch, left: Sequence[str], right: Sequence[str], unicode: bool = False, scorer: str | None = SCORER) -> DataFrame:
+    """The pairs of two sides, one to one, with the columns `left` and `right` of both."""
     if kind in IDENTIFIERS:
-        return assign_identifiers(k1, k2)
-    return assign_edges(edges(k1, k2, kind, unicode, scorer), driver_edges)
+        return pair_blocks(one, two, left, right)
+    k1, k2 = (s.where(~N.is_blank(F.col("key"))) for s in (one, two))
+    return _with_ends(assign_edges(edges(k1, k2, kind, unicode, scorer), scratch), one, two, left, right)
 
 
-def best_match(value: str, table: DataFrame, key: str, row: str, kind: str, scorer: str | None = "difflib") -> DataFrame:
+def best_match(value: str, table: DataFrame, key: str, row: str, kind: str, scorer: str | None = SCORER) -> DataFrame:
     """The best row of a table for one value: id2, stage, confidence; no row if none reaches the threshold."""
     spark = table.sparkSession
     one = spark.range(1).select(F.lit(0).cast("long").alias(row), F.lit(value).alias("_value"))

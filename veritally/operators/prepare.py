@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
+from ..sources.shared import Scratch, hashable, partitions
 from .detect import summable
 
 ROW = "_ROW_NO"
@@ -18,16 +18,18 @@ TAX_KEYS = ("GSTR", "NAME OF TRADER/FIRM/COMPANY", "INVOICE NO.", "INVOICE DATE"
 TAX_COLUMNS = (*TAX_KEYS, *TAX_AMOUNTS)
 
 
-def number_rows(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Adds _ROW_NO, the sheet's row number counting the header as row 1, in a stable order.
+def number_rows(df: DataFrame, order: Sequence[str | Column], scratch: Scratch | None = None) -> DataFrame:
+    """Adds _ROW_NO, the sheet's row number counting the header as row 1.
 
-    Ranks come from ranges: rows are range-partitioned on the order, each partition counts its own, and the counts before it are
-    added, so no single task sees all rows.
+    The order is total: rows that agree in `order` go by a hash of all columns, and rows that agree in everything are the same
+    row. Each range is sorted and counted on its own and written to the shared folder with its counts, so no task sees all rows, and a lost
+    executor can't number a row anew: what is read later are the written numbers.
     """
     spark = df.sparkSession
-    ordered = df.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    marked = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    marked = marked.persist(StorageLevel.DISK_ONLY)  # both readers must see the same ranges
+    total = [*(c if isinstance(c, Column) else F.col(N.quoted(c)) for c in order), F.xxhash64(*map(N.quoted, hashable(df)))]
+    ranges = df.repartitionByRange(partitions(spark), *total).sortWithinPartitions(*total)
+    marked = ranges.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    marked = (scratch or Scratch(spark)).written(marked)
     counts = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("_p").alias("_of"), before.alias("_start"))  # a row for each partition

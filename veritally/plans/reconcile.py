@@ -1,7 +1,8 @@
-"""Reconciliation of two tables: one lazy graph from scans to classified pairs.
+"""Reconciliation of two tables: each side is keyed and written once, then pairs are joined from the written sides.
 
-Driver round trips are bounded: column typing (one aggregate a side), key detection (a top-100 sample), and for text keys the edge
-assignment. Everything else is joins, aggregations and anti-joins that Catalyst plans.
+What reaches the driver is bounded: column typing (one aggregate a side) and key detection (a top-100 sample). A side is written with its
+keys, rule values and place in its block, bucketed by block, so that pairing and comparing identifier keys exchanges nothing
+but the rows of blocks that hold several. Pairs are written once too. All of it lies in the shared folder until `release`.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from ..operators import compare as C
 from ..operators import detect as D
 from ..operators import match as M
 from ..operators import prepare as P
+from ..functions.udfs import SCORER
+from ..sources.shared import Scratch, pinned
 
 Progress = Callable[[int, str], None]
 
@@ -38,7 +40,7 @@ class Spec:
     extras_2: Sequence[str] = ()
     kind: str | None = None
     orientation: str = "vertical"
-    scorer: str | None = "difflib"
+    scorer: str | None = SCORER
     tolerance: float = C.TOLERANCE
     strict_hints: bool = False
     name_1: str = "File 1"
@@ -56,8 +58,8 @@ class Result:
     left: DataFrame
     right: DataFrame
     pairs: DataFrame
-    reviewable: bool = False
     fields: list[str] = field(default_factory=list)
+    scratch: Scratch | None = None
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -74,15 +76,16 @@ class Result:
 
     @cached_property
     def only_in_1(self) -> DataFrame:
-        return self.left.join(self.pairs.select(F.col("row_1").alias(P.ROW)), P.ROW, "left_anti")
+        return _without(self.left, self.pairs, "row_1")
 
     @cached_property
     def only_in_2(self) -> DataFrame:
-        return self.right.join(self.pairs.select(F.col("row_2").alias(P.ROW)), P.ROW, "left_anti")
+        return _without(self.right, self.pairs, "row_2")
 
     def release(self) -> None:
-        """Lets go of the pairs that were kept."""
-        self.pairs.unpersist()
+        """Deletes all that the run has written; its tables can't be read any more."""
+        if self.scratch:
+            self.scratch.release()
 
     def summary(self) -> DataFrame:
         """One row of counters, by one aggregation over pairs and one count of each side."""
@@ -97,6 +100,11 @@ class Result:
         return out.withColumns({"only_in_file_1": F.col("source_records_1") - F.col("matched_records"), "only_in_file_2": F.col("source_records_2") - F.col("matched_records")})
 
 
+def _without(side: DataFrame, pairs: DataFrame, row: str) -> DataFrame:
+    """Rows of a side that no pair has, with the side's columns in their order."""
+    return side.join(pairs.select(row), side[P.ROW] == pairs[row], "left_anti")
+
+
 def _check(progress: Progress | None, cancelled: Callable[[], bool] | None, percent: int, step: str) -> None:
     if cancelled and cancelled():
         raise Cancelled("Reconciliation cancelled by user")
@@ -104,15 +112,20 @@ def _check(progress: Progress | None, cancelled: Callable[[], bool] | None, perc
         progress(percent, step)
 
 
-def _numbered(df: DataFrame, order: Sequence[str | Column] | None) -> DataFrame:
+def _numbered(df: DataFrame, order: Sequence[str | Column] | None, scratch: Scratch) -> DataFrame:
     if P.ROW in df.columns:
         return df
-    return P.number_rows(df, list(order or df.columns))
+    return P.number_rows(df, list(order or df.columns), scratch)
+
 
+def _own(names: Sequence[str]) -> list[str]:
+    """Names of a side's own columns in its written table, where nothing may clash with them."""
+    return [f"own {i}" for i in range(len(names))]
 
-def _settled(pairs: DataFrame) -> DataFrame:
-    """The same rows; filters above stay above. Pushed below, they would repeat the verdicts' expressions in each of their terms."""
-    return pairs.withColumn("_pin", F.spark_partition_id()).where("_pin >= 0").drop("_pin")
+
+def _table(side: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The side's rows as they were, read back."""
+    return side.select(*(F.col(f"`{o}`").alias(n) for o, n in zip(_own(names), names, strict=True)))
 
 
 def reconcile(
@@ -127,32 +140,34 @@ def reconcile(
     if P.is_horizontal(spec.orientation):
         file_1, file_2 = (P.transpose(df, P.ROW if P.ROW in df.columns else None) for df in (file_1, file_2))
         order_1 = order_2 = None
-    one, two = (_numbered(df, o) for df, o in ((file_1, order_1), (file_2, order_2)))
+    scratch = Scratch(file_1.sparkSession)
+    one, two = (_numbered(df, o, scratch) for df, o in ((file_1, order_1), (file_2, order_2)))
     one, two = N.with_canonical_headers(one), N.with_canonical_headers(two)
-    key_1, key_2 = N.field(spec.key_1), N.field(spec.key_2)
+    keys = [N.field(spec.key_1), N.field(spec.key_2)]
     rules = [r.canonical() for r in spec.rules]
     extras = [[N.field(c) for c in e] for e in (spec.extras_1, spec.extras_2)]
-    D.require_columns(one, [key_1, *(c for r in rules for c in r.file_1), *extras[0]], "File 1")
-    D.require_columns(two, [key_2, *(c for r in rules for c in r.file_2), *extras[1]], "File 2")
+    D.require_columns(one, [keys[0], *(c for r in rules for c in r.file_1), *extras[0]], "File 1")
+    D.require_columns(two, [keys[1], *(c for r in rules for c in r.file_2), *extras[1]], "File 2")
     D.require_numeric_rules(one, two, [(list(r.file_1), list(r.file_2)) for r in rules])
-    used = [{key_1, *(c for r in rules for c in r.file_1)}, {key_2, *(c for r in rules for c in r.file_2)}]
+    used = [{keys[0], *(c for r in rules for c in r.file_1)}, {keys[1], *(c for r in rules for c in r.file_2)}]
     _check(progress, cancelled, 20, "normalising")
     unicode = D.has_unicode(one, sorted(used[0])) or D.has_unicode(two, sorted(used[1]))
-    left, right = P.aggregate_by_key(one, key_1), P.aggregate_by_key(two, key_2)
-    kind = spec.kind or D.detect(left, key_1, right, key_2, spec.strict_hints)
+    sides, names, shown = [], [], []
+    for n, df, key, extra in ((1, one, keys[0], extras[0]), (2, two, keys[1], extras[1])):
+        df = P.aggregate_by_key(df, key)
+        payload = [F.col(P.ROW).alias(f"row_{n}"), N.cell(df, key).alias(f"key_{n}")]
+        for i, r in enumerate(rules):
+            payload += C.rule_columns(df, r.file_1 if n == 1 else r.file_2, f"r{i}_{n}")
+        payload.append(F.struct(*(df[N.quoted(c)].alias(c) for c in extra)).alias(f"extra_{n}") if extra else F.lit(None).cast("string").alias(f"extra_{n}"))
+        names.append(df.columns)
+        shown.append([f"row_{n}", f"key_{n}", *(f"r{i}_{n}_{x}" for i in range(len(rules)) for x in ("value", "numeric")), f"extra_{n}"])
+        payload += [df[N.quoted(c)].alias(o) for c, o in zip(df.columns, _own(df.columns), strict=True)]
+        sides.append(M.side(df, P.ROW, N.cell(df, key), scratch, unicode=unicode, payload=payload))
+    left, right = (_table(s, n) for s, n in zip(sides, names, strict=True))
     _check(progress, cancelled, 35, "matching")
-    k1 = M.keyed(left, P.ROW, N.cell(left, key_1), unicode=unicode)
-    k2 = M.keyed(right, P.ROW, N.cell(right, key_2), unicode=unicode)
-    pairs = M.match(k1, k2, kind, unicode, spec.scorer)
+    kind = spec.kind or D.detect(left, keys[0], right, keys[1], spec.strict_hints)
+    met = M.match(*sides, kind, scratch, *shown, unicode, spec.scorer)
     _check(progress, cancelled, 55, "comparing")
-    sides = []
-    for n, df, key, ex in ((1, left, key_1, extras[0]), (2, right, key_2, extras[1])):
-        cols = [F.col(P.ROW).alias(f"row_{n}"), N.cell(df, key).alias(f"key_{n}")]
-        for i, r in enumerate(rules):
-            cols += C.rule_columns(df, r.file_1 if n == 1 else r.file_2, f"r{i}_{n}")
-        cols.append(F.struct(*(df[N.quoted(c)].alias(c) for c in ex)).alias(f"extra_{n}") if ex else F.lit(None).cast("string").alias(f"extra_{n}"))
-        sides.append(df.select(*cols))
-    met = pairs.join(sides[0], pairs["id1"] == sides[0]["row_1"]).join(sides[1], pairs["id2"] == sides[1]["row_2"])
     told = C.with_verdict(met, F.col("key_1"), F.col("key_2"), kind, "_v", unicode, spec.scorer, spec.tolerance)
     for i, r in enumerate(rules):
         told = C.with_rule(told, r, f"r{i}", f"_d{i}", unicode, spec.scorer, spec.tolerance)
@@ -162,45 +177,50 @@ def reconcile(
         "row_1", "row_2", "key_1", "key_2", F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"),
         F.col("_v.status").alias("status"), "differences", "extra_1", "extra_2",
     )
-    told = _settled(told.withColumn("outcome", C.outcome(F.col("confidence"), F.col("differences")))).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = scratch.written(told.withColumn("outcome", C.outcome(F.col("confidence"), F.col("differences"))))
     _check(progress, cancelled, 75, "classifying")
-    return Result("generic", kind, [key_1, key_2], (spec.name_1, spec.name_2), left, right, told, fields=[r.name() for r in rules])
+    return Result("generic", kind, keys, (spec.name_1, spec.name_2), left, right, pairs, fields=[r.name() for r in rules], scratch=scratch)
 
 
 def reconcile_tax(
     file_1: DataFrame, file_2: DataFrame, threshold: int = 85, order_1: Sequence[str] | None = None, order_2: Sequence[str] | None = None,
-    scorer: str | None = "difflib", names: tuple[str, str] = ("File 1", "File 2"), progress: Progress | None = None, cancelled: Callable[[], bool] | None = None,
+    scorer: str | None = SCORER, names: tuple[str, str] = ("File 1", "File 2"), progress: Progress | None = None, cancelled: Callable[[], bool] | None = None,
 ) -> Result:
     """The tax-invoice mode: fixed columns, duplicates merged, invoices paired inside each registration, names, dates and amounts compared."""
     _check(progress, cancelled, 10, "reading")
-    one, two = (_numbered(df, o) for df, o in ((file_1, order_1), (file_2, order_2)))
+    scratch = Scratch(file_1.sparkSession)
+    one, two = (_numbered(df, o, scratch) for df, o in ((file_1, order_1), (file_2, order_2)))
     one, two = P.normalise_tax(one), P.normalise_tax(two)
     P.require_tax_columns(one, two)
-    left, right = P.merge_duplicate_invoices(one), P.merge_duplicate_invoices(two)
     _check(progress, cancelled, 35, "matching")
-    k1, k2 = (M.keyed(df, P.ROW, F.col("`INVOICE NO.`"), F.col("GSTR")) for df in (left, right))
-    pairs = M.assign_identifiers(k1, k2)
+    sides, columns = [], []
+    for n, df in ((1, one), (2, two)):
+        df = P.merge_duplicate_invoices(df)
+        columns.append(df.columns)
+        payload = [F.struct(*(F.col(f"`{c}`").alias(c) for c in P.TAX_COLUMNS)).alias(f"rec_{n}"), F.col(P.ROW).alias(f"row_{n}")]
+        payload += [df[N.quoted(c)].alias(o) for c, o in zip(df.columns, _own(df.columns), strict=True)]
+        sides.append(M.side(df, P.ROW, F.col("`INVOICE NO.`"), scratch, F.col("GSTR"), payload=payload))
+    left, right = (_table(s, n) for s, n in zip(sides, columns, strict=True))
+    met = M.pair_blocks(*sides, ["row_1", "rec_1"], ["row_2", "rec_2"])
     _check(progress, cancelled, 55, "comparing")
-    sides = [df.select(F.col(P.ROW).alias(f"row_{n}"), F.struct(*(F.col(f"`{c}`").alias(c) for c in P.TAX_COLUMNS)).alias(f"rec_{n}")) for n, df in ((1, left), (2, right))]
-    met = pairs.join(sides[0], pairs["id1"] == sides[0]["row_1"]).join(sides[1], pairs["id2"] == sides[1]["row_2"])
     of = [{c: F.col(f"rec_{n}").getField(c) for c in P.TAX_COLUMNS} for n in (1, 2)]
     name = "NAME OF TRADER/FIRM/COMPANY"
     told = met.withColumn("_v", C.identifier(of[0]["INVOICE NO."], of[1]["INVOICE NO."], "invoice"))
     told = C.with_verdict(told, of[0][name], of[1][name], "company_name", "_n", scorer=scorer)
     told = told.withColumn("_d", C.dates(of[0]["INVOICE DATE"].cast("string"), of[1]["INVOICE DATE"].cast("string")))
     differences, notes = C.tax_differences(of[0], of[1], F.col("_n"), F.col("_d"), threshold)
-    told = told.withColumn("differences", differences).withColumn("notes", notes)
+    told = pinned(told.withColumn("differences", differences).withColumn("notes", notes))
     told = told.select(
         "row_1", "row_2", of[0]["GSTR"].alias("gstr"), of[0]["INVOICE NO."].alias("key_1"), of[1]["INVOICE NO."].alias("key_2"),
-        of[0]["NAME OF TRADER/FIRM/COMPANY"].alias("name_1"), of[1]["NAME OF TRADER/FIRM/COMPANY"].alias("name_2"),
+        of[0][name].alias("name_1"), of[1][name].alias("name_2"),
         F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"), F.col("_v.status").alias("status"), "differences", "notes",
     )
-    told = _settled(told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes")))).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = scratch.written(told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes"))))
     _check(progress, cancelled, 75, "classifying")
-    return Result("tax", "invoice", ["INVOICE NO.", "INVOICE NO."], names, left, right, told, fields=["NAME", "DATE", *P.TAX_AMOUNTS])
+    return Result("tax", "invoice", ["INVOICE NO.", "INVOICE NO."], names, left, right, pairs, fields=["NAME", "DATE", *P.TAX_AMOUNTS], scratch=scratch)
 
 
-def compare_values(spark, a: object, b: object, name_1: str = "", name_2: str = "", kind: str | None = None, scorer: str = "difflib") -> dict:
+def compare_values(spark, a: object, b: object, name_1: str = "", name_2: str = "", kind: str | None = None, scorer: str = SCORER) -> dict:
     """The verdict on a single pair of values."""
     row = spark.range(1).select(F.lit(None if a is None else str(a)).cast("string").alias("a"), F.lit(None if b is None else str(b)).cast("string").alias("b"))
     row = row.withColumn("kind", F.lit(kind or D.kind_by_name(name_1, name_2)) if kind or D.kind_by_name(name_1, name_2) else D.kind_of_values(F.col("a"), F.col("b")))

@@ -62,22 +62,7 @@ def _files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
-#: Runs of this process, by what was run and where: reports of one run share its pairs.
-RUNS: dict[tuple[str, str, str], Result] = {}
-
-
-def _once(kind: str, spark: SparkSession, d: str, run: Callable[[], Result]) -> Result:
-    key = (kind, spark.sparkContext.applicationId, d)
-    if key not in RUNS:
-        RUNS[key] = run()
-    return RUNS[key]
-
-
 def _generic(spark: SparkSession, d: str) -> Result:
-    return _once("generic", spark, d, lambda: _run_generic(spark, d))
-
-
-def _run_generic(spark: SparkSession, d: str) -> Result:
     one, two = _files(spark, d)
     rules = [C.Rule(["amount"], ["amount"]), C.Rule(["priority"], ["priority"])]
     return reconcile(one.drop("ordered", "okey"), two.drop("ordered", "okey"), Spec("ref", "ref", rules, kind="identifier", name_1="ledger.xlsx", name_2="bank.xlsx"))
@@ -480,10 +465,6 @@ def report_controls(spark, d):
 
 
 def _tax(spark, d) -> Result:
-    return _once("tax", spark, d, lambda: _run_tax(spark, d))
-
-
-def _run_tax(spark, d) -> Result:
     rows = P.number_rows(_tax_table(spark, d), [F.col(f"`{c}`") for c in _TAX_ORDER])
     two = rows.where("l_orderkey % 29 <> 0")
     two = two.withColumn("TAXABLE VALUE", F.col("TAXABLE VALUE") + F.when(F.col("l_orderkey") % 17 == 0, 10.0).otherwise(0.0))
