@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scores import SCORER, SCORERS
+
 
 def nfkc(c: Column) -> Column:
     @F.arrow_udf("string")
@@ -18,73 +19,15 @@ def nfkc(c: Column) -> Column:
     return run(c)
 
 
-def _ratio(a: str, b: str) -> float:
-    """100 times twice the longest common subsequence over both lengths."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = before + 1 if x == y else max(above, row[j - 1])
-            before = above
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-def _partial(a: str, b: str) -> float:
-    """The best ratio of the shorter with a window of the longer, windows cut off at the ends included."""
-    short, long = sorted((a, b), key=len)
-    n = len(short)
-    if not n:
-        return 0.0
-    return max(_ratio(short, w) for k in range(1 - n, len(long)) if (w := long[max(0, k) : k + n]))
-
-
-def difflib_score(a: str, b: str) -> int:
-    return int(round(SequenceMatcher(None, a, b).ratio() * 100)) if a and b else 0
-
-
-def token_score(a: str, b: str) -> int:
-    """The best of whole, sorted-token, token-set and windowed ratios, as publicly defined; cut to a whole number."""
-    if not a or not b:
-        return 0
-    ta, tb = a.split(), b.split()
-    sa, sb = " ".join(sorted(ta)), " ".join(sorted(tb))
-    common, left, right = (" ".join(sorted(x)) for x in (set(ta) & set(tb), set(ta) - set(tb), set(tb) - set(ta)))
-    scores = [_ratio(a, b), _ratio(sa, sb), _partial(a, b)]
-    if common and (not left or not right):
-        scores.append(100.0)
-    else:
-        both = f"{common} {left}".strip(), f"{common} {right}".strip()
-        scores += [_ratio(*both), *((_ratio(common, x) for x in both) if common else ())]
-    size = max(len(a), len(b)) / min(len(a), len(b))
-    if size >= 1.5:
-        scale = 0.9 if size <= 8 else 0.6
-        scores.append(0.95 * scale * (100.0 if common else _partial(sa, sb)))
-    return int(max(scores))
-
-
-#: The scorer that is meant where none is named.
-SCORER = "token_max"
-SCORERS = {"difflib": difflib_score, "token_max": token_score}
-
-
-def similarity(a: Column, b: Column, scorer: str = "difflib") -> Column:
-    """0 to 100; null where either is null, so rows that need no score cost nothing but their transfer."""
+def similarity(a: Column, b: Column, scorer: str = SCORER) -> Column:
+    """0 to 100; null where either is null, so rows that need no score cost nothing but their transfer. Equal pairs of a batch are scored once."""
     score = SCORERS[scorer]
 
     @F.arrow_udf("int")
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        known: dict[tuple[str, str], int] = {}
-        out = []
-        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            if (x, y) not in known:
-                known[x, y] = score(x, y)
-            out.append(known[x, y])
-        return pa.array(out, pa.int32())
+        pairs = list(zip(left.to_pylist(), right.to_pylist(), strict=True))
+        known = list(dict.fromkeys(p for p in pairs if p[0] is not None and p[1] is not None))
+        scores = dict(zip(known, score(known).tolist(), strict=True))
+        return pa.array([scores.get(p) for p in pairs], pa.int32())
 
     return run(a, b)
