@@ -222,6 +222,39 @@ def test_identifier_blocks_are_the_greedy_pass(spark):
         scratch.release()
 
 
+def _names(n: int, seed: int) -> list[str]:
+    """Names of few and of many words, half of them with a frequent one, many near each other."""
+    r = random.Random(seed)
+    stems = ["".join(random.Random(k).choice("abcdefghij") for _ in range(random.Random(-k).randint(3, 8))) for k in range(60)]
+    out = []
+    for _ in range(n):
+        words = [r.choice(stems) for _ in range(r.randint(1, 4))]
+        k = r.randrange(len(words))
+        words[k] = words[k][: r.randint(2, 9)] + r.choice(["", "x", "y"])
+        out.append(" ".join(words + ["group"] * (r.random() < 0.5)))
+    return out
+
+
+@pytest.mark.parametrize(("scorer", "n", "hot", "tile"), [("difflib", 1500, 30_000, 200), ("difflib", 150, 0, 7), ("token_max", 250, 1000, 50), ("token_max", 250, 10**9, 50)])
+def test_fuzzy_join_equals_brute_force(spark, scorer, n, hot, tile):
+    from veritally.functions.scores import SCORERS
+
+    names = [_names(n, 1), _names(n, 2)]
+    sides = [M.keyed(spark.createDataFrame([(i, v) for i, v in enumerate(x)], f"{P.ROW} long, k string"), P.ROW, F.col("k")) for x in names]
+    scratch = Scratch(spark)
+    found = M.fuzzy_candidates(*sides, scorer, 75, scratch, hot, tile)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Distinct" not in plan
+    got = [tuple(r) for r in found.collect()]
+    pairs = [(i, j, a, b) for i, a in enumerate(names[0]) for j, b in enumerate(names[1]) if set(a.split()) & set(b.split())]
+    unique = list({(a, b) for _, _, a, b in pairs})
+    score = dict(zip(unique, SCORERS[scorer](unique).tolist(), strict=True))
+    want = {(i, j, score[a, b]) for i, j, a, b in pairs if score[a, b] >= 75}
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    scratch.release()
+
+
 def test_text_keys_pair_by_spelling(spark):
     one = _rows(spark, [("Acme Suppliers Ltd",), ("Nexus Logistics",), ("Unrelated",)], "PARTNER string")
     two = _rows(spark, [("ACME SUPPLIERS LIMITED",), ("Nexus Logistcs",), ("Nobody",)], "PARTNER string")

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
-from ..functions.udfs import SCORER, similarity
+from ..functions.scores import SCORER, SCORERS, ratios
+from ..functions.udfs import similarity
 from ..sources.shared import Scratch, partitions
 from .compare import with_verdict
 from .detect import IDENTIFIERS, TEXTS, threshold
@@ -74,28 +76,102 @@ def candidates(k1: DataFrame, k2: DataFrame) -> DataFrame:
     return by_compact.select(*cols).unionByName(by_words.select(*cols))
 
 
-def fuzzy_candidates(k1: DataFrame, k2: DataFrame, scorer: str = SCORER, least: int = 75) -> DataFrame:
-    """(id1, id2, confidence) of pairs that share a word (long forms) and score `least`, scored once for each pair of distinct texts.
-
-    No word is left out for being frequent: the join's hot keys are split by adaptive execution, and lengths that
-    rule the score out are dropped before any scoring.
+#: Pairs of texts that meet at one word up to which they are joined row by row; words beyond that are worked off in tiles of so many texts a side.
+HOT, TILE = 1_000_000, 1024
+#: Pairs that are scored at once in a tile.
+AT_ONCE = 50_000
+
+
+def _possible(scorer: str, least: int, x: Column, y: Column) -> Column:
+    """What lengths alone say: a common subsequence is at most as long as the shorter text. Windows and word sets have no such bound."""
+    return 200 * F.least(x, y) >= (least - 0.5) * (x + y) if scorer == "difflib" else F.lit(True)
+
+
+def _histogram(texts: list[str], letters: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(texts), len(letters)), np.int32)
+    for i, t in enumerate(texts):
+        for c in t:
+            out[i, letters[c]] += 1
+    return out
+
+
+def _tile(scorer: str, least: int):
+    """Texts of two tiles of one frequent word: the pairs whose rarest common word it is and that reach the score."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        word = key[1].as_py()
+        ones, twos = left["s"].to_pylist(), right["s"].to_pylist()
+        holders: dict[str, list[int]] = {}
+        for j, names in enumerate(right["names"].to_pylist()):
+            for w in names[: names.index(word)]:
+                holders.setdefault(w, []).append(j)
+        size = np.fromiter(map(len, twos), np.int64, len(twos))
+        letters = {c: i for i, c in enumerate(sorted(set("".join(ones)) | set("".join(twos))))} if scorer == "difflib" else {}
+        chars = _histogram(twos, letters) if letters else None
+        found: list[tuple[str, str]] = []
+        scores: list[np.ndarray] = []
+        waiting: list[tuple[str, str]] = []
+
+        def flush() -> None:
+            pairs = waiting
+            if scorer == "difflib" and pairs:  # its blocks are a common subsequence, so the longest one bounds the score
+                keep = np.flatnonzero(ratios(pairs) >= least - 0.5)
+                pairs = [pairs[k] for k in keep.tolist()]
+            got = SCORERS[scorer](pairs)
+            hit = np.flatnonzero(got >= least)
+            found.extend(pairs[k] for k in hit.tolist())
+            scores.append(got[hit])
+            waiting.clear()
+
+        for text, names in zip(ones, left["names"].to_pylist(), strict=True):
+            open_ = np.ones(len(twos), bool)
+            for w in names[: names.index(word)]:
+                open_[holders.get(w, [])] = False  # these two met at a rarer word
+            if chars is not None:
+                common = np.minimum(_histogram([text], letters)[0], chars).sum(axis=1)
+                open_ &= 200 * common >= (least - 0.5) * (len(text) + size)
+            waiting.extend((text, twos[j]) for j in np.flatnonzero(open_).tolist())
+            if len(waiting) >= AT_ONCE:
+                flush()
+        flush()
+        n = len(found)
+        return pa.table({"grp": pa.array([key[0].as_py()] * n, pa.string()), "s1": pa.array([x for x, _ in found], pa.string()), "s2": pa.array([y for _, y in found], pa.string()), "confidence": pa.array(np.concatenate(scores), pa.int32())})
+
+    return run
+
+
+def fuzzy_candidates(k1: DataFrame, k2: DataFrame, scorer: str = SCORER, least: int = 75, scratch: Scratch | None = None, hot: int = HOT, tile: int = TILE) -> DataFrame:
+    """(id1, id2, confidence) of all pairs that share a word (long forms) and score `least`, scored once for each pair of distinct texts.
+
+    The words of a text are ordered by the pairs that they would make, fewest first, and a pair meets at the first word that both have,
+    and there alone: nothing is compared twice and no pairs are made distinct. Words that few pairs share are an equi-join. The texts of a frequent
+    word are dealt over tiles, and two tiles make pairs inside one task only, where counts of characters and common subsequences
+    rule most of them out before they are scored. No word is left out, so that the result is whole.
     """
-    long = lambda k: k.select("grp", F.col("synonym_key").alias("k"), F.col("norm")).distinct()
-    texts = [long(k).withColumn("s", N.expand(F.col("norm"))).select("grp", "s").distinct() for k in (k1, k2)]
+    scratch = scratch or Scratch(k1.sparkSession)
+    texts = [k.select("grp", N.expand(F.col("norm")).alias("s")).distinct() for k in (k1, k2)]
     words = [t.select("grp", "s", F.explode(F.array_distinct(F.split("s", " "))).alias("word")).where("word <> ''") for t in texts]
-    a, b = words[0].alias("a"), words[1].alias("b")
-    met = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.word") == F.col("b.word")))
-    if scorer == "difflib":
-        x, y = F.length("a.s"), F.length("b.s")
-        met = met.where(200 * F.least(x, y) >= (least - 0.5) * (x + y))
-    pairs = met.select(F.col("a.grp").alias("grp"), F.col("a.s").alias("s1"), F.col("b.s").alias("s2")).distinct()
-    scored = pairs.withColumn("confidence", similarity(F.col("s1"), F.col("s2"), scorer)).where(F.col("confidence") >= least)
-    ids = [k.select("grp", "id", N.expand(F.col("norm")).alias("s")) for k in (k1, k2)]
-    out = scored.join(ids[0].select("grp", F.col("id").alias("id1"), F.col("s").alias("s1")), ["grp", "s1"])
-    return out.join(ids[1].select("grp", F.col("id").alias("id2"), F.col("s").alias("s2")), ["grp", "s2"]).select("id1", "id2", "confidence")
-
-
-def edges(k1: DataFrame, k2: DataFrame, kind: str, unicode: bool = False, scorer: str | None = SCORER) -> DataFrame:
+    counts = [w.groupBy("grp", "word").agg(F.count(F.lit(1)).alias(f"n{i}")) for i, w in enumerate(words, 1)]
+    met = counts[0].join(counts[1], ["grp", "word"]).withColumn("cost", F.col("n1") * F.col("n2"))  # a word of one side alone joins nothing
+    one, two = (
+        scratch.written(w.join(met, ["grp", "word"]).groupBy("grp", "s").agg(F.array_sort(F.collect_list(F.struct("cost", "word", "n1", "n2"))).alias("ws")).withColumn("names", F.col("ws.word")))
+        for w in words
+    )
+    own = [t.select("grp", F.col("s").alias(f"s{i}"), F.col("names").alias(f"names{i}"), F.explode(F.filter("ws", lambda x: x["cost"] <= hot)["word"]).alias("word")) for i, t in enumerate((one, two), 1)]
+    few = own[0].join(own[1], ["grp", "word"]).where((F.array_intersect("names1", "names2")[0] == F.col("word")) & _possible(scorer, least, F.length("s1"), F.length("s2")))
+    scored = few.select("grp", "s1", "s2", similarity(F.col("s1"), F.col("s2"), scorer).alias("confidence")).where(F.col("confidence") >= least)
+    tiles = lambda n: F.ceil(F.col(f"w.{n}") / tile)
+    dealt = []
+    for t, mine, other, at, to in ((one, "n1", "n2", "i", "j"), (two, "n2", "n1", "j", "i")):
+        often = t.select("grp", "s", "names", F.explode(F.filter("ws", lambda x: x["cost"] > hot)).alias("w"))
+        spread = often.withColumn(at, F.pmod(F.xxhash64("s"), tiles(mine))).withColumn(to, F.explode(F.sequence(F.lit(0).cast("long"), tiles(other) - 1)))
+        dealt.append(spread.select("grp", F.col("w.word").alias("word"), "i", "j", "s", "names").groupBy("grp", "word", "i", "j"))
+    many = dealt[0].cogroup(dealt[1]).applyInArrow(_tile(scorer, least), "grp string, s1 string, s2 string, confidence int")
+    ids = [k.select("grp", F.col("id").alias(f"id{i}"), N.expand(F.col("norm")).alias(f"s{i}")) for i, k in enumerate((k1, k2), 1)]
+    return scored.unionByName(many).join(ids[0], ["grp", "s1"]).join(ids[1], ["grp", "s2"]).select("id1", "id2", "confidence")
+
+
+def edges(k1: DataFrame, k2: DataFrame, kind: str, unicode: bool = False, scorer: str | None = SCORER, scratch: Scratch | None = None) -> DataFrame:
     """id1, id2, stage, confidence, priority of every pair that may be taken."""
     found = candidates(k1, k2)
     judged = with_verdict(found, F.col("key1"), F.col("key2"), kind, "v", unicode, scorer)
@@ -103,7 +179,7 @@ def edges(k1: DataFrame, k2: DataFrame, kind: str, unicode: bool = False, scorer
     first = first.select("id1", "id2", F.lit(0).alias("stage"), "confidence", "priority")
     if kind not in TEXTS or not scorer:
         return first
-    second = fuzzy_candidates(k1, k2, scorer, threshold(kind)).join(first.select("id1", "id2"), ["id1", "id2"], "left_anti")
+    second = fuzzy_candidates(k1, k2, scorer, threshold(kind), scratch).join(first.select("id1", "id2"), ["id1", "id2"], "left_anti")
     return first.unionByName(second.select("id1", "id2", F.lit(1).alias("stage"), "confidence", F.lit(0).alias("priority")))
 
 
@@ -233,7 +309,7 @@ def match(one: DataFrame, two: DataFrame, kind: str, scratch: Scratch, left: Seq
     if kind in IDENTIFIERS:
         return pair_blocks(one, two, left, right)
     k1, k2 = (s.where(~N.is_blank(F.col("key"))) for s in (one, two))
-    return _with_ends(assign_edges(edges(k1, k2, kind, unicode, scorer), scratch), one, two, left, right)
+    return _with_ends(assign_edges(edges(k1, k2, kind, unicode, scorer, scratch), scratch), one, two, left, right)
 
 
 def best_match(value: str, table: DataFrame, key: str, row: str, kind: str, scorer: str | None = SCORER) -> DataFrame:
