@@ -1,7 +1,7 @@
 """Scalar normalisation as column expressions.
 
-Everything stays in generated code. Only `unicode=True` adds an Arrow UDF for NFKC, which Spark has no function for; the
-engine asks for it only where a column holds a character beyond ASCII (one aggregate tells).
+Everything stays in the JVM; `let` and the functions on words are higher-order functions, which Spark interprets. Only `unicode=True` adds an Arrow UDF
+for NFKC, which Spark has no function for; the engine asks for it only where a column holds a character beyond ASCII (one aggregate tells).
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ SYNONYMS = {
     "inc": "incorporated",
     "llp": "limited liability partnership",
 }
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MMM-yyyy", "dd MMM yyyy", "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "MM-yyyy", "yyyyMMdd", "dd.MM.yyyy")
 
 
 def header(name: object) -> str:
@@ -119,18 +118,66 @@ def number_of(df: DataFrame, name: str) -> Column:
     return to_number(df[quoted(name)], df.schema[name].dataType.typeName())
 
 
+# A day's text is digit runs and at most one month name, in any order that ranges settle, then a time and a zone if they are given.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_WEEKDAY = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+"
+_HALF = r"(?:0?[1-9]|1[0-2])"
+_CLOCK = (
+    rf"(?:(?:\s+|(?<=\d)t)(?:{_HALF}(?::[0-5]\d){{1,2}}(?:[.,]\d{{1,9}})?\s*[ap]m|(?:[01]?\d|2[0-3])(?::[0-5]\d){{1,2}}(?:[.,]\d{{1,9}})?)"
+    rf"|\s+{_HALF}\s*[ap]m|(?<=\d)t(?:[01]\d|2[0-3])(?:[0-5]\d){{0,2}})(?:\s*(?:z|utc|gmt|[+-]\d{{2}}:?\d{{2}}))?$"
+)
+#: Days outside are none: what a 64-bit count of nanoseconds reaches.
+_FIRST_DAY, _LAST_DAY = "1677-09-22", "2262-04-10"
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """A date, or null where there is no such day; years of one or two digits lie in 1976 to 2075."""
+    two = F.lpad(year, 2, "0")
+    whole = F.when(F.length(year) == 4, year).when(F.length(year) <= 2, F.concat(F.when(two >= "76", "19").otherwise("20"), two))
+    return F.concat_ws("-", whole, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+
+
+def _day_of_tokens(f: Column) -> Column:
+    n, month = f["n"], f["month"]
+    size, one = F.size(n), F.lit("1")
+    a, b, c = (F.get(n, i) for i in range(3))
+    long = lambda x: F.length(x) == 4
+    number = lambda x: x.try_cast("int")
+    plain = F.length(a) <= 2
+    named = (
+        F.when((size == 2) & (long(a) | (number(a) > 31)), _day(a, month, b)).when((size == 2) & plain, _day(b, month, a)).when((size == 1) & long(a), _day(a, month, one))
+    )
+    digits = (
+        F.when((size == 3) & (long(a) | (plain & (number(a) > 31))), _day(a, b, c))
+        .when((size == 3) & plain & (number(a) > 12), _day(c, b, a))
+        .when((size == 3) & plain, _day(c, a, b))
+        .when((size == 2) & long(a) & (F.length(b) <= 2), _day(a, b, one))
+        .when((size == 2) & plain & long(b), _day(b, a, one))
+        .when((size == 1) & F.length(a).isin(8, 14), _day(F.substring(a, 1, 4), F.substring(a, 5, 2), F.substring(a, 7, 2)))
+        .when((size == 1) & (F.length(a) == 6), _day(F.substring(a, 5, 2), F.substring(a, 1, 2), F.substring(a, 3, 2)))
+        .when((size == 1) & long(a), _day(a, one, one))
+    )
+    return F.when(f["word"] == "", digits).otherwise(F.when(month.isNotNull(), named))
+
+
 def parse_date(c: Column, kind: str = "string") -> Column:
+    """The day of a text, or null. Time and zone are read and dropped: the day is the one that is written.
+
+    A four-digit run is the year. Of two short runs the first is the month if it can be, else the day. A month and a year alone
+    are the first day of the month, a year alone its first day. Words for today, and times without a day, are no days.
+    """
     if kind in ("date", "timestamp", "timestamp_ntz"):
         return c.cast("date")
-    text = F.trim(c.cast("string"))
-    known = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS]
-    return F.when(~is_blank(c.cast("string")), F.coalesce(*known).cast("date"))
-
-
-def _shape(fmt: str) -> str:
-    """A pattern that text in a date format fits, so that parsers meet nothing else."""
-    sizes = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{4,}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "d": r"\d{1,2}", "'T'": "T"}
-    return "^" + re.sub(r"yyyy|MMMM|MMM|MM|dd|HH|mm|ss|d|'T'|\.", lambda m: sizes.get(m[0], r"\."), fmt) + "$"
+    text = F.lower(F.trim(c.cast("string")))
+    bare = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _CLOCK, "")
+    bare = F.regexp_replace(bare, r"(\d)(?:st|nd|rd|th)\b", "$1")
+    table = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for k in dict.fromkeys((m, m[:3], "sept" if m[:4] == "sept" else m)) for x in (k, str(i + 1))))
+    shaped = bare.rlike(r"^(?:[0-9]{1,14}|[a-z]{3,9}\.?)(?:[-/., ]{1,3}(?:[0-9]{1,4}|[a-z]{3,9}\.?)){0,2}$|^[0-9]{1,2}[a-z]{3,9}[0-9]{2,4}$") & bare.rlike("[0-9]")
+    word = F.regexp_extract(bare, "[a-z]+", 0)
+    one_word = ~bare.rlike("[a-z][^a-z]+[a-z]")
+    tokens = F.struct(F.regexp_extract_all(bare, F.lit("[0-9]+"), F.lit(0)).alias("n"), word.alias("word"), F.try_element_at(table, word).alias("month"))
+    found = let(F.when(shaped & one_word, tokens), _day_of_tokens)
+    return F.when(~is_blank(c.cast("string")) & found.between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date")), found)
 
 
 def looks_like_gstin(c: Column) -> Column:

@@ -196,12 +196,23 @@ def to_number(spark, d):
     return rows.select("o_orderkey", N.to_number(F.col("v")).alias("number"), N.is_blank(F.col("v")).alias("blank"))
 
 
-_DATES = "CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS {text}) WHEN 1 THEN replace(CAST(CAST(o_orderdate AS DATE) AS {text}), '-', '') WHEN 2 THEN replace(CAST(CAST(o_orderdate AS DATE) AS {text}), '-', '/') ELSE 'none' END"
-
-
-@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderdate::DATE END AS parsed FROM (SELECT o_orderkey, o_orderdate, {_DATES.format(text='VARCHAR')} AS v FROM orders)")
+_FULL = "CASE month(d) " + " ".join(f"WHEN {i} THEN '{m.title()}'" for i, m in enumerate(N.MONTHS, 1)) + " END"
+_MON = f"substr({_FULL}, 1, 3)"
+_Y, _M, _D = (f"CAST({x}(d) AS {{text}})" for x in ("year", "month", "day"))
+#: Ways to write a day; by order key.
+_DATE_TEXTS = (
+    "CAST(d AS {text})", "replace(CAST(d AS {text}), '-', '')", "replace(CAST(d AS {text}), '-', '/')", "'none'", f"concat({_M}, '/', {_D}, '/', {_Y})", f"concat({_D}, '/', {_M}, '/', {_Y})",
+    f"concat({_MON}, ' ', {_D}, ' ', {_Y})", f"concat({_D}, '-', {_MON}, '-', {_Y})", f"concat({_FULL}, ' ', {_D}, ', ', {_Y})", "concat(CAST(d AS {text}), 'T23:59:59+05:30')",
+    f"concat({_M}, '/', {_D}, '/', {_Y}, ' 11:05 PM')", f"concat({_D}, '.', {_M}, '.', {_Y})", f"concat({_MON}, ' ', {_Y})", f"concat('Wed, ', {_D}, ' ', {_MON}, ' ', {_Y})",
+    f"concat({_D}, 'th ', {_FULL}, ' ', {_Y})", f"concat({_M}, '/', {_Y})", f"concat('INV-', {_Y})", f"concat({_M}, '/', {_D}, '/', substr({_Y}, 3, 2))",
+)
+_DATES = f"CASE o_orderkey % {len(_DATE_TEXTS)} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_DATE_TEXTS)) + " END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN k IN (3, 16) THEN NULL WHEN k IN (5, 11) AND day(d) <= 12 THEN make_date(year(d), day(d), month(d)) WHEN k IN (12, 15) THEN make_date(year(d), month(d), 1) ELSE d END AS parsed
+FROM (SELECT o_orderkey, o_orderkey % {len(_DATE_TEXTS)} AS k, o_orderdate::DATE AS d FROM orders)""")
 def parse_date(spark, d):
-    rows = _t(spark, d, "orders").select("o_orderkey", F.expr(_DATES.format(text="string")).alias("v"))
+    rows = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).select("o_orderkey", F.expr(_DATES.format(text="string")).alias("v"))
     return rows.select("o_orderkey", N.parse_date(F.col("v")).alias("parsed"))
 
 
