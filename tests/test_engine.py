@@ -283,11 +283,29 @@ def test_workbooks(spark, tmp_path):
         S.read_table(spark, "a.txt")
 
 
-def test_mapping_of_columns():
-    assert mapping.confidence("Emp ID", "employee_id") == 100
-    assert mapping.confidence("Invoice Amt", "amount") == 94
-    assert mapping.confidence("a b", "c") == 0
-    assert mapping.suggest(["Date", "Date 2"], ["date"]) == [("Date", "date", 100)]
+def test_mapping_of_columns(spark):
+    def confidence(a, b):
+        rows = mapping.scored(mapping.names_of(spark, [a]), mapping.names_of(spark, [b])).collect()
+        return rows[0]["confidence"] if rows else 0
+
+    assert confidence("Emp ID", "employee_id") == 100
+    assert confidence("Invoice Amt", "amount") == 94
+    assert confidence("order date", "ship date now") == 88
+    assert confidence("a b", "b c d") == 30
+    assert confidence("a b", "c") == 0
+    assert confidence("in voice", "invoice") == 100
+    assert [tuple(r) for r in mapping.suggest(spark, ["Date", "Date 2", "Amt"], ["date", "Amount"]).collect()] == [("Date", "date", 100), ("Amt", "Amount", 100)]
+    one, two = (spark.createDataFrame(r, "k string, v int") for r in ([("a", 1), ("a", 2), (None, 3)], [("a", 2), ("b", 3), (None, 9)]))
+    assert [r["common"] for r in mapping.evidence(one, two, [("k", "k", 100), ("v", "v", 100)]).collect()] == [1, 2]
+    assert mapping.missing_required(["a", "B "], ["A", "B", "C"]) == ["C"]
+
+
+def test_templates_and_shapes(spark):
+    shape = S.template(spark, tax=True)
+    got = S.conformed(spark.createDataFrame([("x", "1.5", "bad")], "a string, `b.c` string, d string"), shape, {"GSTR": "a", "IGST": "b.c", "CGST": "d"}).first()
+    assert (got["GSTR"], got["IGST"], got["CGST"], got["CESS"]) == ("x", 1.5, None, None)
+    with pytest.raises(KeyError, match="no columns"):
+        S.conformed(shape, shape, {"Nothing": "GSTR"})
 
 
 def test_storage_and_streaming(spark, tmp_path):

@@ -121,19 +121,28 @@ def has_unicode(df: DataFrame, names: Sequence[str]) -> bool:
     return bool(df.agg(F.bool_or(F.coalesce(F.concat_ws("", *map(N.quoted, texts)).rlike(r"[^\x00-\x7F]"), F.lit(False)))).first()[0])
 
 
+# How the two complaints begin.
+MISSING, NOT_NUMERIC = "missing columns", "Combined column mappings require numeric columns."
+
+
 def require_columns(df: DataFrame, names: Iterable[str], label: str) -> None:
-    if missing := [c for c in names if c not in df.columns]:
-        raise KeyError(f"{label}: missing columns {', '.join(missing)}")
+    if absent := [c for c in names if c not in df.columns]:
+        raise KeyError(f"{label}: {MISSING} {', '.join(absent)}")
 
 
 def require_numeric_rules(df1: DataFrame, df2: DataFrame, rules: Iterable[tuple[list[str], list[str]]]) -> None:
-    """Rules of more than one column a side need numeric columns."""
-    combined = [r for r in rules if len(r[0]) > 1 or len(r[1]) > 1]
-    if not combined:
-        return
-    known = [numeric_columns(df, sorted({c for r in combined for c in r[k]})) for k, df in ((0, df1), (1, df2))]
-    for rule in combined:
-        bad = [[c for c in rule[k] if not known[k][c]] for k in (0, 1)]
-        if any(bad):
-            told = "; ".join(f"File {k + 1}: {', '.join(b)}" for k, b in enumerate(bad) if b)
-            raise ValueError(f"Combined column mappings require numeric columns. {told}")
+    """Rules of more than one column a side need numeric columns. Both sides are asked once, whatever the number of rules."""
+    asked = [(rule, side, c) for rule, sides in enumerate(rules) if max(map(len, sides)) > 1 for side in (0, 1) for c in sides[side]]
+    numeric = [numeric_columns(df, sorted({c for _, s, c in asked if s == side})) for side, df in enumerate((df1, df2))]
+    bad = [(rule, side, c) for rule, side, c in asked if not numeric[side][c]]
+    if bad:
+        first = min(rule for rule, _, _ in bad)
+        by_side = {side: ", ".join(c for rule, s, c in bad if (rule, s) == (first, side)) for side in (0, 1)}
+        raise ValueError(f"{NOT_NUMERIC} {'; '.join(f'File {s + 1}: {c}' for s, c in by_side.items() if c)}")
+
+
+def profile(df: DataFrame, table: str = "") -> DataFrame:
+    """One row a column: table, name, kind (by its name's hints, else text) and filled, the number of its values that aren't blank."""
+    counts = df.agg(*(F.count_if(~N.is_blank(N.cell(df, c))).alias(f"c{i}") for i, c in enumerate(df.columns)))
+    rows = [F.struct(F.lit(table).alias("table"), F.lit(c).alias("name"), F.lit(kind_by_name(c) or "text").alias("kind"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(df.columns)]
+    return counts.select(F.inline(F.array(*rows)))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import exceptions as X
@@ -64,35 +65,50 @@ def top_field(result: Result) -> DataFrame:
     return field_performance(result).orderBy(F.desc("mismatches"), "field").limit(1).select("field", "mismatches")
 
 
+# The sentences of the summary sheet and the labels and results of its control checks, as printed. Braces hold measures and file names.
+INSIGHTS = (
+    "{match_percent} of records matched perfectly ({matched} of {total}).",
+    "{exceptions} discrepant record(s) identified ({mismatches} field mismatches) - review required.",
+    "{missing} record(s) missing from one or both sources ({missing_in_file_1} {name_1}, {missing_in_file_2} {name_2}).",
+    "Field '{field}' has the highest exception count ({most}).",
+)
+# label, count of file 1, count of file 2, what passes, result of what doesn't
+CHECKS = (
+    ("Total records in scope", "matched + exceptions + missing_in_file_2", "matched + exceptions + missing_in_file_1", "missing_in_file_1 = missing_in_file_2", "Review"),
+    ("Matched records (no differences)", "matched", "matched", "true", "Review"),
+    ("Exception records (1+ field mismatch)", "exceptions", "exceptions", "exceptions = 0", "Review Required"),
+    ("Records missing from {name_1}", "missing_in_file_1", None, "missing_in_file_1 = 0", "Review Required"),
+    ("Records missing from {name_2}", None, "missing_in_file_2", "missing_in_file_2 = 0", "Review Required"),
+)
+
+
+def _printed(text: str, names: tuple[str, str]) -> Column:
+    """A fixed text with its measures, which are columns, and file names put in."""
+    known = {"name_1": F.lit(names[0]), "name_2": F.lit(names[1])}
+    parts = []
+    for plain, name, _, _ in Formatter().parse(text):
+        parts.append(F.lit(plain))
+        if name:
+            parts.append(known.get(name, F.col(name).cast("string")))
+    return F.concat(*parts)
+
+
 def insights(result: Result) -> DataFrame:
-    """Four sentences in order."""
-    one, two = result.names
-    k = kpis(result).crossJoin(scalars(result).select("mismatches", "missing_in_file_1", "missing_in_file_2"))
-    top = top_field(result).agg(F.first("field").alias("field"), F.first("mismatches").alias("most"))
-    pct = F.format_string("%.1f%%", F.col("match_rate") * 100)
-    texts = F.array(
-        F.concat(pct, F.lit(" of records matched perfectly ("), F.col("matched"), F.lit(" of "), F.col("total"), F.lit(").")),
-        F.concat(F.col("exceptions"), F.lit(" discrepant record(s) identified ("), F.col("mismatches"), F.lit(" field mismatches) - review required.")),
-        F.concat(F.col("missing"), F.lit(" record(s) missing from one or both sources ("), F.col("missing_in_file_1"), F.lit(f" {one}, "), F.col("missing_in_file_2"), F.lit(f" {two}).")),
-        F.concat(F.lit("Field '"), F.coalesce("field", F.lit("-")), F.lit("' has the highest exception count ("), F.coalesce("most", F.lit(0)), F.lit(").")),
-    )
-    return k.crossJoin(top).select(F.posexplode(texts).alias("at", "insight"))
+    """The sentences of INSIGHTS in order."""
+    top = top_field(result).agg(F.coalesce(F.first("field"), F.lit("-")).alias("field"), F.coalesce(F.first("mismatches"), F.lit(0)).alias("most"))
+    rates = kpis(result).select("total", "missing", F.format_string("%.1f%%", F.col("match_rate") * 100).alias("match_percent"))
+    measures = scalars(result).crossJoin(rates).crossJoin(top)  # single rows
+    return measures.select(F.posexplode(F.array(*(_printed(t, result.names) for t in INSIGHTS))).alias("at", "insight"))
 
 
 def control_checks(result: Result) -> DataFrame:
-    """Five checks with what each side counts and Pass, Review or Review Required."""
-    one, two = result.names
-    m, e, m1, m2 = (F.col(c) for c in ("matched", "exceptions", "missing_in_file_1", "missing_in_file_2"))
-    row = lambda c, a, b, r: F.struct(F.lit(c).alias("control"), a.cast("string").alias("file_1"), b.cast("string").alias("file_2"), r.alias("result"))
-    needs = lambda c: F.when(c == 0, "Pass").otherwise("Review Required")
-    rows = F.array(
-        row("Total records in scope", m + e + m2, m + e + m1, F.when(m1 == m2, "Pass").otherwise("Review")),
-        row("Matched records (no differences)", m, m, F.lit("Pass")),
-        row("Exception records (1+ field mismatch)", e, e, needs(e)),
-        row(f"Records missing from {one}", m1, F.lit("-"), needs(m1)),
-        row(f"Records missing from {two}", F.lit("-"), m2, needs(m2)),
-    )
-    return scalars(result).select(F.explode(rows).alias("r")).select("r.*")
+    """The rows of CHECKS: what each side counts, and Pass, Review or Review Required."""
+    count = lambda sql: F.expr(f"string({sql})") if sql else F.lit("-")
+    rows = [
+        F.struct(_printed(label, result.names).alias("control"), count(one).alias("file_1"), count(two).alias("file_2"), F.when(F.expr(passes), "Pass").otherwise(other).alias("result"))
+        for label, one, two, passes, other in CHECKS
+    ]
+    return scalars(result).select(F.inline(F.array(*rows)))
 
 
 def display_percent(c, as_printed: bool = False):

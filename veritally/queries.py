@@ -129,16 +129,23 @@ def json_sink(spark, d):
 
 
 @query("""SELECT * FROM (VALUES ('INV-1001', '2025-03-01', 'ACME SUPPLIERS LTD', 15450.0::DOUBLE, 'OPERATIONS'), ('INV-1002', '2025-03-02', 'GLOBAL TECH SOLUTIONS', 8200.5, 'IT SERVICES'),
-('INV-1003', '2025-03-05', 'NEXUS LOGISTICS INC', 24300.0, 'LOGISTICS')) AS t("Invoice No", "Invoice Date", "Vendor Name", "Amount", "Department")""")
+('INV-1003', '2025-03-05', 'NEXUS LOGISTICS INC', 24300.0, 'LOGISTICS')) AS t("Invoice No", "Invoice Date", "Vendor Name", "Amount", "Department")
+UNION ALL SELECT o_orderkey::VARCHAR, o_orderdate::DATE::VARCHAR, c_name, o_totalprice, NULL FROM orders JOIN customer ON o_custkey = c_custkey""")
 def general_template(spark, d):
-    return S.template(spark)
+    """The template's rows, and the orders in its shape."""
+    shape = S.template(spark)
+    orders = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("day", F.col("o_orderdate").cast("date"))
+    return shape.unionByName(S.conformed(orders, shape, {"Invoice No": "o_orderkey", "Invoice Date": "day", "Vendor Name": "c_name", "Amount": "o_totalprice"}))
 
 
 @query("""SELECT * FROM (VALUES ('GSTR-2B', 'ABC PRIVATE LIMITED', 'INV-005', '2025-03-05', 10000.0::DOUBLE, 1800.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 11800.0::DOUBLE),
 ('GSTR-2B', 'ABC PVT LTD', 'INV005', '2025-03-05', 5000.0, 900.0, 0.0, 0.0, 0.0, 5900.0), ('GSTR-2B', 'XYZ ENTERPRISES', 'INV-042', '2025-03-10', 20000.0, 0.0, 1800.0, 1800.0, 0.0, 23600.0))
-AS t("GSTR", "NAME OF TRADER/FIRM/COMPANY", "INVOICE NO.", "INVOICE DATE", "TAXABLE VALUE", "IGST", "CGST", "SGST", "CESS", "INVOICE VALUE")""")
+AS t("GSTR", "NAME OF TRADER/FIRM/COMPANY", "INVOICE NO.", "INVOICE DATE", "TAXABLE VALUE", "IGST", "CGST", "SGST", "CESS", "INVOICE VALUE")
+UNION ALL SELECT s_suppkey::VARCHAR, s_name, NULL, NULL, s_acctbal, NULL, NULL, NULL, NULL, NULL FROM supplier""")
 def tax_template(spark, d):
-    return S.template(spark, tax=True)
+    """The template's rows, and the suppliers in its shape."""
+    shape = S.template(spark, tax=True)
+    return shape.unionByName(S.conformed(_t(spark, d, "supplier"), shape, {"GSTR": "s_suppkey", "NAME OF TRADER/FIRM/COMPANY": "s_name", "TAXABLE VALUE": "s_acctbal"}))
 
 
 @query("""WITH h AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 500)
@@ -247,10 +254,24 @@ def detection_shares(spark, d):
     return D.samples([(rows, "c_name")]).agg(*D.shares(F.col("value")).values())
 
 
-@query("SELECT * FROM (VALUES ('ref', 'identifier'), ('amount', 'numeric'), ('ordered', 'text'), ('Invoice Date', 'invoice'), ('Company Name', 'pan'), ('Updated By', 'date'), ('Vendor', 'company_name'), ('GSTIN No', 'gstin')) AS t(name, kind)")
+_PROFILED = ("customer", "supplier", "part", "orders", "lineitem", "documents", "conversations")
+_HINTED = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(t, '{h}')" for h in hints)} THEN '{kind}'" for kind, hints in D.NAME_HINTS) + " ELSE 'text' END"
+
+
+def _profile_sql(table: str) -> str:
+    return f"""SELECT '{table}' AS "table", column_name AS name, {_HINTED} AS kind, filled
+FROM (SELECT column_name, lower(replace(column_name, '_', ' ')) AS t FROM (DESCRIBE {table}))
+JOIN (UNPIVOT (SELECT count_if({_BLANK.format("COLUMNS(*)::VARCHAR").join(("NOT (", ")"))}) FROM {table}) ON COLUMNS(*) INTO NAME column_name VALUE filled) USING (column_name)"""
+
+
+@query(" UNION ALL ".join(map(_profile_sql, _PROFILED)))
 def detection_by_name(spark, d):
-    names = ("ref", "amount", "ordered", "Invoice Date", "Company Name", "Updated By", "Vendor", "GSTIN No")
-    return spark.createDataFrame([(n, D.kind_by_name(n) or "text") for n in names], "name string, kind string")
+    """Kinds of the tables' columns by the hints in their names, with the number of filled values."""
+    out = None
+    for name in _PROFILED:
+        rows = D.profile(_t(spark, d, name), name)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT 'o_totalprice' AS name, true AS is_numeric, true AS summed UNION ALL SELECT 'o_orderpriority', false, false UNION ALL SELECT 'o_custkey', true, true")
@@ -570,7 +591,34 @@ def latest_job_state(spark, d):
     return J.latest(log).select("job_id", "status")
 
 
-@query("SELECT * FROM (VALUES ('Emp ID', 'employee_id', 100), ('Invoice Amt', 'Amount', 94), ('Dept Name', 'Department', 94)) AS t(source, destination, confidence)")
+_MAPPED = (("documents", "conversations"), ("customer", "supplier"), ("labels", "documents"))
+_SOURCES = " UNION ALL ".join(f"SELECT {i} AS pair, '{a}' AS a, {side} AS side, column_name AS name, row_number() OVER () - 1 AS id FROM (DESCRIBE {t})" for i, (a, b) in enumerate(_MAPPED) for side, t in ((1, a), (2, b)))
+_WORDS = "list_filter(string_split(lower(regexp_replace(name, '[_/.-]+', ' ', 'g')), ' '), lambda w: w <> '')"
+_COMMON = "(SELECT count(*) FROM (SELECT DISTINCT {0}::VARCHAR FROM {1} WHERE {0} IS NOT NULL INTERSECT SELECT DISTINCT {2}::VARCHAR FROM {3} WHERE {2} IS NOT NULL))"
+_FOUND = (("documents", "doc_id", "conversations", "conv_id"), ("documents", "text", "conversations", "text"), ("customer", "c_name", "supplier", "s_name"), ("labels", "doc_id", "documents", "doc_id"))
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT pair, side, name, id, {_WORDS} AS w FROM ({_SOURCES})), s AS (
+  SELECT a.pair, a.id AS i, b.id AS j, a.name AS source, b.name AS destination, len(list_filter(a.w, lambda x: list_contains(b.w, x))) AS shared, len(a.w) AS p, len(b.w) AS q,
+    array_to_string(a.w, '') = array_to_string(b.w, '') AS same, list_has_any(list_intersect(a.w, b.w), ['id', 'name', 'salary', 'amount', 'date', 'department']) AS weighty
+  FROM n a JOIN n b ON a.pair = b.pair AND a.side = 1 AND b.side = 2
+), c AS (
+  SELECT *, CASE WHEN same THEN 100 WHEN shared = 0 THEN 0 WHEN shared = least(p, q) THEN 94 WHEN weighty THEN 88 ELSE floor(shared / greatest(p, q) * 90 + 0.5) END AS confidence FROM s
+), taken AS (
+  SELECT pair, -1 AS i, []::BIGINT[] AS used, NULL::BIGINT AS j FROM (SELECT DISTINCT pair FROM n)
+  UNION ALL
+  SELECT pair, i, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, j FROM (
+    SELECT t.pair, t.i + 1 AS i, t.used, (SELECT c.j FROM c WHERE c.pair = t.pair AND c.i = t.i + 1 AND c.confidence >= 85 AND NOT list_contains(t.used, c.j) ORDER BY c.confidence DESC, c.j LIMIT 1) AS j
+    FROM taken t WHERE t.i + 1 <= (SELECT max(id) FROM n WHERE n.pair = t.pair AND n.side = 1)
+  )
+)
+SELECT c.source, c.destination, c.confidence::INT AS confidence, k.common FROM taken t JOIN c USING (pair, i, j)
+JOIN ({" UNION ALL ".join(f"SELECT {[p[0] for p in _MAPPED].index(t)} AS pair, '{a}' AS source, '{b}' AS destination, {_COMMON.format(a, t, b, u)} AS common" for t, a, u, b in _FOUND)}) k ON k.pair = c.pair AND k.source = c.source AND k.destination = c.destination""")
 def column_mapping(spark, d):
-    found = mapping.suggest(["Emp ID", "Invoice Amt", "Dept Name", "Remarks"], ["Department", "Amount", "employee_id", "Other"])
-    return spark.createDataFrame(found, "source string, destination string, confidence int")
+    """Columns of pairs of tables that belong together by their names, with the values that they have in common."""
+    out = None
+    for a, b in _MAPPED:
+        one, two = _t(spark, d, a), _t(spark, d, b)
+        rows = mapping.evidence(one, two, [tuple(r) for r in mapping.suggest(spark, one.columns, two.columns).collect()])  # at most a row a column
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -167,3 +167,12 @@ def template(spark: SparkSession, tax: bool = False) -> DataFrame:
 
         return spark.createDataFrame(TAX_TEMPLATE, list(TAX_COLUMNS))
     return spark.createDataFrame(GENERAL_TEMPLATE, ["Invoice No", "Invoice Date", "Vendor Name", "Amount", "Department"])
+
+
+def conformed(df: DataFrame, to: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """A table in the shape of another, such as a template: `columns` names the source of each, missing ones are null, types are the target's."""
+    source = {**{c: None for c in to.columns}, **columns}
+    if unknown := sorted(set(source) - set(to.columns)):
+        raise KeyError(f"the target has no columns {', '.join(unknown)}")
+    value = lambda c: F.col(f"`{source[c]}`") if source[c] else F.lit(None)
+    return df.select(*(value(f.name).try_cast(f.dataType).alias(f.name) for f in to.schema.fields))
