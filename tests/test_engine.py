@@ -218,7 +218,7 @@ def test_identifier_blocks_are_the_greedy_pass(spark):
         norm = lambda s: " ".join((s or "").lower().replace("-", " ").split())
         compact = lambda s: norm(s).replace(" ", "")
         edges = [(a, b, 0, 100 if norm(x) == norm(y) else 97, 0) for a, x in rows[0] for b, y in rows[1] if compact(x) and compact(x) == compact(y)]
-        assert {tuple(x) for x in M.assign_identifiers(*sides).collect()} == _simulate(edges)
+        assert {tuple(x) for x in M.assign_identifiers(*sides, scratch).collect()} == _simulate(edges)
         scratch.release()
 
 

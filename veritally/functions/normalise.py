@@ -126,6 +126,10 @@ _CLOCK = (
     rf"(?:(?:\s+|(?<=\d)t)(?:{_HALF}(?::[0-5]\d){{1,2}}(?:[.,]\d{{1,9}})?\s*[ap]m|(?:[01]?\d|2[0-3])(?::[0-5]\d){{1,2}}(?:[.,]\d{{1,9}})?)"
     rf"|\s+{_HALF}\s*[ap]m|(?<=\d)t(?:[01]\d|2[0-3])(?:[0-5]\d){{0,2}})(?:\s*(?:z|utc|gmt|[+-]\d{{2}}:?\d{{2}}))?$"
 )
+_MONTH = "(?:" + "|".join(m[:3] for m in MONTHS) + ")"
+#: How a day can begin, which most texts and numbers don't, and the shape of one without its clock.
+_BEGINS = rf"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?(?:\d{{1,4}}(?:st|nd|rd|th)?[-/., ]*{_MONTH}|{_MONTH}[a-z]*[-/., ]+\d|\d{{1,4}}[-/., ]+\d|\d{{4}}$|\d{{6}}$|\d{{8}}(?:$|t|\s)|\d{{14}}$)"
+_SHAPE = r"^(?:[0-9]{1,14}|[a-z]{3,9}\.?)(?:[-/., ]{1,3}(?:[0-9]{1,4}|[a-z]{3,9}\.?)){0,2}$|^[0-9]{1,2}[a-z]{3,9}[0-9]{2,4}$"
 #: Days outside are none: what a 64-bit count of nanoseconds reaches.
 _FIRST_DAY, _LAST_DAY = "1677-09-22", "2262-04-10"
 
@@ -172,12 +176,14 @@ def parse_date(c: Column, kind: str = "string") -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _CLOCK, "")
     bare = F.regexp_replace(bare, r"(\d)(?:st|nd|rd|th)\b", "$1")
     table = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for k in dict.fromkeys((m, m[:3], "sept" if m[:4] == "sept" else m)) for x in (k, str(i + 1))))
-    shaped = bare.rlike(r"^(?:[0-9]{1,14}|[a-z]{3,9}\.?)(?:[-/., ]{1,3}(?:[0-9]{1,4}|[a-z]{3,9}\.?)){0,2}$|^[0-9]{1,2}[a-z]{3,9}[0-9]{2,4}$") & bare.rlike("[0-9]")
-    word = F.regexp_extract(bare, "[a-z]+", 0)
-    one_word = ~bare.rlike("[a-z][^a-z]+[a-z]")
-    tokens = F.struct(F.regexp_extract_all(bare, F.lit("[0-9]+"), F.lit(0)).alias("n"), word.alias("word"), F.try_element_at(table, word).alias("month"))
-    found = let(F.when(shaped & one_word, tokens), _day_of_tokens)
-    return F.when(~is_blank(c.cast("string")) & found.between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date")), found)
+
+    def tokens(f: Column) -> Column:
+        word = F.regexp_extract(f, "[a-z]+", 0)
+        return F.struct(F.regexp_extract_all(f, F.lit("[0-9]+"), F.lit(0)).alias("n"), word.alias("word"), F.try_element_at(table, word).alias("month"))
+
+    found = let(bare, lambda t: F.when(t.rlike(_SHAPE) & ~t.rlike("[a-z][^a-z]+[a-z]"), let(tokens(t), _day_of_tokens)))
+    day = F.when(found.between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date")), found)
+    return F.when((F.length(c.cast("string")) <= 64) & text.rlike(_BEGINS), day)
 
 
 def looks_like_gstin(c: Column) -> Column:

@@ -51,10 +51,15 @@ def _dates(f: Column) -> Column:
 
 
 def identifier(a: Column, b: Column, kind: str | Column, unicode: bool = False) -> Column:
-    return N.let(forms(a, b, unicode, dated=False), lambda f: _identifier(f, kind))
+    return N.let(forms(a, b, unicode), lambda f: _identifier(f, kind))
 
 
-def _identifier(f: Column, kind: str | Column) -> Column:
+def identifier_of_sides(kind: str) -> Column:
+    """The verdict on the keys of two sides, from the forms that the sides were written with (key_1, norm_1, compact_1 and those of side 2)."""
+    return _identifier({"a": F.col("key_1"), "b": F.col("key_2"), "x": F.col("norm_1"), "y": F.col("norm_2"), "c1": F.col("compact_1"), "c2": F.col("compact_2")}, kind)
+
+
+def _identifier(f: Column | dict[str, Column], kind: str | Column) -> Column:
     x, y = f["c1"], f["c2"]
     return (
         F.when((x == "") & (y == ""), _verdict(True, 100, kind, "Both values blank"))
@@ -64,13 +69,21 @@ def _identifier(f: Column, kind: str | Column) -> Column:
     )
 
 
-def forms(a: Column, b: Column, unicode: bool = False, dated: bool = True) -> Column:
-    """Everything that a verdict looks at, each computed once: texts, compact keys, numbers, dates, long forms and word keys."""
-    none = F.lit(None).cast("date")
+def forms(a: Column, b: Column, unicode: bool = False, kind: str | Column | None = None) -> Column:
+    """Everything that a verdict looks at, each computed once: texts, compact keys, numbers, dates, long forms and word keys.
+
+    Numbers and dates are read only where the kind, a name or a column, asks for them.
+    """
+
+    def only(of: str, value: Column) -> Column:
+        if kind is None or isinstance(kind, str):
+            return value if kind == of else F.lit(None).cast({"numeric": "double", "date": "date"}[of])
+        return F.when(kind == of, value)
+
     first = F.struct(
         a.alias("a"), b.alias("b"), N.normalize_text(a, unicode=unicode).alias("x"), N.normalize_text(b, unicode=unicode).alias("y"),
-        N.compact_identifier(a, unicode).alias("c1"), N.compact_identifier(b, unicode).alias("c2"), N.to_number(a).alias("n1"), N.to_number(b).alias("n2"),
-        (N.parse_date(a) if dated else none).alias("d1"), (N.parse_date(b) if dated else none).alias("d2"),
+        N.compact_identifier(a, unicode).alias("c1"), N.compact_identifier(b, unicode).alias("c2"), only("numeric", N.to_number(a)).alias("n1"), only("numeric", N.to_number(b)).alias("n2"),
+        only("date", N.parse_date(a)).alias("d1"), only("date", N.parse_date(b)).alias("d2"),
     )
     own = ("a", "b", "x", "y", "c1", "c2", "n1", "n2", "d1", "d2")
     more = ("s", "t", "k", "m", "like")
@@ -135,7 +148,7 @@ def with_verdict(df: DataFrame, a: Column, b: Column, kind: str | Column, into:
     Forms are a column of their own, so nothing is computed twice; only pairs that no equality settles are scored.
     """
     f, s = f"{into}_forms", f"{into}_score"
-    out = df.withColumn(f, forms(a, b, unicode, not isinstance(kind, str) or kind == "date"))
+    out = df.withColumn(f, forms(a, b, unicode, kind))
     names = (kind in NAMES) if isinstance(kind, str) else kind.isin(*NAMES)
     if not scorer or isinstance(kind, str) and kind in IDENTIFIERS:
         out = out.withColumn(s, F.lit(0))
@@ -155,7 +168,7 @@ def with_verdict(df: DataFrame, a: Column, b: Column, kind: str | Column, into:
 
 def text(a: Column, b: Column, kind: str, names: bool, unicode: bool = False) -> Column:
     """The ladder of equalities as one expression, without scores."""
-    return N.let(forms(a, b, unicode, dated=False), lambda f: _text(f, kind, names, F.lit(0)))
+    return N.let(forms(a, b, unicode), lambda f: _text(f, kind, names, F.lit(0)))
 
 
 @dataclass(frozen=True)

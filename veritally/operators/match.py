@@ -216,17 +216,19 @@ def _with_ends(pairs: DataFrame, one: DataFrame, two: DataFrame, left: Sequence[
     return named.join(ends[0], "_end1").join(ends[1], "_end2").select(*left, *right)
 
 
-def pair_blocks(one: DataFrame, two: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+def pair_blocks(one: DataFrame, two: DataFrame, scratch: Scratch, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """The pairs of identifier keys with the columns `left` of side one and `right` of side two, block by block.
 
-    Blocks with one row a side, nearly all of them, are a join in place. Blocks with one text on each side pair by
-    rank; only blocks that mix texts go through Python, with their ids and texts alone.
+    Blocks with one row a side, nearly all of them, are a join in place. The names of the others are written; where there are any, those with
+    one text on each side pair by rank, and only blocks that mix texts go through Python, with their ids and texts alone.
     """
     block = ["grp", "block"]
     a, b = (has_key(s) for s in (one, two))
     single = a.where("n = 1").select(*block, *left).join(b.where("n = 1").select(*block, *right), block).select(*left, *right)
     shapes = [s.where("k = 1").select(*block, F.col("n").alias(f"n{i}"), F.col("plain").alias(f"plain{i}")) for i, s in enumerate((a, b), 1)]
-    many = shapes[0].join(shapes[1], block).where("n1 > 1 OR n2 > 1").select(*block, (F.col("plain1") & F.col("plain2")).alias("alike"))
+    many = scratch.written(shapes[0].join(shapes[1], block).where("n1 > 1 OR n2 > 1").select(*block, (F.col("plain1") & F.col("plain2")).alias("alike")))
+    if many.isEmpty():
+        return single
     own = [s.drop("plain").join(many, block) for s in (a, b)]
     ranked = [o.where("alike").select(*block, "k", *cols) for o, cols in zip(own, (left, right), strict=True)]
     plain = ranked[0].join(ranked[1], [*block, "k"]).select(*left, *right)
@@ -236,10 +238,10 @@ def pair_blocks(one: DataFrame, two: DataFrame, left: Sequence[str], right: Sequ
     return single.unionByName(plain).unionByName(_with_ends(found, *mixed, left, right))
 
 
-def assign_identifiers(one: DataFrame, two: DataFrame) -> DataFrame:
+def assign_identifiers(one: DataFrame, two: DataFrame, scratch: Scratch) -> DataFrame:
     """PAIRS of two sides with identifier keys."""
     ends = [s.withColumn(f"id{i}", F.col("id")) for i, s in enumerate((one, two), 1)]
-    return pair_blocks(*ends, ["id1"], ["id2"])
+    return pair_blocks(*ends, scratch, ["id1"], ["id2"])
 
 
 # ---- weighted edges
@@ -307,7 +309,7 @@ def assign_edges(found: DataFrame, scratch: Scratch, stretch: int = STRETCH) ->
 def match(one: DataFrame, two: DataFrame, kind: str, scratch: Scratch, left: Sequence[str], right: Sequence[str], unicode: bool = False, scorer: str | None = SCORER) -> DataFrame:
     """The pairs of two sides, one to one, with the columns `left` and `right` of both."""
     if kind in IDENTIFIERS:
-        return pair_blocks(one, two, left, right)
+        return pair_blocks(one, two, scratch, left, right)
     k1, k2 = (s.where(~N.is_blank(F.col("key"))) for s in (one, two))
     return _with_ends(assign_edges(edges(k1, k2, kind, unicode, scorer, scratch), scratch), one, two, left, right)
 

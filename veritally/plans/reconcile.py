@@ -123,6 +123,10 @@ def _own(names: Sequence[str]) -> list[str]:
     return [f"own {i}" for i in range(len(names))]
 
 
+def _with_forms(side: DataFrame, n: int) -> DataFrame:
+    return side.withColumns({f"norm_{n}": F.col("norm"), f"compact_{n}": F.col("compact")})
+
+
 def _table(side: DataFrame, names: Sequence[str]) -> DataFrame:
     """The side's rows as they were, read back."""
     return side.select(*(F.col(f"`{o}`").alias(n) for o, n in zip(_own(names), names, strict=True)))
@@ -160,15 +164,18 @@ def reconcile(
             payload += C.rule_columns(df, r.file_1 if n == 1 else r.file_2, f"r{i}_{n}")
         payload.append(F.struct(*(df[N.quoted(c)].alias(c) for c in extra)).alias(f"extra_{n}") if extra else F.lit(None).cast("string").alias(f"extra_{n}"))
         names.append(df.columns)
-        shown.append([f"row_{n}", f"key_{n}", *(f"r{i}_{n}_{x}" for i in range(len(rules)) for x in ("value", "numeric")), f"extra_{n}"])
+        shown.append([f"row_{n}", f"key_{n}", f"norm_{n}", f"compact_{n}", *(f"r{i}_{n}_{x}" for i in range(len(rules)) for x in ("value", "numeric")), f"extra_{n}"])
         payload += [df[N.quoted(c)].alias(o) for c, o in zip(df.columns, _own(df.columns), strict=True)]
-        sides.append(M.side(df, P.ROW, N.cell(df, key), scratch, unicode=unicode, payload=payload))
+        sides.append(_with_forms(M.side(df, P.ROW, N.cell(df, key), scratch, unicode=unicode, payload=payload), n))
     left, right = (_table(s, n) for s, n in zip(sides, names, strict=True))
     _check(progress, cancelled, 35, "matching")
     kind = spec.kind or D.detect(left, keys[0], right, keys[1], spec.strict_hints)
     met = M.match(*sides, kind, scratch, *shown, unicode, spec.scorer)
     _check(progress, cancelled, 55, "comparing")
-    told = C.with_verdict(met, F.col("key_1"), F.col("key_2"), kind, "_v", unicode, spec.scorer, spec.tolerance)
+    if kind in D.IDENTIFIERS:
+        told = met.withColumn("_v", C.identifier_of_sides(kind))
+    else:
+        told = C.with_verdict(met, F.col("key_1"), F.col("key_2"), kind, "_v", unicode, spec.scorer, spec.tolerance)
     for i, r in enumerate(rules):
         told = C.with_rule(told, r, f"r{i}", f"_d{i}", unicode, spec.scorer, spec.tolerance)
     differences = F.filter(F.array(*(f"_d{i}" for i in range(len(rules)))), lambda x: x["differs"]) if rules else F.array().cast(f"array<{C.DIFFERENCE}>")
@@ -197,21 +204,21 @@ def reconcile_tax(
     for n, df in ((1, one), (2, two)):
         df = P.merge_duplicate_invoices(df)
         columns.append(df.columns)
-        payload = [F.struct(*(F.col(f"`{c}`").alias(c) for c in P.TAX_COLUMNS)).alias(f"rec_{n}"), F.col(P.ROW).alias(f"row_{n}")]
+        payload = [F.struct(*(F.col(f"`{c}`").alias(c) for c in P.TAX_COLUMNS)).alias(f"rec_{n}"), F.col(P.ROW).alias(f"row_{n}"), F.col("`INVOICE NO.`").alias(f"key_{n}")]
         payload += [df[N.quoted(c)].alias(o) for c, o in zip(df.columns, _own(df.columns), strict=True)]
-        sides.append(M.side(df, P.ROW, F.col("`INVOICE NO.`"), scratch, F.col("GSTR"), payload=payload))
+        sides.append(_with_forms(M.side(df, P.ROW, F.col("`INVOICE NO.`"), scratch, F.col("GSTR"), payload=payload), n))
     left, right = (_table(s, n) for s, n in zip(sides, columns, strict=True))
-    met = M.pair_blocks(*sides, ["row_1", "rec_1"], ["row_2", "rec_2"])
+    met = M.pair_blocks(*sides, scratch, *([f"row_{n}", f"rec_{n}", f"key_{n}", f"norm_{n}", f"compact_{n}"] for n in (1, 2)))
     _check(progress, cancelled, 55, "comparing")
     of = [{c: F.col(f"rec_{n}").getField(c) for c in P.TAX_COLUMNS} for n in (1, 2)]
     name = "NAME OF TRADER/FIRM/COMPANY"
-    told = met.withColumn("_v", C.identifier(of[0]["INVOICE NO."], of[1]["INVOICE NO."], "invoice"))
+    told = met.withColumn("_v", C.identifier_of_sides("invoice"))
     told = C.with_verdict(told, of[0][name], of[1][name], "company_name", "_n", scorer=scorer)
     told = told.withColumn("_d", C.dates(of[0]["INVOICE DATE"].cast("string"), of[1]["INVOICE DATE"].cast("string")))
     differences, notes = C.tax_differences(of[0], of[1], F.col("_n"), F.col("_d"), threshold)
     told = pinned(told.withColumn("differences", differences).withColumn("notes", notes))
     told = told.select(
-        "row_1", "row_2", of[0]["GSTR"].alias("gstr"), of[0]["INVOICE NO."].alias("key_1"), of[1]["INVOICE NO."].alias("key_2"),
+        "row_1", "row_2", of[0]["GSTR"].alias("gstr"), "key_1", "key_2",
         of[0][name].alias("name_1"), of[1][name].alias("name_2"),
         F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"), F.col("_v.status").alias("status"), "differences", "notes",
     )
