@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import random
+import zipfile
+import zlib
 from datetime import datetime
 
 import pytest
@@ -273,16 +275,57 @@ def test_cancelling_and_progress(spark):
 
 def test_workbooks(spark, tmp_path):
     at = f"{tmp_path}/book.xlsx"
-    W.write_workbook({"one": (["id", "amount", "note"], [("a", 1, "x < y"), ("b", 2.5, None)]), "two": (["z"], [])}, at)
+    one = spark.createDataFrame([("a", 1.0, "x < y", True), ("b", 2.5, None, None), (None, None, None, None), (None, None, "last", False)], "id string, amount double, note string, ok boolean").coalesce(1)
+    W.write_workbook(spark, {"one": one, "two": spark.createDataFrame([], "z string")}, at)
     df = S.read_table(spark, at)
-    assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields] == [("id", "string"), ("amount", "double"), ("note", "string")]
-    assert [tuple(r) for r in df.collect()] == [("a", 1.0, "x < y"), ("b", 2.5, None)]
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields] == [("id", "string"), ("amount", "double"), ("note", "string"), ("ok", "boolean")]
+    assert [tuple(r) for r in df.collect()] == [("a", 1.0, "x < y", True), ("b", 2.5, None, None), (None, None, "last", False)]
+    assert W.read_workbook(spark, at, "two").columns == ["z"]
+    assert S.read_table(spark, at, "id string, amount string, note string").first()["amount"] == "1.0"
+    with zipfile.ZipFile(at) as z:
+        assert z.testzip() is None
+    with pytest.raises(Exception, match="no sheet"):
+        W.read_workbook(spark, at, "three").count()
     assert S.is_workbook("A.XLSX")
     assert not S.is_workbook("a.csv")
     with pytest.raises(ValueError, match="unsupported"):
         S.read_table(spark, "a.txt")
 
 
+def test_sheet_names_differ():
+    long = "A rather long name of a section of a report"
+    got = W.sheet_names([long, long, "a/b", "A:B", long.upper()])
+    assert got[0] == long[:31]
+    assert got[2:4] == ["a_b", "A_B (2)"]
+    assert len({g.lower() for g in got}) == 5
+    assert max(map(len, got)) <= 31
+
+
+def test_check_sums_join():
+    a, b = os.urandom(1000), os.urandom(77_777)
+    assert W.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert W.joined_crc(zlib.crc32(a), zlib.crc32(b""), 0) == zlib.crc32(a)
+
+
+def test_large_workbooks_cross_sheets_and_ranges_at_any_uri(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.books.link./at", f"file://{tmp_path}")
+    n, at = 300_000, "viewfs://books/at/big.xlsx"
+    rows = spark.range(n).select("id", (F.col("id") / 4).alias("quarter"), F.concat(F.lit("text & "), F.col("id")).alias("t"), F.array("id").alias("nested")).repartitionByRange(8, "id").sortWithinPartitions("id")
+    S.write_report({"Rows": rows}, at)
+    assert sorted(os.listdir(tmp_path))[-1] == "big.xlsx"
+    back = W.read_workbook(spark, at, "Rows")
+    assert back.rdd.getNumPartitions() >= 3
+    assert [(f.name, f.dataType.simpleString()) for f in back.schema.fields] == [("id", "bigint"), ("quarter", "double"), ("t", "string"), ("nested", "string")]
+    got = back.agg(F.count("*"), F.sum("id"), F.sum("quarter"), F.count_distinct("t"), F.max("nested")).first()
+    assert tuple(got)[:4] == (n, n * (n - 1) // 2, n * (n - 1) / 8, n)
+    W.write_workbook(spark, {"Rows": rows.drop("nested")}, at, most=120_000)
+    with open(f"{tmp_path}/big.xlsx", "rb") as f:
+        book = W.Book(f.read())
+    assert book.names[:2] == ["Rows", "Rows (2)"]
+    assert sum(W.read_workbook(spark, at, x).count() for x in book.names) == n
+    assert W.read_workbook(spark, at, "Rows (2)").agg(F.min("id")).first()[0] > 0
+
+
 def test_mapping_of_columns(spark):
     def confidence(a, b):
         rows = mapping.scored(mapping.names_of(spark, [a]), mapping.names_of(spark, [b])).collect()

@@ -18,14 +18,12 @@ def is_workbook(name: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """parquet, orc, json, csv (with a header) or xlsx, told by the suffix; any URI that Spark reads. Only the plan is built here."""
+    """parquet, orc, json, csv (with a header) or xlsx, told by the suffix; any URI that Spark reads. A workbook's header and types are told by a first pass."""
     kind = PurePosixPath(path.rstrip("/")).suffix.lower().lstrip(".")
     if kind == "xlsx":
-        from .workbook import WorkbookSource
+        from .workbook import read_workbook
 
-        spark.dataSource.register(WorkbookSource)
-        reader = spark.read.format("workbook")
-        return (reader.schema(schema) if schema else reader).load(path)
+        return read_workbook(spark, path, schema=schema)
     if kind not in ("parquet", "orc", "json", "csv"):
         raise ValueError(f"unsupported table format: {path}")
     reader = spark.read.schema(schema) if schema else spark.read
@@ -67,18 +65,17 @@ def write_sections(sections: Mapping[str, DataFrame], path: str, fmt: str = "par
     return out
 
 
-def write_report(sections: Mapping[str, DataFrame], path: str, rows: int = 100_000) -> None:
-    """A workbook of the sections. A sheet is a single file on the driver, so each is limited to `rows` rows and fails beyond."""
+def write_report(sections: Mapping[str, DataFrame], path: str) -> None:
+    """A workbook of the sections at any URI, in their order; nested columns are JSON, sections too long for a sheet go on in further ones."""
     from .workbook import write_workbook
 
     sheets = {}
     for name, df in sections.items():
         nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
-        found = df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested}).limit(rows + 1).collect()
-        if len(found) > rows:
-            raise ValueError(f"{name} has more than {rows} rows; write it with write_sections")
-        sheets[name] = (df.columns, [tuple(r) for r in found])
-    write_workbook(sheets, path)
+        odd = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.BinaryType, T.DecimalType))]
+        sheets[name] = df.withColumns({**{c: F.to_json(F.col(f"`{c}`")) for c in nested}, **{c: F.col(f"`{c}`").cast("string") for c in odd}})
+    if sheets:
+        write_workbook(next(iter(sheets.values())).sparkSession, sheets, path)
 
 
 def rebuilt(spark: SparkSession, stored: Mapping[str, str], wanted: Sequence[str]) -> dict[str, DataFrame]:
