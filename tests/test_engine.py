@@ -8,6 +8,7 @@ import zipfile
 import zlib
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +274,74 @@ def test_cancelling_and_progress(spark):
         reconcile(one, one, Spec("ID", "ID"), cancelled=lambda: True)
 
 
+def test_running_tasks_are_counted_and_cancelled(spark):
+    import time
+
+    from pyspark import InheritableThread
+
+    from veritally.operators.jobs import Run
+
+    @F.arrow_udf("long")
+    def slow(x: pa.Array) -> pa.Array:
+        time.sleep(30)
+        return x
+
+    one = spark.range(0, 100, numPartitions=2).select(F.concat(F.lit("A-"), slow("id")).alias("ID"), (F.col("id") + 2).alias(P.ROW))
+    run, ended = Run(spark, "slow"), []
+
+    def work() -> None:
+        with run:
+            try:
+                reconcile(one, one, Spec("ID", "ID"), progress=run.progress, cancelled=run.cancelled)
+            except Exception as e:
+                ended.append(e)
+
+    thread, start = InheritableThread(target=work), time.time()
+    thread.start()
+    while run.tasks()[1] < 2 and time.time() < start + 60:
+        time.sleep(0.2)
+    done, every = run.tasks()
+    assert every >= 2
+    assert done < every
+    stopped = time.time()
+    run.cancel()
+    thread.join(60)
+    assert time.time() - stopped < 20
+    assert [type(e) for e in ended] == [Cancelled]
+    assert run.steps[0] == (10, "reading")
+
+
+def test_many_fields_in_rows(spark):
+    n = 50_000
+    sheet = spark.range(0, n, numPartitions=4).select(F.concat(F.lit("f"), F.col("id")).alias("field"), (F.col("id") * 2).alias("one"), F.lit(None).cast("string").alias("two"), F.concat(F.lit("v"), F.col("id")).alias("three"))
+    out = P.transpose(sheet)
+    assert len(out.columns) == n
+    assert (out.columns[0], out.columns[-1]) == ("F0", f"F{n - 1}")
+    rows = out.collect()
+    assert [r[n - 1] for r in rows] == [str(2 * n - 2), None, f"v{n - 1}"]
+    assert [r[7] for r in rows] == ["14", None, "v7"]
+
+
+def test_lookups_equal_a_full_scan_and_read_few_buckets(spark):
+    names = _names(300, 5) + ["INV-77", "inv 77", "Acme Pvt Ltd", "acme private limited"]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(names)], f"{P.ROW} long, k string")
+    scratch = Scratch(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    index = M.Lookup(table, "k", P.ROW, scratch)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    for kind, values in (("identifier", ["INV77", "no such thing"]), ("text", ["ACME PRIVATE LTD", names[5] + "x", ""])):
+        want = [M.best_match(v, table, "k", P.ROW, kind).collect() for v in values]
+        assert index.best(values[0], kind).collect() == want[0]
+        many = {r["id1"]: tuple(r)[1:] for r in index.best_of(spark.createDataFrame(list(enumerate(values)), "id long, value string"), kind).collect()}
+        assert many == {i: tuple(w[0]) for i, w in enumerate(want) if w}
+    terms = ["cinv77", "s77 inv"]
+    own = {r[0] for r in index.entries.where(F.col("term").isin(terms)).select(F.input_file_name()).distinct().collect()}
+    for f in {r[0] for r in index.entries.select(F.input_file_name()).distinct().collect()} - own:
+        os.remove(f.removeprefix("file://"))
+    assert index.candidates(index.entries, terms).count() == 2  # files of other buckets aren't even opened
+    scratch.release()
+
+
 def test_workbooks(spark, tmp_path):
     at = f"{tmp_path}/book.xlsx"
     one = spark.createDataFrame([("a", 1.0, "x < y", True), ("b", 2.5, None, None), (None, None, None, None), (None, None, "last", False)], "id string, amount double, note string, ok boolean").coalesce(1)

@@ -71,25 +71,44 @@ def dashboard(jobs: DataFrame) -> DataFrame:
 
 
 class Run:
-    """Runs a reconciliation as a Spark job group: its progress is logged, and cancelling it ends the tasks that run."""
+    """A reconciliation whose Spark jobs carry a tag: they can be counted and cancelled from any thread while they run.
+
+        with Run(spark, "job-1") as run:
+            reconcile(one, two, spec, progress=run.progress, cancelled=run.cancelled)
+    """
 
     def __init__(self, spark: SparkSession, job: str):
-        self.spark, self.job, self.steps, self.stopped = spark, job, [], False
+        self.context, self.job, self.steps, self.stopped = spark.sparkContext, job, [], False
+        self.tag = f"veritally-{job}".replace(",", "_")
 
     def __enter__(self) -> Run:
-        self.spark.sparkContext.setJobGroup(self.job, f"reconciliation {self.job}", True)
+        self.context.addJobTag(self.tag)
         return self
 
     def __exit__(self, *_: object) -> None:
-        self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        self.context.removeJobTag(self.tag)
+        self.context.setLocalProperty("spark.job.description", None)
 
     def progress(self, percent: int, step: str) -> None:
         self.steps.append((percent, step))
-        self.spark.sparkContext.setJobDescription(f"{self.job}: {step} ({percent} %)")
+        self.context.setJobDescription(f"{self.job}: {step} ({percent} %)")
+
+    def tasks(self) -> tuple[int, int]:
+        """Tasks of this run's jobs that are done, and all that are known so far, by the status tracker."""
+        tracker = self.context._jsc.sc().statusTracker()
+        done = every = 0
+        for job in tracker.getJobIdsForTag(self.tag):
+            found = tracker.getJobInfo(job)
+            for stage in found.get().stageIds() if found.isDefined() else ():
+                info = tracker.getStageInfo(stage)
+                if info.isDefined():
+                    done, every = done + info.get().numCompletedTasks(), every + info.get().numTasks()
+        return done, every
 
     def cancel(self) -> None:
+        """Ends the tasks that run, and the run at its next step."""
         self.stopped = True
-        self.spark.sparkContext.cancelJobGroup(self.job)
+        self.context.cancelJobsWithTag(self.tag)
 
     def cancelled(self) -> bool:
         return self.stopped

@@ -314,9 +314,52 @@ def match(one: DataFrame, two: DataFrame, kind: str, scratch: Scratch, left: Seq
     return _with_ends(assign_edges(edges(k1, k2, kind, unicode, scorer, scratch), scratch), one, two, left, right)
 
 
+def _best(found: DataFrame) -> DataFrame:
+    """The best edge of each id1: value, id2, stage, confidence."""
+    order = F.struct("stage", (-F.col("confidence")).alias("c"), "priority", "id2")
+    return found.groupBy("id1").agg(F.min_by(F.struct("id2", "stage", "confidence"), order).alias("b")).select("id1", "b.*")
+
+
+class Lookup:
+    """The rows of a table by all that a look-up can meet them with: compact key, word key and single words, as terms.
+
+    Every term of every row is written once into buckets by the term's hash, so that a look-up reads the few buckets
+    of its own terms, and many look-ups at once are a join that exchanges their terms only.
+    """
+
+    def __init__(self, table: DataFrame, key: str, row: str, scratch: Scratch, unicode: bool = False):
+        own = keyed(table, row, N.cell(table, key), unicode=unicode)
+        self.entries, self.unicode = scratch.bucketed(own.withColumn("term", F.explode(self._terms())).repartition(partitions(table.sparkSession), "term"), ["term"]), unicode
+        self.scratch = scratch
+
+    @staticmethod
+    def _terms() -> Column:
+        marked = lambda kind, c: F.when(c != "", F.concat(F.lit(kind), c))
+        words = F.transform(F.split("synonym_key", " "), lambda w: marked("w", w))
+        return F.array_distinct(F.filter(F.concat(F.array(marked("c", F.col("compact")), marked("s", F.col("synonym_key"))), words), lambda t: t.isNotNull()))
+
+    def candidates(self, asked: DataFrame, terms: list[str] | None = None) -> DataFrame:
+        """The rows that share a term with one of the values asked for, each once."""
+        if terms is not None:
+            met = self.entries.where(F.col("term").isin(terms))
+        else:
+            met = self.entries.join(asked.select(F.explode(self._terms()).alias("term")).distinct(), "term", "left_semi")
+        return met.drop("term").dropDuplicates(["id"])
+
+    def best_of(self, values: DataFrame, kind: str, scorer: str | None = SCORER) -> DataFrame:
+        """id1, id2, stage and confidence of the best row for each of `values` (id, value) that has one."""
+        asked = keyed(values, "id", F.col("value"), unicode=self.unicode)
+        return _best(edges(asked, self.candidates(asked), kind, self.unicode, scorer, self.scratch))
+
+    def best(self, value: str, kind: str, scorer: str | None = SCORER) -> DataFrame:
+        """The best row for one value, no row if none reaches the threshold; only the buckets of its terms are read."""
+        spark = self.entries.sparkSession
+        asked = keyed(spark.range(1).select("id", F.lit(value).alias("value")), "id", F.col("value"), unicode=self.unicode)
+        terms = [r["t"] for r in asked.select(F.explode(self._terms()).alias("t")).collect()]  # a value's words
+        return _best(edges(asked, self.candidates(asked, terms), kind, self.unicode, scorer, self.scratch)).drop("id1")
+
+
 def best_match(value: str, table: DataFrame, key: str, row: str, kind: str, scorer: str | None = SCORER) -> DataFrame:
-    """The best row of a table for one value: id2, stage, confidence; no row if none reaches the threshold."""
-    spark = table.sparkSession
-    one = spark.range(1).select(F.lit(0).cast("long").alias(row), F.lit(value).alias("_value"))
-    found = edges(keyed(one, row, F.col("_value")), keyed(table, row, N.cell(table, key)), kind, scorer=scorer)
-    return found.orderBy("stage", F.desc("confidence"), "priority", "id2").limit(1).select("id2", "stage", "confidence")
+    """The best row of a table for one value by a full scan: id2, stage, confidence; no row if none reaches the threshold. Lookup is for several."""
+    one = table.sparkSession.range(1).select("id", F.lit(value).alias("_value"))
+    return _best(edges(keyed(one, "id", F.col("_value")), keyed(table, row, N.cell(table, key)), kind, scorer=scorer)).drop("id1")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import normalise as N
 from ..sources.shared import Scratch, hashable, partitions
@@ -38,15 +40,30 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], scratch: Scratch |
 
 
 def transpose(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Records in columns become rows: the first column has the field names; fields are told by one bounded collect."""
+    """Records in columns become rows: the first column has the field names, the first row of a name counts.
+
+    One pass tells the names, which are the columns to be. Cells are dealt by record, lined up in the order of their fields, and become columns as
+    Arrow batches, so that no expression is as long as the sheet and no pivot is made.
+    """
     first, *records = [c for c in df.columns if c != order]
-    text = {c: N.cell(df, c) for c in (first, *records)}
-    rows = df.select(*(text[c].alias(f"c{i}") for i, c in enumerate((first, *records))), *([F.col(order).alias("at")] if order else []))
-    rows = rows.where(F.coalesce(*(f"c{i}" for i in range(len(records) + 1))).isNotNull() & (F.coalesce(F.trim("c0"), F.lit("")) != "")).withColumn("c0", F.trim("c0"))
-    names = [r["c0"] for r in (rows.orderBy("at") if order else rows).select("c0").collect()]  # a sheet's field names: its columns-to-be
-    long = rows.select("c0", F.posexplode(F.array(*(F.col(f"c{i + 1}") for i in range(len(records))))).alias("rec", "v"))
-    wide = long.groupBy("rec").pivot("c0", list(dict.fromkeys(names))).agg(F.first("v"))
-    return N.with_canonical_headers(wide.orderBy("rec").drop("rec"))
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    cells = df.select(F.trim(N.cell(df, first)).alias("name"), at.alias("at"), F.array(*(N.cell(df, c) for c in records)).cast("array<string>").alias("v"))
+    named = cells.where(F.coalesce("name", F.lit("")) != "").groupBy("name").agg(F.min_by("v", "at").alias("v"), F.min("at").alias("at"))
+    names = [N.header(r["name"]) for r in named.select("name", "at").orderBy("at").collect()]  # the schema
+    if twice := sorted({n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else ()):
+        raise ValueError(f"columns that have the same canonical name: {', '.join(twice)}")
+    lines = named.select("at", F.posexplode("v").alias("rec", "value")).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("cells"))
+    rows = lines.orderBy("rec").select(F.col("cells.value").alias("cells"))
+    if not names:
+        return rows.select()
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, n = batch.column("cells").flatten(), len(names)
+            if batch.num_rows:
+                yield pa.record_batch([flat.take(pa.array(range(i, len(flat), n))) for i in range(n)], names=names)
+
+    return rows.mapInArrow(columns, StructType([StructField(n, StringType()) for n in names]))
 
 
 def is_horizontal(orientation: str) -> bool:

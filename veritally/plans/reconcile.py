@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +105,23 @@ def _without(side: DataFrame, pairs: DataFrame, row: str) -> DataFrame:
     return side.join(pairs.select(row), side[P.ROW] == pairs[row], "left_anti")
 
 
+def _owning(run: Callable[..., Result]) -> Callable[..., Result]:
+    """A run with a Scratch of its own as first argument, released if the run fails; jobs that were cancelled make it Cancelled."""
+
+    @wraps(run)
+    def outer(file_1: DataFrame, *args: object, **named: object) -> Result:
+        scratch = Scratch(file_1.sparkSession)
+        try:
+            return run(scratch, file_1, *args, **named)
+        except BaseException as e:
+            scratch.release()
+            if "SPARK_JOB_CANCELLED" in str(e) or "cancelled job tag" in str(e):
+                raise Cancelled("Reconciliation cancelled by user") from e
+            raise
+
+    return outer
+
+
 def _check(progress: Progress | None, cancelled: Callable[[], bool] | None, percent: int, step: str) -> None:
     if cancelled and cancelled():
         raise Cancelled("Reconciliation cancelled by user")
@@ -132,8 +149,9 @@ def _table(side: DataFrame, names: Sequence[str]) -> DataFrame:
     return side.select(*(F.col(f"`{o}`").alias(n) for o, n in zip(_own(names), names, strict=True)))
 
 
+@_owning
 def reconcile(
-    file_1: DataFrame, file_2: DataFrame, spec: Spec, order_1: Sequence[str] | None = None, order_2: Sequence[str] | None = None,
+    scratch: Scratch, file_1: DataFrame, file_2: DataFrame, spec: Spec, order_1: Sequence[str] | None = None, order_2: Sequence[str] | None = None,
     progress: Progress | None = None, cancelled: Callable[[], bool] | None = None,
 ) -> Result:
     """Pairs rows of two tables by a key and compares mapped columns.
@@ -144,7 +162,6 @@ def reconcile(
     if P.is_horizontal(spec.orientation):
         file_1, file_2 = (P.transpose(df, P.ROW if P.ROW in df.columns else None) for df in (file_1, file_2))
         order_1 = order_2 = None
-    scratch = Scratch(file_1.sparkSession)
     one, two = (_numbered(df, o, scratch) for df, o in ((file_1, order_1), (file_2, order_2)))
     one, two = N.with_canonical_headers(one), N.with_canonical_headers(two)
     keys = [N.field(spec.key_1), N.field(spec.key_2)]
@@ -189,13 +206,13 @@ def reconcile(
     return Result("generic", kind, keys, (spec.name_1, spec.name_2), left, right, pairs, fields=[r.name() for r in rules], scratch=scratch)
 
 
+@_owning
 def reconcile_tax(
-    file_1: DataFrame, file_2: DataFrame, threshold: int = 85, order_1: Sequence[str] | None = None, order_2: Sequence[str] | None = None,
+    scratch: Scratch, file_1: DataFrame, file_2: DataFrame, threshold: int = 85, order_1: Sequence[str] | None = None, order_2: Sequence[str] | None = None,
     scorer: str | None = SCORER, names: tuple[str, str] = ("File 1", "File 2"), progress: Progress | None = None, cancelled: Callable[[], bool] | None = None,
 ) -> Result:
     """The tax-invoice mode: fixed columns, duplicates merged, invoices paired inside each registration, names, dates and amounts compared."""
     _check(progress, cancelled, 10, "reading")
-    scratch = Scratch(file_1.sparkSession)
     one, two = (_numbered(df, o, scratch) for df, o in ((file_1, order_1), (file_2, order_2)))
     one, two = P.normalise_tax(one), P.normalise_tax(two)
     P.require_tax_columns(one, two)

@@ -316,12 +316,21 @@ def merge_duplicate_invoices(spark, d):
     return out.select("GSTR", F.col("`INVOICE NO.`"), F.round(F.col("`TAXABLE VALUE`"), 2).alias("taxable"), F.round("IGST", 4).alias("igst"))
 
 
-@query("SELECT 'AFRICA' AS \"R_NAME\", '0' AS \"R_REGIONKEY\" WHERE false UNION ALL SELECT r_name, r_regionkey::VARCHAR FROM region")
+@query("SELECT " + ", ".join(f"max(CASE WHEN n_name = 'NATION_{i}' THEN v END) AS \"NATION_{i}\"" for i in range(25)) + " FROM (SELECT n_name, 0 AS rec, n_nationkey::VARCHAR AS v FROM nation UNION ALL SELECT n_name, 1, n_regionkey::VARCHAR FROM nation) GROUP BY rec")
 def horizontal_transpose(spark, d):
-    rows = _t(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()  # five rows, laid out as records in columns
-    wide = [("r_name", *(r["r_name"] for r in rows)), ("r_regionkey", *(str(r["r_regionkey"]) for r in rows))]
-    sheet = spark.createDataFrame(wide, ["field", *(f"record_{i}" for i in range(len(rows)))])
-    return P.transpose(sheet).select("R_NAME", "R_REGIONKEY")
+    """The nation table read as a sheet of records in columns: a field for each nation, a record for each other column."""
+    return P.transpose(_t(spark, d, "nation").select("n_name", "n_nationkey", "n_regionkey"))
+
+
+@query(f"""WITH k AS (SELECT s_suppkey, {_COMPACT.format('s_name')} AS c, {_NORM.format('s_name')} AS n FROM supplier), q AS (SELECT s_suppkey AS id1, {_COMPACT.format('v')} AS c, {_NORM.format('v')} AS n
+FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN concat('  ', upper(s_name)) WHEN s_suppkey % 3 = 1 THEN replace(s_name, '#', '-') ELSE concat(s_name, 'x') END AS v FROM supplier))
+SELECT id1, id2, confidence FROM (SELECT id1, s_suppkey AS id2, CASE WHEN q.n = k.n THEN 100 ELSE 97 END AS confidence, row_number() OVER (PARTITION BY id1 ORDER BY q.n <> k.n, s_suppkey) AS r FROM q JOIN k ON q.c = k.c AND q.c <> '') WHERE r = 1""")
+def best_match(spark, d):
+    """For each of other spellings of the suppliers' names the supplier that fits best, by an index of terms."""
+    suppliers = _t(spark, d, "supplier").select("s_suppkey", "s_name")
+    spelled = F.expr("CASE WHEN s_suppkey % 3 = 0 THEN concat('  ', upper(s_name)) WHEN s_suppkey % 3 = 1 THEN replace(s_name, '#', '-') ELSE concat(s_name, 'x') END")
+    values = suppliers.select(F.col("s_suppkey").alias("id"), spelled.alias("value"))
+    return M.Lookup(suppliers, "s_name", "s_suppkey", S.Scratch(spark)).best_of(values, "identifier").select("id1", "id2", "confidence")
 
 
 @query("SELECT o_orderkey, round(coalesce(try_cast(a AS DOUBLE), 0) + coalesce(try_cast(b AS DOUBLE), 0), 2) AS value FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS a, CAST(o_custkey AS VARCHAR) AS b FROM orders)")
