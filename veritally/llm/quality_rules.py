@@ -145,5 +145,28 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
 QUERIES = {"op3_quality_rules": op3_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_quality_rules": rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), runs AS (
+  SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS run FROM d, generate_series(1, len(w) - {WINDOW - 1}) AS g(i)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS n FROM runs) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + j) AS n FROM again, range({WINDOW}) AS g(j) GROUP BY r
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaim,
+    length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper
+  FROM d LEFT JOIN covered USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({" OR ".join(f"({r.fails})" for r in RULES if r.name in BASE)}) AS base_failed, failed = 0 AS kept, failed
+FROM (SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))})::BIGINT AS failed FROM m)
+"""
+}
