@@ -109,6 +109,12 @@ def test_tax_mode(spark):
     bad = r.pairs.where("outcome = 'mismatched'").first()["differences"]
     assert [(d["field"], d["difference"]) for d in bad] == [("TAXABLE VALUE", -500.0)]
     assert X.exceptions(r).first()["severity"] == "High"
+    sheets = report.legacy_sections(r)
+    assert list(sheets) == ["Mismatched Invoices", "File 1 Missing in File 2", "File 2 Missing in File 1", "Match Confidence Review"]
+    row = sheets["Mismatched Invoices"].first()
+    assert (row["INVOICE NO. 1"], row["INVOICE DATE 2"], row["TAXABLE VALUE 1"], row["TAXABLE VALUE 2"]) == ("INV002", "2026-07-02", 2000.0, 2500.0)
+    assert sheets["File 1 Missing in File 2"].first()["INVOICE DATE"] == "2026-07-03"
+    assert X.accuracy(r).first()[0] == pytest.approx(100 / 3)
     with pytest.raises(KeyError):
         reconcile_tax(one.drop("IGST"), two)
 

@@ -90,6 +90,12 @@ def statistics(result: Result) -> DataFrame:
     )
 
 
+def accuracy(result: Result) -> DataFrame:
+    """One row: fully matched pairs in percent of the records of file 1, 0 of none."""
+    share = F.try_divide(100 * F.col("fully_matched_records"), F.col("source_records_1"))
+    return result.summary().select(F.coalesce(share, F.lit(0.0)).alias("accuracy"))
+
+
 def control_checks(result: Result) -> DataFrame:
     """Three checks: equal record counts, and no missing records either way."""
     s = F.struct

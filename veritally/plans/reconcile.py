@@ -238,6 +238,7 @@ def reconcile_tax(
         "row_1", "row_2", of[0]["GSTR"].alias("gstr"), "key_1", "key_2",
         of[0][name].alias("name_1"), of[1][name].alias("name_2"),
         F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"), F.col("_v.status").alias("status"), "differences", "notes",
+        F.col("rec_1").alias("record_1"), F.col("rec_2").alias("record_2"),
     )
     pairs = scratch.written(told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes"))))
     _check(progress, cancelled, 75, "classifying")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import exceptions as X
+from ..operators.prepare import TAX_COLUMNS
 from .reconcile import Result
 
 SECTIONS = ("executive_summary", "exceptions", "matched", "missing_1", "missing_2", "field_differences", "control_checks")
@@ -142,9 +143,26 @@ def sections(result: Result, wanted: Sequence[str] = SECTIONS) -> dict[str, Data
     return out or {"Empty": result.left.sparkSession.createDataFrame([], "empty string")}
 
 
+# The sheets of the older layouts.
+LEGACY = ("Results", "Only in File 1", "Only in File 2")
+LEGACY_TAX = ("Mismatched Invoices", "{0} Missing in {1}", "{1} Missing in {0}", "Match Confidence Review")
+
+
+def _days(df: DataFrame) -> DataFrame:
+    """Times as ISO days."""
+    times = [f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz", "date")]
+    return df.withColumns({c: F.date_format(F.col(f"`{c}`"), "yyyy-MM-dd") for c in times}) if times else df
+
+
+def _flat(pairs: DataFrame) -> DataFrame:
+    """Pairs of the tax mode with both records' columns beside each other, each named after its side."""
+    both = [F.col(f"record_{n}").getField(c).alias(f"{c} {n}") for c in TAX_COLUMNS for n in (1, 2)]
+    return _days(pairs.select(*both, "match_type", "confidence", "status", "differences", "notes"))
+
+
 def legacy_sections(result: Result) -> dict[str, DataFrame]:
-    """The older layout: three sheets, or four with the review of key confidence in the tax mode."""
+    """The older layouts: three sheets, or in the tax mode four, with whole records, ISO days and the review of key confidence."""
     if result.mode == "tax":
-        review = {"Match Confidence Review": result.pairs.where("outcome = 'confidence_review'")}
-        return {"Mismatches": result.pairs.where("outcome = 'mismatched'"), **review, "Only in File 1": result.only_in_1, "Only in File 2": result.only_in_2}
-    return {"Results": result.reported, "Only in File 1": result.only_in_1, "Only in File 2": result.only_in_2}
+        tables = (_flat(result.pairs.where("outcome = 'mismatched'")), _days(result.only_in_1), _days(result.only_in_2), _flat(result.pairs.where("outcome = 'confidence_review'")))
+        return {n.format(*result.names): t for n, t in zip(LEGACY_TAX, tables, strict=True)}
+    return dict(zip(LEGACY, (result.reported, result.only_in_1, result.only_in_2), strict=True))

@@ -482,6 +482,11 @@ def run_statistics(spark, d):
     return X.statistics(_generic(spark, d))
 
 
+@query(_CTE + "SELECT round(100 * matched / n1, 9) AS accuracy FROM k")
+def result_accuracy(spark, d):
+    return X.accuracy(_generic(spark, d)).select(F.round("accuracy", 9).alias("accuracy"))
+
+
 @query(_CTE + "SELECT 'Record Count' AS control, n1::VARCHAR AS file_1, n2::VARCHAR AS file_2, CASE WHEN n1 = n2 THEN 'Pass' ELSE 'Exception' END AS result FROM k UNION ALL SELECT 'Missing Records (File 1)', missing_1::VARCHAR, '-', CASE WHEN missing_1 = 0 THEN 'Pass' ELSE 'Exception' END FROM k UNION ALL SELECT 'Missing Records (File 2)', '-', missing_2::VARCHAR, CASE WHEN missing_2 = 0 THEN 'Pass' ELSE 'Exception' END FROM k")
 def control_checks(spark, d):
     return X.control_checks(_generic(spark, d))
@@ -565,10 +570,10 @@ def _tax(spark, d) -> Result:
 
 _TAX_CTE = f"""
 WITH src AS (SELECT *, row_number() OVER (ORDER BY "INVOICE NO.", l_linenumber, l_suppkey, "TAXABLE VALUE", "CESS") + 1 AS row_no FROM ({_TAX_SQL})),
-a AS (SELECT "GSTR" AS g, "NAME OF TRADER/FIRM/COMPANY" AS nm, l_orderkey AS o, sum("TAXABLE VALUE") AS v, min(row_no) AS r FROM src GROUP BY 1, 2, 3),
+a AS (SELECT "GSTR" AS g, "NAME OF TRADER/FIRM/COMPANY" AS nm, l_orderkey AS o, sum("TAXABLE VALUE") AS v, min(row_no) AS r, any_value("INVOICE DATE") AS d FROM src GROUP BY 1, 2, 3),
 b AS (SELECT g, nm, o, v + 0 AS v, r FROM (SELECT "GSTR" AS g, "NAME OF TRADER/FIRM/COMPANY" AS nm, l_orderkey AS o, sum("TAXABLE VALUE" + CASE WHEN l_orderkey % 17 = 0 THEN 10 ELSE 0 END) AS v, min(row_no) AS r FROM src WHERE l_orderkey % 29 <> 0 GROUP BY 1, 2, 3)),
 ra AS (SELECT *, row_number() OVER (PARTITION BY g, o ORDER BY r) AS k FROM a), rb AS (SELECT *, row_number() OVER (PARTITION BY g, o ORDER BY r) AS k FROM b),
-p AS (SELECT ra.r AS row_1, rb.r AS row_2, ra.g AS gstr, CASE WHEN ra.o % 7 = 0 THEN 97 ELSE 100 END AS confidence, abs(round(ra.v - rb.v, 2)) > 0.005 AS bad_value, ra.o % 31 = 0 AS bad_date, ra.o % 23 = 0 AS noted, bad_value OR bad_date AS bad FROM ra JOIN rb USING (g, o, k))
+p AS (SELECT ra.r AS row_1, rb.r AS row_2, ra.g AS gstr, ra.v AS v1, rb.v AS v2, strftime(ra.d, '%Y-%m-%d') AS d1, CASE WHEN ra.o % 7 = 0 THEN 97 ELSE 100 END AS confidence, abs(round(ra.v - rb.v, 2)) > 0.005 AS bad_value, ra.o % 31 = 0 AS bad_date, ra.o % 23 = 0 AS noted, bad_value OR bad_date AS bad FROM ra JOIN rb USING (g, o, k))
 """
 
 
@@ -583,6 +588,18 @@ def tax_summary(spark, d):
     return _tax(spark, d).summary()
 
 
+@query(_TAX_CTE + """SELECT sheet, count(*) AS n, round(sum(v1), 2) AS taxable_1, round(sum(v2), 2) AS taxable_2, min(d1) AS first_day FROM (
+SELECT CASE WHEN bad THEN 'Mismatched Invoices' ELSE 'Match Confidence Review' END AS sheet, v1, v2, d1 FROM p WHERE bad OR noted OR confidence < 100) GROUP BY sheet""")
+def legacy_tax_sheets(spark, d):
+    """Rows, taxable values and first days of the two sheets of pairs."""
+    sheets, out = report.legacy_sections(_tax(spark, d)), None
+    for name in ("Mismatched Invoices", "Match Confidence Review"):
+        one, two = (F.round(F.sum(f"TAXABLE VALUE {n}"), 2).alias(f"taxable_{n}") for n in (1, 2))
+        row = sheets[name].groupBy(F.lit(name).alias("sheet")).agg(F.count(F.lit(1)).alias("n"), one, two, F.min("INVOICE DATE 1").alias("first_day"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ---- similarity (no SQL: the score is a sequence matcher's)
 
 
