@@ -55,12 +55,23 @@ def _finer(t: dict, at: np.ndarray) -> np.ndarray:
     return t["q"][at] * t["scale"][at, None] + t["q2"][at] * t["scale2"][at, None]
 
 
+#: Dimensions up to which products of int8 rows are whole in 32-bit floats (127 * 127 * EXACT < 2**24).
+EXACT = 1024
+
+
+def products(q: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Exact products of int8 rows with rows that stand in the columns of a float32 matrix; longer rows go slice by slice into doubles."""
+    if len(columns) <= EXACT:
+        return q.astype(np.float32) @ columns
+    return sum((q[:, k : k + EXACT].astype(np.float32) @ columns[k : k + EXACT]).astype(np.float64) for k in range(0, len(columns), EXACT))
+
+
 def links_between(a: dict, b: dict, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers of pairs of tiles a and b, step by step, and whether their cosine is at least threshold for sure; pairs that are below for sure are left out."""
     bq, e, most = b["q"].astype(np.float32).T, b["rest"].max(), b["scale"].max()
     for at in range(0, len(a["q"]), STEP):
         s = slice(at, at + STEP)
-        product = a["q"][s].astype(np.float32) @ bq
+        product = products(a["q"][s], bq)
         # first by the tile's largest scale and rest, then by the pair's own
         floor = (threshold - _SLACK - a["size"][s] * e - a["rest"][s]) / a["scale"][s]
         i, j = np.nonzero(product >= np.minimum(floor / most, floor / b["scale"].min())[:, None])
