@@ -322,3 +322,35 @@ def test_codes_of_little_and_of_large_components(spark):
     assert Counter(tuple(r)[:4] for r in vector_codes.compress(spark.createDataFrame(large, schema)).collect()) == Counter({k[:4]: n for k, n in _plain_codes(large).items()})
     with pytest.raises(ValueError, match="64-bit"):
         vector_codes.compress(spark.createDataFrame([(1, [1e30] * 4, 1), (2, [-1e30] * 4, 1)], schema)).count()
+
+
+# ---- exactness of operator 7 beyond a thousand dimensions
+
+
+@pytest.mark.parametrize("dim", [1024, 1536, 4096])
+def test_products_of_long_rows_are_whole(dim):
+    from veritally.llm.embedding_dedup import products
+
+    r = np.random.default_rng(dim)
+    q, p = (r.choice(np.array([-127, 126, 127], np.int8), size=(40, dim)) for _ in range(2))
+    q[0], p[0] = 127, 127
+    assert (products(q, p.astype(np.float32).T) == q.astype(np.int64) @ p.astype(np.int64).T).all()
+
+
+@pytest.mark.parametrize("dim", [1536, 4096])
+def test_long_vectors_at_the_threshold(spark, dim):
+    """Pairs whose cosine is 0.95 plus and minus a hundred-millionth."""
+    from veritally.llm.embedding_dedup import near_vectors
+
+    r, rows, want = np.random.default_rng(dim), [], {}
+    for k in range(6):
+        u = r.normal(size=dim)
+        v = r.normal(size=dim)
+        u /= np.linalg.norm(u)
+        v -= (v @ u) * u
+        v /= np.linalg.norm(v)
+        c = 0.95 + (1e-8 if k % 2 else -1e-8)
+        rows += [(2 * k, u.tolist()), (2 * k + 1, (c * u + np.sqrt(1 - c * c) * v).tolist())]
+        want |= {2 * k: k % 2, 2 * k + 1: k % 2}
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {x["vec_id"]: x["n_links"] for x in got} == want

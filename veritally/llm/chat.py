@@ -45,10 +45,7 @@ def format_conversations(turns: DataFrame, learned: str = LEARNED) -> DataFrame:
     empty = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
     rows = turns.select("conv_id", F.struct("turn", empty("role"), empty("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    changes = F.expr(
-        "aggregate(slice(sequence(0, size(turns)), 2, size(turns) - 1), array(0), "
-        "(found, i) -> if(turns[i].role = turns[i - 1].role, found, array_append(found, i)))"
-    )
+    changes = F.expr("filter(sequence(0, size(turns) - 1), i -> i = 0 OR turns[i].role <> turns[i - 1].role)")
     blocks = F.expr(
         "transform(starts, (s, k) -> struct(turns[s].role AS role, "
         "transform(slice(turns, s + 1, coalesce(get(starts, k + 1), size(turns)) - s), t -> t.text) AS texts))"
