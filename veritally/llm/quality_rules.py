@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table, text_of
+from .common import SPACES, stash, table, text_of
 
 WINDOW = 8
 
@@ -145,8 +145,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and with others, from a stored ledger: the texts are read once, for the ledger."""
+    stored = stash(ledger(table(spark, sf_dir, "documents")))
+    return ablations(stored, POLICIES["v1"])
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "quality_ablations": quality_ablations}
 ORACLE_SQL = {
     "op3_quality_rules": rf"""
 WITH d AS MATERIALIZED (
@@ -170,3 +176,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({"
 FROM (SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))})::BIGINT AS failed FROM m)
 """
 }
+_EACH = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(RULES) if r.name in POLICIES["v1"].rejects)
+ORACLE_SQL["quality_ablations"] = f"""
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS failing, count(*) FILTER (failed = bit) AS only_this
+FROM ({ORACLE_SQL["op3_quality_rules"]}) l, (VALUES {_EACH}) AS e(rule, bit) GROUP BY rule
+"""
