@@ -317,6 +317,25 @@ def test_running_tasks_are_counted_and_cancelled(spark):
     assert run.steps[0] == (10, "reading")
 
 
+def test_a_job_log(spark):
+    from veritally.operators import jobs as J
+
+    day = lambda n: datetime(2026, 7, n)
+    log = J.event(spark, "a", "s1", "generic", "queued", 0, day(1), files=("f1",))
+    for e in (("a", "s1", "generic", "processing", 40, day(2)), ("a", "s1", "generic", "cancelled", 40, day(3)), ("a", "s1", "generic", "completed", 100, day(4)), ("b", "s1", "tax", "queued", 0, day(2)), ("c", "s2", "tax", "failed", 10, day(2))):
+        log = log.unionByName(J.event(spark, *e))
+    now = {r["job_id"]: (r["status"], r["created_at"]) for r in J.latest(log).collect()}
+    assert now == {"a": ("cancelled", day(1)), "b": ("queued", day(2)), "c": ("failed", day(2))}
+    jobs = J.latest(log)
+    assert [(r["job_id"], r["status"]) for r in J.cancel(jobs, "b", day(5)).collect()] == [("b", "cancelled")]
+    assert J.cancel(jobs, "a", day(5)).count() == 0
+    assert {r["job_id"] for r in J.surplus(jobs, 1).collect()} == {"a"}
+    assert {r["job_id"] for r in J.without(log, J.surplus(jobs, 1)).collect()} == {"b", "c"}
+    assert [r["file_id"] for r in J.orphan_files(spark.createDataFrame([("f1",), ("f2",)], "file_id string"), log).collect()] == ["f2"]
+    with pytest.raises(ValueError, match="no such state"):
+        J.event(spark, "a", "s", "generic", "odd", 0, day(1))
+
+
 def test_many_fields_in_rows(spark):
     n = 50_000
     sheet = spark.range(0, n, numPartitions=4).select(F.concat(F.lit("f"), F.col("id")).alias("field"), (F.col("id") * 2).alias("one"), F.lit(None).cast("string").alias("two"), F.concat(F.lit("v"), F.col("id")).alias("three"))

@@ -6,6 +6,7 @@ File 1 is the orders table, file 2 a copy with rows dropped, keys formatted othe
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from .operators import prepare as P
 from .plans import mapping, report
 from .plans.reconcile import Result, Spec, reconcile, reconcile_tax
 from .sources import tables as S
+from .sources.shared import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -332,7 +334,7 @@ def best_match(spark, d):
     suppliers = _t(spark, d, "supplier").select("s_suppkey", "s_name")
     spelled = F.expr("CASE WHEN s_suppkey % 3 = 0 THEN concat('  ', upper(s_name)) WHEN s_suppkey % 3 = 1 THEN replace(s_name, '#', '-') ELSE concat(s_name, 'x') END")
     values = suppliers.select(F.col("s_suppkey").alias("id"), spelled.alias("value"))
-    return M.Lookup(suppliers, "s_name", "s_suppkey", S.Scratch(spark)).best_of(values, "identifier").select("id1", "id2", "confidence")
+    return M.Lookup(suppliers, "s_name", "s_suppkey", Scratch(spark)).best_of(values, "identifier").select("id1", "id2", "confidence")
 
 
 @query("SELECT o_orderkey, round(coalesce(try_cast(a AS DOUBLE), 0) + coalesce(try_cast(b AS DOUBLE), 0), 2) AS value FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS a, CAST(o_custkey AS VARCHAR) AS b FROM orders)")
@@ -628,6 +630,9 @@ def similarity_scores(spark, d):
 # ---- job log, ranks and mapping, over the events table
 
 
+_STATE = "CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' ELSE 'cancelled' END"
+
+
 def _jobs(spark, d):
     e = _t(spark, d, "events")
     state = F.element_at(F.array(*map(F.lit, J.STATES)), (F.col("event_id") % 5 + 1).cast("int"))
@@ -637,9 +642,6 @@ def _jobs(spark, d):
     )
 
 
-_STATE = "CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' ELSE 'cancelled' END"
-
-
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR) AS k FROM events) WHERE k <= 20")
 def newest_per_session(spark, d):
     return J.newest(_jobs(spark, d), "session_id", "created_at", "job_id").select("event_id")
@@ -650,6 +652,31 @@ def surplus_jobs(spark, d):
     return J.surplus(_jobs(spark, d)).select("event_id")
 
 
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR) AS k FROM events) WHERE k <= 20")
+def log_without_surplus(spark, d):
+    """The job log after the clean-up of each session."""
+    jobs = _jobs(spark, d)
+    return J.without(jobs, J.surplus(jobs)).select("event_id")
+
+
+@query("SELECT DISTINCT concat('f', event_id % 130) AS file_id FROM events EXCEPT SELECT concat('f', user_id % 100) FROM events WHERE event_id % 5 <> 4")
+def orphan_files(spark, d):
+    """Files that no job refers to; a job in five refers to none."""
+    e = _t(spark, d, "events")
+    name = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    files = e.select(name(F.col("event_id") % 130).alias("file_id")).distinct()
+    log = e.select(F.when(F.col("event_id") % 5 != 4, F.array(name(F.col("user_id") % 100))).otherwise(F.array().cast("array<string>")).alias("files"))
+    return J.orphan_files(files, log)
+
+
+@query(f"SELECT event_id, 'cancelled' AS status FROM (SELECT event_id, user_id, {_STATE} AS s FROM events) WHERE user_id = 1 AND s IN ('queued', 'processing')")
+def cancelled_jobs(spark, d):
+    """The events that cancel the open jobs of a session."""
+    jobs = _jobs(spark, d).withColumns({"settings": F.lit("{}"), "files": F.array().cast("array<string>"), "job": F.col("job_id"), "job_id": F.col("session_id")})
+    open_ = J.cancel(jobs.withColumn("settings", F.col("job")), "1", datetime(2026, 7, 1))
+    return open_.select(F.col("settings").cast("long").alias("event_id"), "status")
+
+
 @query("SELECT event_id FROM events WHERE user_id = 1 ORDER BY ts DESC, event_id::VARCHAR LIMIT 200")
 def recent_jobs(spark, d):
     return J.recent(_jobs(spark, d), "1").select("event_id")

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch  # noqa: F401
-
 WORKBOOKS = (".xlsx", ".xls")
 
 
