@@ -47,7 +47,10 @@ def suggest(spark: SparkSession, left: Sequence[str], right: Sequence[str], leas
     """source, destination, confidence: in the order of the left columns each takes the best right one that is left, the first of equals."""
     found = scored(names_of(spark, left), names_of(spark, right)).where(F.col("confidence") >= least)
     edges = found.withColumns({"stage": F.lit(0), "priority": F.lit(0)})
-    pairs = assign_edges(edges, Scratch(spark))
+    scratch = Scratch(spark)
+    taken = [tuple(r) for r in assign_edges(edges, scratch).collect()]  # a pair a column at most
+    scratch.release()
+    pairs = spark.createDataFrame(taken, "id1 long, id2 long")
     return pairs.join(found, ["id1", "id2"]).orderBy("id1").select(F.col("name_1").alias("source"), F.col("name_2").alias("destination"), "confidence")
 
 

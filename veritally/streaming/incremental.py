@@ -14,6 +14,7 @@ def reconcile_stream(stream: DataFrame, table: DataFrame, spec: Spec, out: str,
     def one(batch: DataFrame, number: int) -> None:
         result = reconcile(batch, table, spec, order, None)
         result.pairs.drop("extra_1", "extra_2").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        result.release()
 
     writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
