@@ -7,6 +7,7 @@ same for a thousand pieces or a trillion. A piece then takes its slot by its ran
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
@@ -56,7 +57,7 @@ class WordIds:
                 self.ids.update((w, known[w]) for w in new if w in known)
                 new = [w for w in new if w not in known]
                 for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    self.ids[w] = np.array(e.ids, "<u4").tobytes()
+                    self.ids[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
             yield b"".join(map(self.ids.__getitem__, words))
 
 
