@@ -22,7 +22,7 @@ from .common import gapless_rank, stash, table
 SIZE = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers in each of two generations; what is used again moves from the older one to the newer.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _tokenizers: dict[str, tuple] = {}
 
