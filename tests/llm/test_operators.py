@@ -70,6 +70,37 @@ def test_packing_reads_back_and_has_no_gaps(docs):
     assert len(ends) <= -(-sum(ends.values()) // 64) + 2
 
 
+def test_word_ids_equal_the_tokenizers(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    odd = ["It's", "they'll,", "W\u030A,", "\u0130stanbul,", "\u0130", "A\u0301!", "<|endoftext|>", "x<|endoftext|>.", "<|ENDOFTEXT|>", "\u00c9t\u00e9!!", "\u00c4\u00df,", "\u01c5a.", "a\u00a0b", "3.5,", "can't!'", "'s", "\u03a3\u03a3.", "x=\u0338", "\x1cq", "don't.stop", "-a", "...", "\U0001f600,"]
+    texts = [" ".join(odd), *odd, "", " ".join(f"{w}{p}" for w in ("Hend", "hend", "\u00e9w") for p in ("", ".", "'s", "?!"))]
+    for size in (1, 10_000):
+        for name in ("REMEMBERED", "PARTS", "TOGETHER", "JOINED"):
+            monkeypatch.setattr(packing, name, size)
+        found = packing.WordIds(packing.vocabulary_path()).of([x.encode() for x in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_word_ids_encode_a_run_of_letters_once():
+    known, asked = packing.WordIds(packing.vocabulary_path()), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(w.strip("!.,").lower() for x in texts for w in x.split())
+            return self.tokenizer.encode_batch_fast(texts, **kw)
+
+    for name in ("tokenizer", "plain"):
+        if hasattr(known, name):
+            setattr(known, name, Counted(getattr(known, name)))
+    list(known.of([b"Hend hend, HEND!!", b"hend. hend,"]))
+    assert asked.count("hend") == 1
+
+
 def test_packing_of_nothing(none):
     assert packing.pack_documents(none).count() == 0
 

@@ -7,10 +7,11 @@ same for a thousand pieces or a trillion. A piece then takes its slot by its ran
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,13 @@ from .common import gapless_rank, stash, table
 
 SIZE = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers in each of two generations; what is used again moves from the older one to the newer.
-REMEMBERED = 500_000
+#: Words, and parts of words, whose ids a worker remembers in each of two generations; what is used again moves from the older one to the newer.
+REMEMBERED, PARTS = 200_000, 200_000
+#: Bytes of texts, about, whose words are looked up together, and runs of letters that are encoded as one text.
+TOGETHER, JOINED = 1 << 20, 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Words: Latin letters, then ASCII punctuation, or anything else. The letter whose lower case is two characters (U+0130) isn't one here.
+_CUT = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\\[-`{-~]*)(?= |$)|([^ ]+)").findall
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -33,10 +38,28 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent:
+    """Ids of what was met last, in two generations."""
+
+    def __init__(self, size: int):
+        self.size, self.ids, self.older = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of keys that neither generation has; the others are in the newer one then. A full generation becomes the older one."""
+        new = keys.difference(self.ids)
+        if len(self.ids) + len(new) > self.size:
+            self.ids, self.older, new = {}, self.ids, keys
+        out, known = new.difference(self.older), self.older
+        self.ids.update((k, known[k]) for k in new - out)
+        return list(out)
+
+
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit numbers, by ids of single words.
 
-    The tokenizer never joins characters across ASCII white space, so a text's ids are its words' ids in turn.
+    The tokenizer never joins characters across ASCII white space, so a text's ids are its words' ids in turn. It lowers letters and cuts
+    between a letter and punctuation, so ids of letters with punctuation behind are those of the lower-case letters and of the
+    punctuation. Letters alone are one run, whose last token is marked: many runs are encoded as one text and cut at the marks.
     """
 
     def __init__(self, path: str):
@@ -44,21 +67,58 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.ids, self.older = Tokenizer.from_file(path), {}, {}
-
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Recent(REMEMBERED), Recent(PARTS)
+        #: The same model, without the steps that leave lower-case Latin letters as they are.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def of(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        group: list[list[bytes]] = []
+        size = 0
         for text in texts:
-            words = text.split()
-            if new := {w for w in words if w not in self.ids}:
-                if len(self.ids) + len(new) > REMEMBERED:
-                    self.ids, self.older, new = {}, self.ids, set(words)
-                known = self.older
-                self.ids.update((w, known[w]) for w in new if w in known)
-                new = [w for w in new if w not in known]
-                for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    self.ids[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-            yield b"".join(map(self.ids.__getitem__, words))
+            group.append(text.split())
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._joined(group)
+                group, size = [], 0
+        yield from self._joined(group)
+
+    def _joined(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        if new := self.words.missing(set().union(*group)):
+            self._learn(new)
+        get = self.words.ids.__getitem__
+        for words in group:
+            yield b"".join(map(get, words))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Adds words by their letters and punctuation, or whole if they are of another kind."""
+        letters, tails, others = zip(*_CUT(b" ".join(new).decode()), strict=True)
+        letters = " ".join(letters).lower().split(" ")
+        runs = set(letters)
+        lacking = self.parts.missing({*runs, *tails, *others} - {""})
+        rest = [p for p in lacking if p not in runs]
+        runs, ids = [p for p in lacking if p in runs], self.parts.ids
+        ids.update(zip(runs, self._runs(runs), strict=True))
+        ids.update(zip(rest, self._each(rest), strict=True))
+        ids[""] = b""
+        self.words.ids.update((w, ids[a] + ids[b] + ids[c]) for w, a, b, c in zip(new, letters, tails, others, strict=True))
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters; one by one where the marks don't tell them apart."""
+        out: list[bytes] = []
+        groups = [runs[a : a + JOINED] for a in range(0, len(runs), JOINED)]
+        for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends, blob = (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), ids.tobytes()
+            out += [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) == len(group) and ends[-1] == len(blob) else self._each(group)
+        return out
 
 
 def word_ids(path: str) -> WordIds:
@@ -75,7 +135,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFr
         known = word_ids(path)
         for batch in batches:
             rows: list[tuple] = []
-            names, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
+            names, texts = batch.column(0).to_pylist(), (x.as_py() or b"" for x in batch.column(1))
             for name, ids in zip(names, known.of(texts), strict=True):
                 ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
