@@ -602,6 +602,20 @@ def test_scores_are_those_of_brute_force(spark, monkeypatch):
         assert abs(total + np.exp(new - lm_model.spelled([fresh], np.array([lead]), seen["speller"])[0]) - 1) < 1e-3
 
 
+def test_words_are_predicted_by_the_word_before(spark):
+    # words of two bytes lead no kind of documents, so all are of one class: only their indices tell them apart
+    r = random.Random(12)
+    letters = "abcdefghijklmnop"
+    pairs = [(f"{a}{b}", f"{b}{a}") for a in "qrst" for b in letters]
+    right, wrong = ([i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][k] for k in (0, 1))
+    rows = [(i, " ".join(w for _ in range(20) for w in r.choice(pairs))) for i in range(300) if i not in (right, wrong)]
+    told = r.sample(pairs, 20)
+    rows += [(right, " ".join(w for p in told for w in p)), (wrong, " ".join(w for k, p in enumerate(told) for w in (p[0], told[k - 1][1])))]
+    got = {q["doc_id"]: q for q in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert np.isclose(got[right]["base_score"], got[wrong]["base_score"])
+    assert got[right]["score"] > got[wrong]["score"] + 10
+
+
 def test_long_documents_are_several_pieces(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PIECE", 200)
     text = _text(300, 44)

@@ -16,11 +16,11 @@ import numpy as np
 
 #: Bits of the tables' slots. Spelling: the class with the last 1, 2 and 3 bytes; the last 4 bytes. Tokens: the class; the word before; the class
 #: with class and level of the two words before; a run of copies.
-BYTES, TOKENS = (16, 18, 19, 19), (16, 18, 18, 6)
+BYTES, TOKENS = (16, 18, 19, 19), (16, 20, 20, 6)
 STEPS, BATCH = 24, 1 << 15
 #: Levels of words by their number of training occurrences (0: none, 1: one, then up to 7, 31, 127 and so on), classes of words, and
 #: occurrences from which a word's index in its level is predicted bit by bit (below, each index of a level and class is as likely).
-LEVELS, GROUPS, MIXED = 26, 8, 8192
+LEVELS, GROUPS, MIXED = 26, 8, 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 

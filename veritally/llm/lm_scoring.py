@@ -3,8 +3,8 @@
 A text is a sequence of lower-cased words and one end. Each token is coded in bits, and every bit is predicted by counts under
 several hashed contexts, whose stretched shares are combined by gated weights and refined by an adaptive map (lm_model):
 
-* A token's level (how often the word occurs in the training documents; level 0: never), then, for frequent words, the bits of its index
-  in the level, and for rarer ones the bits of their class, in which all words of the level are as likely. Contexts: the leading class of the document so far, the
+* A token's level (how often the word occurs in the training documents; level 0: never), then, for words that occur MIXED (8) times or more, the
+  bits of its index in the level, and for rarer ones the bits of their class, in which all words of the level are as likely. Contexts: the leading class of the document so far, the
   word before, class and level of the two words before, and whether the token that followed when these two last stood in this document
   goes on agreeing, by how many such copies came true in a row.
 * A word of level 0 may be such a copy; else it is spelled, bit by bit of its bytes and a closing space, under the last 1 to 4 bytes and the leading class.
