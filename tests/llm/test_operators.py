@@ -559,6 +559,25 @@ def test_codes_are_those_of_walking_the_code():
     assert np.isclose(total, 1)  # a code, whatever the bits' probabilities
 
 
+def test_bits_of_histories_are_those_of_each_token():
+    r = np.random.default_rng(4)
+    words = np.zeros((lm_model.LEVELS, lm_model.GROUPS), np.int64)
+    words[1, 2], words[2, 1], words[6, 3] = 3, 4, 9
+    lev, index, cls = np.repeat([0, 1, 2, 6], [1, 3, 4, 9]), np.array([0, *range(3), *range(4), *range(9)]), np.repeat([0, 2, 1, 3], [1, 3, 4, 9])
+    laid = lm_model.Code.of(words, words.sum(1) * 5).lay(lev, lev, index, cls)
+    codes = r.integers(0, len(lev), 500)
+    history = lm_model.History.of(codes, np.array([0, 200]), index.astype(np.uint64) + (lev.astype(np.uint64) << np.uint64(48)) + np.uint64(2), cls, lev)
+    ends, nodes, bits, _ = laid
+    want, got = Counter(), Counter()
+    for t, c in enumerate(codes.tolist()):
+        for k in range(ends[c - 1] if c else 0, ends[c]):
+            want[t, int(bits[k]), *(int(lm_model.slot(x[t], nodes[k], b)) + o for x, b, o in zip(history.contexts, lm_model.TOKENS, lm_model.offsets(lm_model.TOKENS).tolist(), strict=False))] += 1
+    for slots, y, of in history.bits(laid, 128):
+        assert slots.dtype == np.uint32
+        got.update(zip(of.tolist(), y.tolist(), *slots[:3].tolist(), strict=True))
+    assert got == want
+
+
 def test_scores_are_those_of_brute_force(spark, monkeypatch):
     r = random.Random(8)
     vocabulary = [["the", "and", *(_text(1, i) for i in range(60))], ["der", "und", *("z" + _text(1, 90 + i) for i in range(60))]]

@@ -45,6 +45,8 @@ FOLDS, HELD_OUT = 7, 2
 CHUNK, PIECE = 8 << 20, 4 << 20
 #: Dictionary entries that one part of the vocabulary meets, about; chunks whose entries meet in one group; slots in a block of a table.
 ENTRIES, TOGETHER, BLOCK = 400_000, 512, 1 << 16
+#: Bits that wait until they are counted: a count goes over whole tables.
+HELD = 1 << 21
 #: Words of a chunk that wait as single objects until they are taken into an array, about.
 TAKEN = 1 << 16
 #: Stands for the end of a text: no word is empty.
@@ -335,8 +337,9 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[byte
     for batch in batches:
         for k in range(batch.num_rows):
             words, cls = _split(batch.column("words")[k].as_py(), batch.column("n")[k].as_py()), np.frombuffer(batch.column("cls")[k].as_py(), np.uint8)
-            order = sorted((i for i, w in enumerate(words) if w), key=lambda i: zlib.crc32(words[i][::-1]))
-            yield [words[i] for i in order], cls[order]
+            order = np.argsort(np.fromiter((zlib.crc32(w[::-1]) for w in words), np.uint32, len(words)), kind="stable")
+            order = order[np.fromiter(map(bool, words), bool, len(words))[order]]
+            yield [words[i] for i in order.tolist()], cls[order]
 
 
 def _counter(bits: tuple[int, ...], source):
@@ -344,23 +347,23 @@ def _counter(bits: tuple[int, ...], source):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(2 << b, np.int64) for b in bits]  # of each slot's bits that are 0 and that are 1
-        held: list[list[np.ndarray]] = [[] for _ in bits]
-        size, at = 0, L.offsets(bits)
+        held, size, at = np.empty((len(bits), HELD), np.uint32), 0, L.offsets(bits)
 
         def add() -> None:
-            for own, parts in zip(counts, held, strict=True):
-                own += np.bincount(np.concatenate(parts), minlength=len(own))
-                parts.clear()
+            for own, part, start in zip(counts, held, at, strict=False):
+                own += np.bincount(part[:size] - np.uint32(2 * start), minlength=len(own))
 
         for slots, y in source(batches):
-            for k, parts in enumerate(held):
-                parts.append((slots[k] - at[k]) * 2 + y)
-            size += len(y)
-            if size > 1 << 19:
-                add()
-                size = 0
-        if size:
-            add()
+            slots *= 2
+            slots += y.view(np.uint8)
+            for a in range(0, len(y), HELD):
+                new = slots[:, a : a + HELD]
+                if size + new.shape[1] > HELD:
+                    add()
+                    size = 0
+                held[:, size : size + new.shape[1]] = new
+                size += new.shape[1]
+        add()
         joined = np.concatenate(counts)
         ones, n = joined[1::2], joined[::2] + joined[1::2]
         salt = TaskContext.get().partitionId() // 64
@@ -417,8 +420,8 @@ def fitted(coded: DataFrame, vocabulary: DataFrame, code: L.Code) -> tuple[L.Pre
 
     def spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for words, cls in _word_batches(batches):
-            for at in range(0, len(words), 1 << 10):
-                yield L.byte_bits(words[at : at + (1 << 10)], cls[at : at + (1 << 10)])[:2]
+            for at in range(0, len(words), L.SPELLED):
+                yield L.byte_bits(words[at : at + L.SPELLED], cls[at : at + L.SPELLED])[:2]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for chunk in _each(batches):
@@ -460,7 +463,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     kinds = {bytes(r["top"]): k for k, r in enumerate(led.orderBy(F.desc("count"), "top").limit(L.GROUPS - 1).collect())}
     parts, salts = max(1, -(-(sizes["entries"] or 0) // ENTRIES)), max(1, -(-sizes["chunks"] // TOGETHER))
     wanted = stash(asked(made, kinds, parts, salts), "zstd")
-    halfway = wanted.groupBy("part", "salt").applyInArrow(_summed_words, "part long, words binary, n long, c binary")
+    halfway = wanted
+    if salts > 1:
+        halfway = wanted.groupBy("part", "salt").applyInArrow(_summed_words, "part long, words binary, n long, c binary")
     vocabulary = stash(halfway.groupBy("part").applyInArrow(_vocabulary, "part long, words binary, n long, c binary, cls binary"), "zstd")
     stats = stash(vocabulary.mapInArrow(_stats, "part long, words array<long>, tokens array<long>"))
     shape = np.zeros((2, L.LEVELS * L.GROUPS), np.int64)
@@ -491,10 +496,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
             sizes, total, laid = chunk.sizes.to_numpy(), np.zeros((3, len(chunk.sizes))), chunk.laid(code, False)
             for mine, history in chunk.histories(False):
                 cost = laid[3][history.codes] + chunk.spelling(history, by_bytes, by_words)
-                at = 0
-                for slots, y, many in history.bits(laid):
-                    cost[at : at + len(many)] += np.bincount(np.repeat(np.arange(len(many)), many), by_words.cost(slots, y), len(many))
-                    at += len(many)
+                for slots, y, own in history.bits(laid):
+                    found = np.bincount(own - (first := own.min(initial=len(cost))), by_words.cost(slots, y))
+                    cost[first : first + len(found)] += found
                 of, c = np.repeat(np.arange(len(mine)), sizes[mine]), chunk.c[history.codes]
                 for k, x in enumerate((c > 0, np.log10(c + 1.0) - base, cost / math.log(10))):
                     total[k, mine] = np.bincount(of, x, len(mine))
