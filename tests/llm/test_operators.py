@@ -101,6 +101,15 @@ def test_word_ids_encode_a_run_of_letters_once():
     assert asked.count("hend") == 1
 
 
+def test_word_ids_parse_only_words_with_more_than_ascii_letters(monkeypatch):
+    known, parsed, real = packing.WordIds(packing.vocabulary_path()), [], packing._CUT
+    monkeypatch.setattr(packing, "_CUT", lambda text: parsed.extend(text.split(" ")) or real(text))
+    texts = [b"The cat\tand the\x0b dog ", "caf\u00e9 the dog. 3 CAT".encode(), b"cat", b"\n"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in known.of(texts)]
+    assert found == [known.tokenizer.encode(x.decode(), add_special_tokens=False).ids for x in texts]
+    assert sorted(parsed) == ["3", "caf\u00e9", "dog."]
+
+
 def test_packing_of_nothing(none):
     assert packing.pack_documents(none).count() == 0
 

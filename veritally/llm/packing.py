@@ -12,6 +12,8 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator, Mapping
+from itertools import filterfalse
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,9 @@ class Recent:
         new = keys.difference(self.ids)
         if len(self.ids) + len(new) > self.size:
             self.ids, self.older, new = {}, self.ids, keys
-        out, known = new.difference(self.older), self.older
-        self.ids.update((k, known[k]) for k in new - out)
+        out = new.difference(self.older)
+        new = new - out
+        self.ids.update(zip(new, map(self.older.__getitem__, new), strict=True))
         return list(out)
 
 
@@ -96,16 +99,20 @@ class WordIds:
 
     def _learn(self, new: list[bytes]) -> None:
         """Adds words by their letters and punctuation, or whole if they are of another kind."""
-        letters, tails, others = zip(*_CUT(b" ".join(new).decode()), strict=True)
-        letters = " ".join(letters).lower().split(" ")
-        runs = set(letters)
-        lacking = self.parts.missing({*runs, *tails, *others} - {""})
-        rest = [p for p in lacking if p not in runs]
-        runs, ids = [p for p in lacking if p in runs], self.parts.ids
-        ids.update(zip(runs, self._runs(runs), strict=True))
+        plain, mixed = [list(f(bytes.isalpha, new)) for f in (filter, filterfalse)]  # ASCII letters alone, and all else
+        letters, tails, others = zip(*_CUT(b" ".join(mixed).decode()), strict=True) if mixed else ((), (), ())
+        runs = b" ".join(plain).lower().decode().split(" ") if plain else []
+        starts = " ".join(letters).lower().split(" ") if mixed else []
+        known = {*runs, *starts}
+        lacking = self.parts.missing(known.union(tails, others) - {""})
+        rest = [p for p in lacking if p not in known]
+        first, ids = [p for p in lacking if p in known], self.parts.ids
+        ids.update(zip(first, self._runs(first), strict=True))
         ids.update(zip(rest, self._each(rest), strict=True))
         ids[""] = b""
-        self.words.ids.update((w, ids[a] + ids[b] + ids[c]) for w, a, b, c in zip(new, letters, tails, others, strict=True))
+        get = ids.__getitem__
+        self.words.ids.update(zip(plain, map(get, runs), strict=True))
+        self.words.ids.update(zip(mixed, map(add, map(add, map(get, starts), map(get, tails)), map(get, others)), strict=True))
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
