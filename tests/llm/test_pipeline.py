@@ -152,3 +152,34 @@ def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert len(corpus_pipeline.STAGES) == 4
     assert set(registry.ORACLE_SQL) <= names
+
+
+def test_workers_rest_small_after_packing(spark):
+    texts = [(k, " ".join(f"w{k}x{i}" for i in range(2000))) for k in range(60)]  # 120,000 words
+    assert packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).count() > 60
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(x.ids) + len(x.older) for k in packing._tokenizers.values() for x in (k.words, k.parts))]})
+
+    assert max(r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()) <= packing.REMEMBERED // 4
+    store = packing.Recent(8)
+    for keys in ("abcdef", "abghi"):
+        store.ids.update({k: k.encode() for k in store.missing(set(keys))})
+    store.shrink()
+    assert store.ids == {"a": b"a", "b": b"b"} and not store.older
+    store.shrink()
+    assert store.missing({"b"}) == []
+    assert store.missing({"z"}) == ["z"]
+
+
+def test_near_duplicates_run_one_python_worker_a_task(spark, monkeypatch):
+    """Links reach components() from a table: where two Python steps share a task, it has two workers, which stay."""
+    plans = []
+    for module in (simhash, shingle_dedup):
+        monkeypatch.setattr(module, "components", lambda links, f=module.components: (plans.append(links._jdf.queryExecution().toString()), f(links))[1])
+    docs = spark.createDataFrame([(i, _words(60, i % 9) + (" end" if i % 2 else "")) for i in range(20)], "doc_id long, text string")
+    assert simhash.deduplicate(docs).count() == 9
+    assert len(plans) == 4 and not any("InArrow" in p for p in plans)

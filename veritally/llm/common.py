@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -48,6 +50,12 @@ def discard(stashed: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system, where its C library can; else an idle worker would hold it."""
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id's decimal digits, modulo folds."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

@@ -12,7 +12,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator, Mapping
-from itertools import filterfalse
+from itertools import filterfalse, islice
 from operator import add
 
 import numpy as np
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, stash, table
+from .common import gapless_rank, give_back, stash, table
 
 SIZE = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and parts of words, whose ids a worker remembers in each of two generations; what is used again moves from the older one to the newer.
+#: Words, and parts of words, whose ids a task remembers in each of two generations; what is used again moves from the older one to the newer.
 REMEMBERED, PARTS = 200_000, 200_000
 #: Bytes of texts, about, whose words are looked up together, and runs of letters that are encoded as one text.
 TOGETHER, JOINED = 1 << 20, 256
@@ -56,6 +56,14 @@ class Recent:
         self.ids.update(zip(new, map(self.older.__getitem__, new), strict=True))
         return list(out)
 
+    def shrink(self) -> None:
+        """Keeps all if that is little, else what both generations have, which is what is met often; half a generation at most."""
+        if len(self.ids) + len(self.older) <= self.size // 4:
+            kept = self.older | self.ids
+        else:
+            kept = {k: self.ids[k] for k in islice(filter(self.older.__contains__, self.ids), self.size // 2)}
+        self.ids, self.older = kept, {}
+
 
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit numbers, by ids of single words.
@@ -79,6 +87,12 @@ class WordIds:
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
+    def rest(self) -> None:
+        """Drops most of what a task has met. A worker lives on after its task, and an executor keeps more workers than run at a time."""
+        self.words.shrink()
+        self.parts.shrink()
+        give_back()
+
     def of(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         group: list[list[bytes]] = []
         size = 0
@@ -140,18 +154,21 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = 0) -> DataFr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
-        for batch in batches:
-            rows: list[tuple] = []
-            names, texts = batch.column(0).to_pylist(), (x.as_py() or b"" for x in batch.column(1))
-            for name, ids in zip(names, known.of(texts), strict=True):
-                ids += last
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    rows.append((name, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                names, texts = batch.column(0).to_pylist(), (x.as_py() or b"" for x in batch.column(1))
+                for name, ids in zip(names, known.of(texts), strict=True):
+                    ids += last
+                    for k, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at : at + 4 * size]
+                        rows.append((name, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        finally:
+            known.rest()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(cut, PIECES)
 

@@ -127,6 +127,6 @@ def groups(rows: DataFrame, signed: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     left = left.select("band", "node", "group", "block", other).join(sets, "node")
     left = left.select("band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "group", "block", "set")
-    more = left.groupBy("band", "i", "j").applyInArrow(_compare, EDGES)
+    more = stash(left.groupBy("band", "i", "j").applyInArrow(_compare, EDGES))  # the next step runs Python too: in one task that would be a second worker
     found = components(first.unionByName(more))
     return nodes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))

@@ -107,7 +107,7 @@ def link(nodes: DataFrame) -> DataFrame:
         return out.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(int(probe)).alias("probe"), "node", "fp")
 
     many = dealt(own, False).unionByName(dealt(crowds, True)).groupBy("key", "i", "j").applyInArrow(_compare, EDGES)
-    return few.unionByName(many)
+    return few.unionByName(stash(many))  # the next step runs Python too: in one task that would be a second worker
 
 
 def fingerprint_groups(fps: DataFrame) -> DataFrame:
