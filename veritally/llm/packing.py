@@ -28,6 +28,8 @@ VOCABULARY = "word_bpe_49k.json"
 REMEMBERED, PARTS = 200_000, 200_000
 #: Bytes of texts, about, whose words are looked up together, and runs of letters that are encoded as one text.
 TOGETHER, JOINED = 1 << 20, 256
+#: Placed pieces in a task that hands them on, about: were there one for each shuffle partition, a small table would end in many files.
+PLACED = 1 << 13
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words: Latin letters, then ASCII punctuation, or anything else. The letter whose lower case is two characters (U+0130) isn't one here.
 _CUT = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\\[-`{-~]*)(?= |$)|([^ ]+)").findall
@@ -232,7 +234,8 @@ def pack(pieces_table: DataFrame, size: int = SIZE) -> DataFrame:
 
     ranked = gapless_rank(pieces_table, "length", ["doc_id", "piece", "ids_crc32"], "rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInArrow(take, f"{PIECES}, sequence_id long, offset long")
+    tasks = max(1, -(-sum(counts.values()) // PLACED))
+    return ranked.coalesce(tasks).mapInArrow(take, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
