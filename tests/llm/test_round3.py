@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
-from veritally.llm import packing
+from veritally.llm import packing, sentencepiece_codec
 
 
 def test_packing_hands_small_tables_on_in_few_tasks(spark, monkeypatch):
@@ -28,3 +29,31 @@ def test_packing_hands_small_tables_on_in_few_tasks(spark, monkeypatch):
         assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 64
     assert {r["doc_id"] for r in rows} == set(range(250))
     assert tasks == -(-len(rows) // 100)
+
+
+def test_codec_searches_short_parts_where_paths_ask_only(monkeypatch):
+    import sentencepiece
+
+    r = random.Random(4)
+    syllables = ["th", "an", "er", "tion", "re", "Ing", "é", "ß", "日本", "🙂", ".", ",", "$$$", "7", "\t", "\n", "\r", "  ", "▁", "\x00"]
+    texts = [" ".join("".join(r.choices(syllables, k=r.randint(1, 6))) for _ in range(60)) for _ in range(80)] + ["", " ", "a" * 41, "x" * 700 + " y", "a" * 40]
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    want = [library.encode(x) for x in texts]
+    asked = []
+
+    class Counted(sentencepiece_codec.Codec):
+        def piece_before(self, text, i, last):
+            asked.append(i)
+            return super().piece_before(text, i, last)
+
+    for remembered, together in ((sentencepiece_codec.REMEMBERED, 1 << 20), (40, 300)):
+        monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", remembered)
+        monkeypatch.setattr(sentencepiece_codec, "TOGETHER", together)
+        c = Counted(sentencepiece_codec.model_path())
+        asked.clear()
+        found = list(c.encode_all(texts))
+        assert [memoryview(x).cast("I").tolist() for x in found] == want
+        assert [c.encode(x) for x in texts] == found
+        assert not any(len(p) > sentencepiece_codec.LONGEST_WORD for p in c.words.ids)
+        if remembered > 40:
+            assert len(asked) < 0.7 * sum(map(len, c.words.ids))  # the search of whole windows has a step for each character

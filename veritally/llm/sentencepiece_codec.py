@@ -5,15 +5,17 @@ step from one piece to the next counts only where the two, encoded on their own
 that makes the best path the one that the model's merges give (the supplied vocabulary is a merge model, whose pieces
 have ranks instead of probabilities, so sums of scores would give other ids). Pieces have at most `longest` characters, so only that
 many positions can still be left behind: whenever the paths from all of them meet at one boundary, ids up to it are committed
-and forgotten, so `search` holds that window only. `encode` first cuts a text into parts that no piece goes across and remembers the ids of
-short ones, which is faster and holds the text's parts and ids; within parts of a few characters the window is rarely full before the end.
+and forgotten, so `search` holds that window only. `encode` first cuts texts into parts that no piece goes across and remembers the ids of
+short ones, which is faster and holds the texts' parts and ids. Short parts never fill the window, so the same recurrence runs over them from the
+end: only positions that a path from there asks for get their last piece. Parts go in sorted order, and each keeps what it shares with the one before.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import Recent
 
 MODEL = "piece_bpe_32k.model"
 #: Words that a worker remembers in each of two generations (what is used again moves to the newer), pairs that it remembers, and the longest such word.
 REMEMBERED, PAIRS, LONGEST_WORD = 450_000, 400_000, 40
+#: Characters of texts, about, whose parts are looked up together.
+TOGETHER = 1 << 20
 SPACE = "▁"
 _codecs: dict[str, Codec] = {}
 
@@ -53,13 +58,16 @@ class Codec:
                 self.unknown, text = i, b" \xe2\x81\x87 "
             self.piece.append(text)
         self.longest = max(map(len, self.id))
+        #: Of the last three characters of pieces, how many characters the longest such piece has.
+        self.reach: dict[str, int] = {}
+        for p in self.id:
+            self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         inside = {x for p in self.id for x in p[1:]}
         stops = SPACE if not any(SPACE in p.lstrip(SPACE) for p in self.id) else ""
         alone = "".join(x for x in "\n\t\r" if x not in inside and not any(x in p for p in self.id))
         #: Parts that no piece goes across.
         self.parts = re.compile(rf"{stops}*[^{stops}{alone}]+|{stops}+|[{alone}]") if stops and alone else re.compile(r".+", re.S)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = Recent(REMEMBERED)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -114,35 +122,74 @@ class Codec:
                     del back[:drop], last[:drop]
                     base += drop
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a part, as little-endian unsigned 32-bit numbers."""
+    def piece_before(self, text: str, i: int, last: list[str | None]) -> str:
+        """The last piece of the path to position i; `last` has those known so far and gets those that are asked for."""
+        pieces, known = self.id, self.pairs
+        for j in range(max(0, i - max(2, self.reach.get(text[max(0, i - 3) : i], 2))), i):
+            t = text[j:i]
+            if t in pieces or i - j == 1:
+                before = last[j]
+                if before is None:
+                    before = self.piece_before(text, j, last)
+                pair = (before, t)
+                if known[pair] if pair in known else self.stay(*pair):
+                    last[i] = t
+                    return t
+        raise ValueError("no path")  # pragma: no cover - every prefix has an encoding
+
+    def paths(self, parts: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """Each of some short parts, in sorted order, with its pieces."""
+        earlier, last = "", [""]
+        for text in sorted(parts):
+            same, n = 0, len(text)
+            for x, y in zip(earlier, text, strict=False):
+                if x != y:
+                    break
+                same += 1
+            last[same + 1 :] = [None] * (n - same)
+            path, i = [], n
+            while i:
+                path.append(last[i] or self.piece_before(text, i, last))
+                i -= len(path[-1])
+            path.reverse()
+            yield text, path
+            earlier = text
+
+    def ids(self, path: Iterable[str]) -> bytes:
+        """Ids of pieces, as little-endian unsigned 32-bit numbers."""
         out: list[int] = []
-        for t in self.search(text):
+        for t in path:
             if (i := self.id.get(t)) is not None:
                 out.append(i)
             else:
                 out += [self.bytes.get(b, self.unknown) for b in t.encode()] if self.bytes else [self.unknown]
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        group: list[list[str]] = []
+        size, prefix = 0, SPACE if self.prefix else ""
+        for text in texts:
+            group.append(self.parts.findall(prefix + text.replace(" ", SPACE)) if text else [])
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._joined(group)
+                group, size = [], 0
+        yield from self._joined(group)
+
+    def _joined(self, group: list[list[str]]) -> list[bytes]:
+        new = self.words.missing(set().union(*group))
+        known, long = self.words.ids, [p for p in new if len(p) > LONGEST_WORD]
+        for p, path in self.paths(p for p in new if len(p) <= LONGEST_WORD):
+            known[p] = self.ids(path)
+        for p in long:
+            known[p] = self.ids(self.search(p))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in group]
+        for p in long:
+            del known[p]
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        known, older, get = self.words, self.older, self.words.get
-        parts = self.parts.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
-        found = []
-        for p in parts:
-            ids = get(p)
-            if ids is None:
-                ids = older.get(p)
-                if ids is None:
-                    ids = self.ids(p)
-                if len(p) <= LONGEST_WORD:
-                    if len(known) >= REMEMBERED:
-                        self.words, self.older = {}, known
-                        known, older, get = self.words, self.older, self.words.get
-                    known[p] = ids
-            found.append(ids)
-        return b"".join(found)
+        return next(self.encode_all([text]))
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.piece.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -169,7 +216,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                coded = [known.encode(x) for x in texts]
+                coded = list(known.encode_all(texts))
                 same = [known.decode(np.frombuffer(c, "<u4")) == x for c, x in zip(coded, texts, strict=True)]
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
