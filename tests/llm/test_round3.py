@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+import tracemalloc
+from collections import Counter, defaultdict
 
-from veritally.llm import packing, sentencepiece_codec
+import numpy as np
+import pyarrow as pa
+
+from veritally.llm import lm_scoring, packing, sentencepiece_codec
 
 
 def test_packing_hands_small_tables_on_in_few_tasks(spark, monkeypatch):
@@ -57,3 +61,26 @@ def test_codec_searches_short_parts_where_paths_ask_only(monkeypatch):
         assert not any(len(p) > sentencepiece_codec.LONGEST_WORD for p in c.words.ids)
         if remembered > 40:
             assert len(asked) < 0.7 * sum(map(len, c.words.ids))  # the search of whole windows has a step for each character
+
+
+def test_bits_are_counted_as_they_come(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(lm_scoring, "TaskContext", Task)
+    r, bits = np.random.default_rng(1), (5, 3)
+    parts = [(np.stack([r.integers(0, 32, n), r.integers(32, 40, n)]).astype(np.uint32), r.integers(0, 2, n).astype(np.int8)) for n in (700, 1, 0, 90)]
+    met, ones = (Counter(int(k) for slots, y in parts for row in slots for k in row[use(y)]) for use in (lambda y: y >= 0, lambda y: y == 1))
+    count = lm_scoring._counter(bits, lambda _: ((slots.copy(), y) for slots, y in parts))
+    list(count(iter([])))  # pyarrow imports what it needs
+    tracemalloc.start()
+    try:
+        (found,) = count(iter([]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    for name, want in (("n", met), ("ones", ones)):
+        got = np.frombuffer(pa.decompress(found.column(name)[0].as_py(), 40 * 8, "zstd"), "<i8")
+        assert got.tolist() == [want[k] for k in range(40)]
+    assert peak < 1 << 20  # nothing waits to be counted

@@ -45,8 +45,6 @@ FOLDS, HELD_OUT = 7, 2
 CHUNK, PIECE = 8 << 20, 4 << 20
 #: Dictionary entries that one part of the vocabulary meets, about; chunks whose entries meet in one group; slots in a block of a table.
 ENTRIES, TOGETHER, BLOCK = 400_000, 512, 1 << 16
-#: Bits that wait until they are counted: a count goes over whole tables.
-HELD = 1 << 21
 #: Words of a chunk that wait as single objects until they are taken into an array, about.
 TAKEN = 1 << 16
 #: Stands for the end of a text: no word is empty.
@@ -346,26 +344,13 @@ def _counter(bits: tuple[int, ...], source):
     """Counts of a task's bits, a row for each block of the joint tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 << b, np.int64) for b in bits]  # of each slot's bits that are 0 and that are 1
-        held, size, at = np.empty((len(bits), HELD), np.uint32), 0, L.offsets(bits)
-
-        def add() -> None:
-            for own, part, start in zip(counts, held, at, strict=False):
-                own += np.bincount(part[:size] - np.uint32(2 * start), minlength=len(own))
-
+        counts = np.zeros(2 * int(L.offsets(bits)[-1]), np.int64)  # of each slot's bits that are 0 and that are 1
         for slots, y in source(batches):
             slots *= 2
             slots += y.view(np.uint8)
-            for a in range(0, len(y), HELD):
-                new = slots[:, a : a + HELD]
-                if size + new.shape[1] > HELD:
-                    add()
-                    size = 0
-                held[:, size : size + new.shape[1]] = new
-                size += new.shape[1]
-        add()
-        joined = np.concatenate(counts)
-        ones, n = joined[1::2], joined[::2] + joined[1::2]
+            for own in slots:
+                np.add.at(counts, own.astype(np.intp), 1)
+        ones, n = counts[1::2], counts[::2] + counts[1::2]
         salt = TaskContext.get().partitionId() // 64
         for b, a in enumerate(range(0, len(n), BLOCK)):
             if n[a : a + BLOCK].any():
