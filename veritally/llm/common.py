@@ -42,6 +42,11 @@ def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """The same rows, for a join that broadcasts neither side: Spark takes an exploded table to be as large as the table before, and would collect it."""
+    return df.hint("merge")
+
+
 def discard(stashed: DataFrame) -> None:
     """Deletes a stash that nothing reads any more: all that came from it is written elsewhere."""
     spark = stashed.sparkSession

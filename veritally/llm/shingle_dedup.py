@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import exchanged, stash
 from .components import EDGES, components, forest
 
 WIDTH, BANDS, ROWS, BLOCK = 5, 20, 4, 256
@@ -108,7 +108,7 @@ def groups(rows: DataFrame, signed: DataFrame) -> DataFrame:
     nodes = stash(signed.groupBy("key").agg(F.min("node").alias("node"), F.first("bands").alias("bands")))
     own = nodes.select("node", F.explode("bands").alias("band"))
     sizes = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-    buckets = stash(own.join(sizes, "band").select("band", "node", "hub"))
+    buckets = stash(exchanged(own).join(sizes, "band").select("band", "node", "hub"))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "key"), "node")
     texts = rows.select(F.col("node").alias("of"), "text").join(wanted, F.col("of") == F.col("node")).select("node", "text", "key")
     sets = stash(texts.mapInArrow(_sets, "node long, set array<long>"))

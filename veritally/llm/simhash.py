@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import exchanged, stash, table
 from .components import EDGES, components, forest
 from .shingle_dedup import groups as shingle_groups
 from .shingle_dedup import signature
@@ -89,9 +89,9 @@ def link(nodes: DataFrame) -> DataFrame:
     asks = [F.struct(k.alias("key"), F.lit(True).alias("same")) for k in keyed] + [F.struct(k.alias("key"), F.lit(False).alias("same")) for k in flips]
     asked = nodes.select("node", "fp", F.explode(F.filter(F.array(*asks), lambda a: a["key"].isNotNull())).alias("a")).select("node", "fp", "a.*")
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    asked = stash(asked.join(sizes, "key").where("NOT same OR n > 1"))
+    asked = stash(exchanged(asked).join(sizes, "key").where("NOT same OR n > 1"))
     # buckets of few: rows against rows
-    few = asked.where(F.col("n") < CROWDED).alias("q").join(own.alias("t"), F.col("q.key") == F.col("t.key"))
+    few = exchanged(asked.where(F.col("n") < CROWDED)).alias("q").join(own.alias("t"), F.col("q.key") == F.col("t.key"))
     few = few.where((~F.col("q.same") | (F.col("q.node") < F.col("t.node"))) & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("t.fp"))) <= RADIUS))
     few = few.select(F.greatest("q.node", "t.node").alias("u"), F.least("q.node", "t.node").alias("v"))
     # buckets of many: blocks against blocks
