@@ -182,8 +182,13 @@ def parse_date(c: Column, kind: str = "string") -> Column:
         return F.struct(F.regexp_extract_all(f, F.lit("[0-9]+"), F.lit(0)).alias("n"), word.alias("word"), F.try_element_at(table, word).alias("month"))
 
     found = let(bare, lambda t: F.when(t.rlike(_SHAPE) & ~t.rlike("[a-z][^a-z]+[a-z]"), let(tokens(t), _day_of_tokens)))
-    day = F.when(found.between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date")), found)
-    return F.when((F.length(c.cast("string")) <= 64) & text.rlike(_BEGINS), day)
+    return F.when((F.length(c.cast("string")) <= 64) & text.rlike(_BEGINS), day_in_range(found))
+
+
+def day_in_range(c: Column) -> Column:
+    """The day of a date or time: what parse_date makes of its text."""
+    day = c.cast("date")
+    return F.when(day.between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date")), day)
 
 
 def looks_like_gstin(c: Column) -> Column:

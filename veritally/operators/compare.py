@@ -56,17 +56,39 @@ def identifier(a: Column, b: Column, kind: str | Column, unicode: bool = False)
 
 def identifier_of_sides(kind: str) -> Column:
     """The verdict on the keys of two sides, from the forms that the sides were written with (key_1, norm_1, compact_1 and those of side 2)."""
-    return _identifier({"a": F.col("key_1"), "b": F.col("key_2"), "x": F.col("norm_1"), "y": F.col("norm_2"), "c1": F.col("compact_1"), "c2": F.col("compact_2")}, kind)
+    return _identifier(_of_sides(), kind)
+
+
+def told_of_sides(kind: str) -> dict[str, Column]:
+    """What a pair tells of identifier_of_sides, without the rest of the verdict."""
+    steps = _identifier_steps(_of_sides())
+    by = lambda i, last: F.coalesce(*(F.when(s[0], F.lit(s[i])) for s in steps), F.lit(last))
+    return {"match_type": F.lit(kind), "confidence": by(1, 0), "status": by(2, _MISMATCH)}
+
+
+def _of_sides() -> dict[str, Column]:
+    return {"a": F.col("key_1"), "b": F.col("key_2"), "x": F.col("norm_1"), "y": F.col("norm_2"), "c1": F.col("compact_1"), "c2": F.col("compact_2")}
+
+
+_MISMATCH = "Identifier mismatch"
+
+
+def _identifier_steps(f: Column | dict[str, Column]) -> list[tuple[Column, int, str]]:
+    """(condition, confidence, status) of matches, the first of which counts."""
+    x, y = f["c1"], f["c2"]
+    return [
+        ((x == "") & (y == ""), 100, "Both values blank"),
+        ((x == y) & (f["x"] == f["y"]), 100, "Exact identifier match"),
+        (x == y, 97, "Identifier formatting difference only"),
+    ]
 
 
 def _identifier(f: Column | dict[str, Column], kind: str | Column) -> Column:
     x, y = f["c1"], f["c2"]
-    return (
-        F.when((x == "") & (y == ""), _verdict(True, 100, kind, "Both values blank"))
-        .when((x == y) & (f["x"] == f["y"]), _verdict(True, 100, kind, "Exact identifier match", "", x, y))
-        .when(x == y, _verdict(True, 97, kind, "Identifier formatting difference only", "", x, y))
-        .otherwise(_verdict(False, 0, kind, "Identifier mismatch", _both(f["a"], f["b"]), x, y))
-    )
+    out = F.when(F.lit(False), None)
+    for i, (same, confidence, status) in enumerate(_identifier_steps(f)):
+        out = out.when(same, _verdict(True, confidence, kind, status, *(("", x, y) if i else ())))
+    return out.otherwise(_verdict(False, 0, kind, _MISMATCH, _both(f["a"], f["b"]), x, y))
 
 
 def forms(a: Column, b: Column, unicode: bool = False, kind: str | Column | None = None) -> Column:
@@ -142,13 +164,15 @@ def verdict_of(f: Column, kind: str | Column, score: Column, tolerance: float =
     return F.coalesce(F.when(kind == "numeric", _numeric(f, tolerance)), F.when(kind == "date", _dates(f)), F.when(kind.isin(*sorted(IDENTIFIERS)), _identifier(f, kind)), words)
 
 
-def with_verdict(df: DataFrame, a: Column, b: Column, kind: str | Column, into: str, unicode: bool = False, scorer: str | None = SCORER, tolerance: float = TOLERANCE) -> DataFrame:
-    """Adds the verdict on two texts as struct `into`, and their forms as `into`_forms.
+def with_verdict(
+    df: DataFrame, a: Column, b: Column, kind: str | Column, into: str, unicode: bool = False, scorer: str | None = SCORER, tolerance: float = TOLERANCE, where: Column | None = None,
+) -> DataFrame:
+    """Adds the verdict on two texts as struct `into`, and their forms as `into`_forms; both are null outside `where`.
 
     Forms are a column of their own, so nothing is computed twice; only pairs that no equality settles are scored.
     """
     f, s = f"{into}_forms", f"{into}_score"
-    out = df.withColumn(f, forms(a, b, unicode, kind))
+    out = df.withColumn(f, forms(a, b, unicode, kind) if where is None else F.when(where, forms(a, b, unicode, kind)))
     names = (kind in NAMES) if isinstance(kind, str) else kind.isin(*NAMES)
     if not scorer or isinstance(kind, str) and kind in IDENTIFIERS:
         out = out.withColumn(s, F.lit(0))
@@ -163,7 +187,8 @@ def with_verdict(df: DataFrame, a: Column, b: Column, kind: str | Column, into:
             text_like = F.col(f"{f}.{p}").isNull() | F.col(f"{f}.{q}").isNull()
         asked = [F.when(text_like, _asked(F.col(f), names, side)) for side in ("s", "t")]
         out = out.withColumn(s, F.coalesce(similarity(*asked, scorer), F.lit(0)))
-    return out.withColumn(into, verdict_of(F.col(f), kind, F.col(s), tolerance)).drop(s)
+    verdict = verdict_of(F.col(f), kind, F.col(s), tolerance)
+    return out.withColumn(into, verdict if where is None else F.when(F.col(f).isNotNull(), verdict)).drop(s)
 
 
 def text(a: Column, b: Column, kind: str, names: bool, unicode: bool = False) -> Column:
@@ -218,28 +243,32 @@ def outcome(confidence: Column, differences: Column) -> Column:
     return F.when((confidence < 100) | (F.size(differences) > 0), "difference").otherwise("matched")
 
 
-def tax_differences(one: dict[str, Column], two: dict[str, Column], v: Column, d: Column, threshold: int = 85, tolerance: float = TOLERANCE) -> tuple[Column, Column]:
-    """(differences, review notes) of a pair of tax rows: name (verdict v), date (verdict d) and six amounts."""
+def tax_differences(one: dict[str, Column], two: dict[str, Column], v: Column, threshold: int = 85, tolerance: float = TOLERANCE) -> tuple[Column, Column]:
+    """(differences, review notes) of a pair of tax rows: name (verdict v, null for equal names), date and six amounts.
+
+    Entries are made for what differs only, and without functions that Spark interprets.
+    """
     name = "NAME OF TRADER/FIRM/COMPANY"
+    none, kind = F.lit(None).cast("double"), f"array<{DIFFERENCE}>"
 
     def entry(label: str, a: Column, b: Column, is_number: bool, diff: Column, confidence: Column, status: Column, differs: Column) -> Column:
-        parts = [F.lit(label), a, b, F.lit(is_number), diff, confidence, status, differs]
-        return F.struct(*(p.alias(f"c{i}") for i, p in enumerate(parts))).cast(DIFFERENCE)
+        parts = [F.lit(label), a, b, F.lit(is_number), diff, confidence, status, F.lit(True)]
+        return F.when(differs, F.array(F.struct(*(p.alias(f"c{i}") for i, p in enumerate(parts)))).cast(kind)).otherwise(F.array().cast(kind))
 
-    none = F.lit(None).cast("double")
-    bad_name = ~v["matched"] | (v["confidence"] < threshold)
+    matched, confidence = F.coalesce(v["matched"], F.lit(True)), F.coalesce(v["confidence"], F.lit(100))
+    bad_name = ~matched | (confidence < threshold)
+    day = [N.day_in_range(x["INVOICE DATE"]) for x in (one, two)]
     both_blank = one["INVOICE DATE"].isNull() & two["INVOICE DATE"].isNull()
-    bad_date = ~both_blank & ~F.coalesce(d["matched"], F.lit(False))
-    told_date = F.coalesce(d["status"], F.lit("No Match"))
+    bad_date = ~both_blank & ~F.coalesce(day[0] == day[1], F.lit(False))
+    told_date = F.when(day[0].isNull() | day[1].isNull(), "No Match").otherwise("Date mismatch")
     found = [
-        entry("NAME", one[name], two[name], False, none, v["confidence"], v["status"], bad_name),
+        entry("NAME", one[name], two[name], False, none, confidence, v["status"], bad_name),
         entry("DATE", one["INVOICE DATE"].cast("date").cast("string"), two["INVOICE DATE"].cast("date").cast("string"), False, none, F.lit(0), told_date, bad_date),
     ]
     for c in TAX_AMOUNTS:
         diff = F.round(one[c] - two[c], 2)
         found.append(entry(c, one[c].cast("string"), two[c].cast("string"), True, diff, F.lit(0), F.lit("Mismatch"), F.abs(diff) > tolerance))
-    notes = F.array(entry("NAME", one[name], two[name], False, none, v["confidence"], v["status"], ~bad_name & (v["confidence"] < 100)))
-    return F.filter(F.array(*found), lambda x: x["differs"]), F.filter(notes, lambda x: x["differs"])
+    return F.concat(*found), entry("NAME", one[name], two[name], False, none, confidence, v["status"], ~bad_name & (confidence < 100))
 
 
 def tax_outcome(confidence: Column, differences: Column, notes: Column) -> Column:

@@ -38,24 +38,32 @@ def keyed(df: DataFrame, row: str, key: Column, group: Column | None = None, uni
     return out.select("id", "key", "grp", *(c.alias(n) for n, c in forms(F.col("key"), unicode).items()))
 
 
+#: What rows of identifier keys pair in, and rows of a block up to which each is compared with each of the other side's.
+BLOCK, FEW = ["block", "grp"], 16
 #: Columns of a side beside its payload.
 SIDE = ("id", "key", "grp", "compact", "norm", "token_key", "synonym_key", "block", "n", "k", "plain")
 
 
-def side(df: DataFrame, row: str, key: Column, scratch: Scratch, group: Column | None = None, unicode: bool = False, payload: Sequence[Column] = ()) -> DataFrame:
-    """One side of a reconciliation, written once: SIDE and the payload of each row, bucketed by group and block.
+def side(df: DataFrame, row: str, key: Column, scratch: Scratch, group: Column | None = None, unicode: bool = False, payload: Sequence[Column] = (), words: bool = True) -> DataFrame:
+    """One side of a reconciliation, written once: SIDE and the payload of each row, bucketed by block and group.
 
     A block is a group's rows of one compact key, else of one synonym key, else a row by itself. n: rows of the block, k: the row's place in it
     by id, plain: whether all its texts are one. They are counted where the rows are dealt for their buckets, so that everything that is asked
-    of blocks later reads files in place and exchanges nothing.
+    of blocks later reads files in place and exchanges nothing. Sorts compare blocks by their first eight bytes, which keys often share and
+    ends don't, so that a block's text is turned round. Where only blocks pair rows, `words` can be False: then token_key is null, and so is synonym_key where there is a compact key.
     """
     rows = df.select(F.col(row).alias("id"), key.cast("string").alias("key"), (group if group is not None else F.lit("")).alias("grp"), *payload)
-    rows = rows.select("*", *(c.alias(n) for n, c in forms(F.col("key"), unicode).items()))
+    found = forms(F.col("key"), unicode)
+    if not words:
+        found |= {"token_key": F.lit(None).cast("string"), "synonym_key": F.when(found["compact"] == "", found["synonym_key"])}
+    rows = rows.select("*", *(c.alias(n) for n, c in found.items()))
     block = F.when(F.col("compact") != "", F.concat(F.lit("c"), F.col("compact"))).when(F.col("synonym_key") != "", F.concat(F.lit("s"), F.col("synonym_key")))
-    dealt = rows.withColumn("block", F.coalesce(block, F.concat(F.lit("n"), F.col("id").cast("string")))).repartition(partitions(df.sparkSession), "grp", "block")
-    of, ordered = Window.partitionBy("grp", "block"), Window.partitionBy("grp", "block").orderBy("id")
-    counted = dealt.withColumn("k", F.row_number().over(ordered)).withColumn("n", F.count(F.lit(1)).over(of)).withColumn("plain", F.min("norm").over(of) == F.max("norm").over(of))
-    return scratch.bucketed(counted, ["grp", "block"])
+    block = F.reverse(F.coalesce(block, F.concat(F.lit("n"), F.col("id").cast("string"))))
+    dealt = rows.withColumn("block", block).repartition(partitions(df.sparkSession), *BLOCK)
+    ordered = Window.partitionBy(*BLOCK).orderBy("id")
+    of = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = dealt.withColumns({"k": F.row_number().over(ordered), "n": F.count(F.lit(1)).over(of), "plain": F.min("norm").over(of) == F.max("norm").over(of)})
+    return scratch.bucketed(counted, BLOCK, ordered=False)
 
 
 def has_key(side_: DataFrame) -> DataFrame:
@@ -219,14 +227,17 @@ def _with_ends(pairs: DataFrame, one: DataFrame, two: DataFrame, left: Sequence[
 def pair_blocks(one: DataFrame, two: DataFrame, scratch: Scratch, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """The pairs of identifier keys with the columns `left` of side one and `right` of side two, block by block.
 
-    Blocks with one row a side, nearly all of them, are a join in place. The names of the others are written; where there are any, those with
-    one text on each side pair by rank, and only blocks that mix texts go through Python, with their ids and texts alone.
+    Blocks with few rows a side that have one text, nearly all of them, are a join in place, by rank. The names of the others are written; where there are any, those with
+    one text on each side pair by rank too, and only blocks that mix texts go through Python, with their ids and texts alone.
     """
-    block = ["grp", "block"]
+    block = BLOCK
     a, b = (has_key(s) for s in (one, two))
-    single = a.where("n = 1").select(*block, *left).join(b.where("n = 1").select(*block, *right), block).select(*left, *right)
+    near = [s.where((F.col("n") <= FEW) & F.col("plain")).select(*block, F.col("k").alias(f"_k{i}"), *cols) for i, (s, cols) in enumerate(((a, left), (b, right)), 1)]
+    # ranks aren't a key: tables that are dealt by block only would be exchanged for it
+    single = near[0].join(near[1], block).where(F.col("_k1") - F.col("_k2") == 0).select(*left, *right)
     shapes = [s.where("k = 1").select(*block, F.col("n").alias(f"n{i}"), F.col("plain").alias(f"plain{i}")) for i, s in enumerate((a, b), 1)]
-    many = scratch.written(shapes[0].join(shapes[1], block).where("n1 > 1 OR n2 > 1").select(*block, (F.col("plain1") & F.col("plain2")).alias("alike")))
+    rest = (F.greatest("n1", "n2") > FEW) | ~(F.col("plain1") & F.col("plain2"))
+    many = scratch.written(shapes[0].join(shapes[1], block).where(rest).select(*block, (F.col("plain1") & F.col("plain2")).alias("alike")))
     if many.isEmpty():
         return single
     own = [s.drop("plain").join(many, block) for s in (a, b)]

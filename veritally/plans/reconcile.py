@@ -217,30 +217,36 @@ def reconcile_tax(
     one, two = P.normalise_tax(one), P.normalise_tax(two)
     P.require_tax_columns(one, two)
     _check(progress, cancelled, 35, "matching")
-    sides, columns = [], []
+    sides, tables = [], []
+    held = {P.ROW: "id", "INVOICE NO.": "key", "GSTR": "grp"}  # what a side has anyway
+    # a pair's columns of either side: records are put together from them where they are read
+    flat = {c: ("key_1", "key_2") if c == "INVOICE NO." else (f"rec{i}_1", f"rec{i}_2") for i, c in enumerate(P.TAX_COLUMNS)}
     for n, df in ((1, one), (2, two)):
         df = P.merge_duplicate_invoices(df)
-        columns.append(df.columns)
-        payload = [F.struct(*(F.col(f"`{c}`").alias(c) for c in P.TAX_COLUMNS)).alias(f"rec_{n}"), F.col(P.ROW).alias(f"row_{n}"), F.col("`INVOICE NO.`").alias(f"key_{n}")]
-        payload += [df[N.quoted(c)].alias(o) for c, o in zip(df.columns, _own(df.columns), strict=True)]
-        sides.append(_with_forms(M.side(df, P.ROW, F.col("`INVOICE NO.`"), scratch, F.col("GSTR"), payload=payload), n))
-    left, right = (_table(s, n) for s, n in zip(sides, columns, strict=True))
-    met = M.pair_blocks(*sides, scratch, *([f"row_{n}", f"rec_{n}", f"key_{n}", f"norm_{n}", f"compact_{n}"] for n in (1, 2)))
+        at = {c: held.get(c, o) for c, o in zip(df.columns, _own(df.columns), strict=True)}
+        payload = [df[N.quoted(c)].alias(o) for c, o in at.items() if c not in held]
+        side = M.side(df, P.ROW, F.col("`INVOICE NO.`"), scratch, F.col("GSTR"), payload=payload, words=False)
+        tables.append(side.select(*(F.col(f"`{o}`").alias(c) for c, o in at.items())))
+        sides.append(_with_forms(side, n).withColumns({f"row_{n}": F.col("id")} | {flat[c][n - 1]: F.col(f"`{at[c]}`") for c in P.TAX_COLUMNS}))
+    left, right = tables
+    met = M.pair_blocks(*sides, scratch, *([f"row_{n}", f"norm_{n}", f"compact_{n}", *(c[n - 1] for c in flat.values())] for n in (1, 2)))
     _check(progress, cancelled, 55, "comparing")
-    of = [{c: F.col(f"rec_{n}").getField(c) for c in P.TAX_COLUMNS} for n in (1, 2)]
+    of = [{c: F.col(own[n]) for c, own in flat.items()} for n in (0, 1)]
     name = "NAME OF TRADER/FIRM/COMPANY"
-    told = met.withColumn("_v", C.identifier_of_sides("invoice"))
-    told = C.with_verdict(told, of[0][name], of[1][name], "company_name", "_n", scorer=scorer)
-    told = told.withColumn("_d", C.dates(of[0]["INVOICE DATE"].cast("string"), of[1]["INVOICE DATE"].cast("string")))
-    differences, notes = C.tax_differences(of[0], of[1], F.col("_n"), F.col("_d"), threshold)
+    told = met.withColumns(C.told_of_sides("invoice")).drop("norm_1", "norm_2", "compact_1", "compact_2")
+    differ = ~of[0][name].eqNullSafe(of[1][name]) if threshold <= 100 else None  # equal names are a match at 100
+    told = pinned(C.with_verdict(told, of[0][name], of[1][name], "company_name", "_n", scorer=scorer, where=differ).drop("_n_forms"))
+    differences, notes = C.tax_differences(of[0], of[1], F.col("_n"), threshold)
     told = pinned(told.withColumn("differences", differences).withColumn("notes", notes))
-    told = told.select(
-        "row_1", "row_2", of[0]["GSTR"].alias("gstr"), "key_1", "key_2",
-        of[0][name].alias("name_1"), of[1][name].alias("name_2"),
-        F.col("_v.matcher_type").alias("match_type"), F.col("_v.confidence").alias("confidence"), F.col("_v.status").alias("status"), "differences", "notes",
-        F.col("rec_1").alias("record_1"), F.col("rec_2").alias("record_2"),
+    once = list(dict.fromkeys(x for c, own in flat.items() for x in (own[:1] if c == "GSTR" else own)))  # both have one GSTR
+    told = told.select("row_1", "row_2", *once, "match_type", "confidence", "status", "differences", "notes")
+    told = scratch.written(told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes"))))
+    of[1]["GSTR"] = of[0]["GSTR"]
+    records = [F.struct(*(x[c].alias(c) for c in P.TAX_COLUMNS)).alias(f"record_{n}") for n, x in enumerate(of, 1)]
+    pairs = told.select(
+        "row_1", "row_2", of[0]["GSTR"].alias("gstr"), "key_1", "key_2", of[0][name].alias("name_1"), of[1][name].alias("name_2"),
+        "match_type", "confidence", "status", "differences", "notes", *records, "outcome",
     )
-    pairs = scratch.written(told.withColumn("outcome", C.tax_outcome(F.col("confidence"), F.col("differences"), F.col("notes"))))
     _check(progress, cancelled, 75, "classifying")
     return Result("tax", "invoice", ["INVOICE NO.", "INVOICE NO."], names, left, right, pairs, fields=["NAME", "DATE", *P.TAX_AMOUNTS], scratch=scratch)
 

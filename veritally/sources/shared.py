@@ -50,11 +50,15 @@ class Scratch:
         plain.write.parquet(at)
         return self.spark.read.schema(plain.schema).parquet(at).toDF(*df.columns)
 
-    def bucketed(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """The same rows as a table bucketed by keys, one file a bucket where df is dealt by them already: joins and groups by these keys need no exchange."""
+    def bucketed(self, df: DataFrame, keys: Sequence[str], ordered: bool = True) -> DataFrame:
+        """The same rows as a table bucketed by keys, one file a bucket where df is dealt by them already: joins and groups by these keys need no exchange.
+
+        Files are sorted by keys for those who look for some of them, if `ordered`; joins sort anew all the same.
+        """
         at, plain = self._place(), df.toDF(*(f"c{i}" for i in range(len(df.columns))))
         by, name = [f"c{df.columns.index(k)}" for k in keys], f"veritally_{uuid.uuid4().hex}"
-        plain.write.format("parquet").option("path", at).bucketBy(partitions(self.spark), *by).sortBy(*by).saveAsTable(name)
+        dealt = plain.write.format("parquet").option("path", at).bucketBy(partitions(self.spark), *by)
+        (dealt.sortBy(*by) if ordered else dealt).saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name).toDF(*df.columns)
 
@@ -78,5 +82,9 @@ def hashable(df: DataFrame) -> list[str]:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """The same rows; filters above stay above. Pushed below, they would repeat the expressions of df's columns in each of their terms."""
-    return df.withColumn("_pin", F.spark_partition_id()).where("_pin >= 0").drop("_pin")
+    """The same rows; filters above stay above. Pushed below, they would repeat the expressions of df's columns in each of their terms.
+
+    The pin is a function that Spark interprets, so df's last step is compiled by itself and in small methods. Fused with others, steps of many expressions are one method
+    beyond the 8,000 bytes that Java compiles, and run some times slower.
+    """
+    return df.withColumn("_pin", F.exists(F.array(F.spark_partition_id()), lambda p: p >= 0)).where("_pin").drop("_pin")
